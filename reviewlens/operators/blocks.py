@@ -21,6 +21,9 @@ def match_blocks(left: DataFrame, right: DataFrame, cell: str, left_id: str, rig
     Blocks are chosen by a hash of the id, so a task that is run again after an executor is lost
     sees the same rows.
     """
+    # New column identities, so that a table may be matched with itself.
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+
     def blocks(side: DataFrame, rows: int, name: str) -> DataFrame:
         return side.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
 

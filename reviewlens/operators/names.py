@@ -116,7 +116,7 @@ def detect_mentions(texts: DataFrame, catalog: DataFrame, k: int | None = 2, tex
             for key, body in zip(batch[text_id], batch["_text"]):
                 for i, hit in enumerate(sorted(find(body) if body else (), key=lambda n: (-len(n), n))[:k]):
                     ids.append(key), hits.append(hit), ranks.append(i + 1)
-            yield pd.DataFrame({text_id: pd.Series(ids, dtype=batch[text_id].dtype), "NAME": hits,
+            yield pd.DataFrame({text_id: pd.Series(ids, dtype=object), "NAME": pd.Series(hits, dtype=object),
                                 "MENTION_RANK": pd.Series(ranks, dtype="int32")})
 
     schema = T.StructType([T.StructField(text_id, id_type), T.StructField("NAME", T.StringType()),
@@ -130,10 +130,9 @@ def _detect_by_substrings(upper: DataFrame, catalog: DataFrame, k: int | None, t
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, body in zip(batch[text_id], batch["_text"]):
-                for n in lengths if body else ():
-                    parts = {body[i:i + n] for i in range(len(body) - n + 1)}
-                    if parts:
-                        yield pd.DataFrame({text_id: [key] * len(parts), "NAME": list(parts)})
+                parts = list({body[i:i + n] for n in lengths for i in range(len(body) - n + 1)} if body else ())
+                yield pd.DataFrame({text_id: pd.Series([key] * len(parts), dtype=object),
+                                    "NAME": pd.Series(parts, dtype=object)})
 
     schema = T.StructType([upper.schema[text_id], T.StructField("NAME", T.StringType())])
     found = upper.mapInPandas(cut, schema).join(catalog, "NAME")
@@ -183,7 +182,7 @@ def _matches(mentions: pd.Series, known: Catalog, min_score: float, mode: str) -
     for m in mentions:
         hits = known.best(m, min_score) if mode == "best" else known.above(m, min_score)
         rows.extend((m, n, s) for n, s in hits)
-    return pd.DataFrame(rows, columns=["mention", "NAME", "SCORE"])
+    return pd.DataFrame(rows, columns=["mention", "NAME", "SCORE"], dtype=object)
 
 
 def resolve_device(mentions: DataFrame, review_names: DataFrame, sales_names: DataFrame, min_score: float = 60,

@@ -82,6 +82,11 @@ def min_max(df: DataFrame, col: str, partition: Sequence[str] = (), name: str =
     return joined.withColumn(name, scaled(F.col(col), F.col("_bounds.low"), F.col("_bounds.high"))).drop("_bounds")
 
 
+def rankable(summary: DataFrame, aspect: str = "ASPECT", sentiment: str = "ASPECT_SENTIMENT") -> DataFrame:
+    """The rows of an aspect summary that take part in the ranking: real aspects with a sentiment other than 0."""
+    return summary.filter((F.col(sentiment) != 0) & ~F.col(aspect).isin("Generic", TOTAL))
+
+
 def aspect_ranking(summary: DataFrame, by: Sequence[str] = (), k: int | None = 4, aspect: str = "ASPECT",
                    sentiment: str = "ASPECT_SENTIMENT", volume: str = "REVIEW_COUNT") -> DataFrame:
     """Aspects by low sentiment and high volume: ``(1 - sentiment) + 3 * volume``, both min-max scaled.
@@ -91,7 +96,7 @@ def aspect_ranking(summary: DataFrame, by: Sequence[str] = (), k: int | None = 4
     rank; ``k`` rows per family are kept in rank order, aspect name breaking ties.
     """
     keys = list(by)
-    rows = summary.filter((F.col(sentiment) != 0) & ~F.col(aspect).isin("Generic", TOTAL))
+    rows = rankable(summary, aspect, sentiment)
     family = Window.partitionBy(*keys)
 
     def scale(c: str) -> Column:

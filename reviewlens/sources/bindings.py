@@ -122,5 +122,5 @@ def event_reviews(events: DataFrame) -> DataFrame:
     label = (F.when(kind.isin("purchase", "signup"), "positive")
              .when(kind == "error", "negative").otherwise("neutral"))
     family = F.concat(F.lit("USER_"), F.col("user_id").cast("string"))
-    return events.select("event_id", "ts", family.alias("Product_Family"), label.alias("Sentiment"),
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), family.alias("Product_Family"), label.alias("Sentiment"),
                          sentiment_score(label).alias("Sentiment_Score"))

@@ -76,7 +76,8 @@ def write_entity_reviews(df: DataFrame, path: str, entity: str = "Product_Family
     """
     (df.select(entity, review).hint("rebalance", F.col(entity))
        .write.mode(mode).partitionBy(entity)
-       .options(sep="\t", header=True, quote='"', escape='"')
+       .options(sep="\t", header=True, quote='"', escape='"',
+                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
        .csv(path))
 
 
