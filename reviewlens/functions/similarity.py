@@ -28,6 +28,7 @@ class Name:
     def __init__(self, text: str) -> None:
         self.text = text
         self.words = frozenset(text.split())
+        self.sorted = " ".join(sorted(self.words))
 
 
 def token_set_ratio(a: Name, b: Name, at_least: float = 0.0) -> float:
@@ -40,12 +41,14 @@ def token_set_ratio(a: Name, b: Name, at_least: float = 0.0) -> float:
     if not a.words or not b.words:
         return 0.0
     common = a.words & b.words
-    rest_a, rest_b = a.words - common, b.words - common
-    if common and not (rest_a and rest_b):
-        return 100.0
-    tail_a, tail_b = " ".join(sorted(rest_a)), " ".join(sorted(rest_b))
-    head = len(" ".join(sorted(common)))
-    gap = 1 if common else 0
+    head = gap = 0
+    tail_a, tail_b = a.sorted, b.sorted
+    if common:
+        rest_a, rest_b = a.words - common, b.words - common
+        if not (rest_a and rest_b):
+            return 100.0
+        tail_a, tail_b = " ".join(sorted(rest_a)), " ".join(sorted(rest_b))
+        head, gap = len(" ".join(sorted(common))), 1
     long_a, long_b = head + gap + len(tail_a), head + gap + len(tail_b)
     best = 0.0
     if common:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from reviewlens.operators.grouping import spread
+
 
 def match_blocks(left: DataFrame, right: DataFrame, cell: str, left_id: str, right_id: str,
                  fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
@@ -40,4 +42,5 @@ def match_blocks(left: DataFrame, right: DataFrame, cell: str, left_id: str, rig
     placed_right = (right.join(grid, cell).withColumn("_j", own_block(right_id, "_cols"))
                     .withColumn("_i", every_block("_rows")).drop("_rows", "_cols"))
     keys = [cell, "_i", "_j"]
-    return placed_left.groupBy(*keys).cogroup(placed_right.groupBy(*keys)).applyInPandas(fn, schema)
+    a, b = spread(placed_left, *keys), spread(placed_right, *keys)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)

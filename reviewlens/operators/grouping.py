@@ -46,4 +46,12 @@ def first_rows(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Colu
     """The k first rows per key. Spark cuts each task's rows to k per key before the shuffle, so a
     hot key sends at most k rows per task."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores before costly per-row work. Adaptive execution merges partitions by their
+    size in bytes, which would leave a few megabytes of names or blocks to a single core."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

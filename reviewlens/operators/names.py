@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from reviewlens.functions.similarity import Catalog
 from reviewlens.functions.vocabulary import UNAVAILABLE
 from reviewlens.operators.blocks import match_blocks
-from reviewlens.operators.grouping import first_rows
+from reviewlens.operators.grouping import first_rows, spread
 
 # A catalog of at most this many names is sent to every task; a larger one is shuffled.
 SMALL_CATALOG = 50_000
@@ -163,7 +163,7 @@ def fuzzy_match(mentions: DataFrame, catalog: DataFrame, min_score: float = 60,
             for batch in batches:
                 yield _matches(batch["mention"], known, min_score, mode)
 
-        found = asked.mapInPandas(scan, schema)
+        found = spread(asked, "mention").mapInPandas(scan, schema)
     else:
         everything = catalog.select(F.col(name).alias("NAME")).filter(F.length("NAME") > 0).distinct()
 
@@ -186,32 +186,57 @@ def _matches(mentions: pd.Series, known: Catalog, min_score: float, mode: str) -
 
 
 def resolve_device(mentions: DataFrame, review_names: DataFrame, sales_names: DataFrame, min_score: float = 60,
-                   mention: str = "mention", name: str = "name") -> DataFrame:
+                   mention: str = "mention", name: str = "name", small: int = SMALL_CATALOG) -> DataFrame:
     """One device per mention: ``mention, DEVICE, STAGE``.
 
-    A contained review name wins, then a review name alike, then a contained sales name, then a
-    sales name alike, else the answer is that the device is not available. ``UNDEFINED`` is no
-    sales name to be contained.
+    A contained review name wins (1), then a review name alike (2), then a contained sales name (3),
+    then a sales name alike (4), else the device is not available (5). ``UNDEFINED`` is no sales
+    name to be contained. With small catalogs a mention goes through the stages inside its task and
+    stops at the first answer; with larger ones the stages run side by side and the first wins.
     """
     asked = mentions.select(F.upper(mention).alias("mention")).filter("mention IS NOT NULL").distinct()
-    sold = sales_names.select(F.col(name).alias("name"))
-    named = sold.filter(F.upper("name") != "UNDEFINED")
     reviewed = review_names.select(F.col(name).alias("name"))
+    sold = sales_names.select(F.col(name).alias("name"))
+    review_list, sales_list = _small(reviewed, "name", small), _small(sold, "name", small)
+    if review_list is None or sales_list is None:
+        return _resolve_side_by_side(asked, reviewed, sold, min_score, small)
+    shared = mentions.sparkSession.sparkContext.broadcast((review_list, sales_list))
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        in_reviews, in_sales = shared.value
+        named = [n for n in in_sales if n.upper() != "UNDEFINED"]
+        stages = [_contained(in_reviews), _alike(in_reviews, min_score), _contained(named), _alike(in_sales, min_score)]
+        for batch in batches:
+            rows = []
+            for m in batch["mention"]:
+                answers = ((stage(m), i) for i, stage in enumerate(stages, 1))
+                rows.append((m, *next((a for a in answers if a[0]), (UNAVAILABLE, 5))))
+            yield pd.DataFrame(rows, columns=["mention", "DEVICE", "STAGE"], dtype=object)
 
-    def contained(rest: DataFrame, catalog: DataFrame, stage: int) -> DataFrame:
-        hits = detect_mentions(rest, catalog, 1, "mention", "mention")
-        return hits.select("mention", F.col("NAME").alias("DEVICE"), F.lit(stage).alias("STAGE"))
+    return spread(asked, "mention").mapInPandas(resolve, "mention string, DEVICE string, STAGE int")
+
+
+def _contained(names: Sequence[str]):
+    find = _searcher([n.upper() for n in names]) if names else lambda text: ()
+    return lambda text: min(find(text), key=lambda n: (-len(n), n), default=None)
+
+
+def _alike(names: Sequence[str], min_score: float):
+    known = Catalog(names)
+    return lambda text: next((n for n, _ in known.best(text, min_score)), None)
+
+
+def _resolve_side_by_side(asked: DataFrame, reviewed: DataFrame, sold: DataFrame, min_score: float,
+                          small: int) -> DataFrame:
+    named = sold.filter(F.upper("name") != "UNDEFINED")
 
-    def alike(rest: DataFrame, catalog: DataFrame, stage: int) -> DataFrame:
-        hits = fuzzy_match(rest, catalog, min_score)
+    def staged(hits: DataFrame, stage: int) -> DataFrame:
         return hits.select("mention", F.col("NAME").alias("DEVICE"), F.lit(stage).alias("STAGE"))
 
-    stages = [(contained, reviewed, 1), (alike, reviewed, 2), (contained, named, 3), (alike, sold, 4)]
-    found: DataFrame | None = None
-    for method, catalog, stage in stages:
-        rest = asked if found is None else asked.join(found, "mention", "left_anti")
-        hits = method(rest, catalog, stage)
-        found = hits if found is None else found.unionByName(hits)
-    missing = asked.join(found, "mention", "left_anti").select(
-        "mention", F.lit(UNAVAILABLE).alias("DEVICE"), F.lit(5).alias("STAGE"))
-    return found.unionByName(missing)
+    answers = asked.select("mention", F.lit(UNAVAILABLE).alias("DEVICE"), F.lit(5).alias("STAGE"))
+    for stage, catalog in ((1, reviewed), (3, named)):
+        answers = answers.unionByName(staged(detect_mentions(asked, catalog, 1, "mention", "mention", small=small), stage))
+    for stage, catalog in ((2, reviewed), (4, sold)):
+        answers = answers.unionByName(staged(fuzzy_match(asked, catalog, min_score, small=small), stage))
+    # At most one answer per mention and stage.
+    return answers.groupBy("mention").agg(F.min_by("DEVICE", "STAGE").alias("DEVICE"), F.min("STAGE").alias("STAGE"))

@@ -20,7 +20,7 @@ def rank_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
              rank: str = "RANK") -> DataFrame:
     """Rows of rank at most k per group, ties kept."""
     place = F.rank().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(rank, place).filter(F.col(rank) <= k)
+    return df.withColumn(rank, place).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
 def rank_max(df: DataFrame, col: str, partition: Sequence[str] = (), rank: str = "RANK", pieces: int = 100) -> DataFrame:
@@ -108,7 +108,7 @@ def aspect_ranking(summary: DataFrame, by: Sequence[str] = (), k: int | None = 4
     ranked = (rows.withColumns({"_sentiment": scale(sentiment), "_volume": scale(volume)})
               .withColumn("_points", points)
               .withColumn("ASPECT_RANKING", F.count(F.lit(1)).over(reach))
-              .withColumn("PLACE", F.row_number().over(place))
+              .withColumn("PLACE", F.row_number().over(place).cast("long"))
               .drop("_sentiment", "_volume", "_points"))
     return ranked if k is None else ranked.filter(F.col("PLACE") <= k)
 

@@ -17,7 +17,7 @@ def _by_family(spark, d):
     return measures.net_sentiment(bind.reviews(spark, d, "Product_Family", "Sentiment_Score"), "Product_Family")
 
 
-@query("prj1_sentiment_score", """SELECT Sentiment, sum(Sentiment_Score) AS SENTIMENT_MARK, count(*) AS REVIEW_COUNT
+@query("prj1_sentiment_score", """SELECT Sentiment, CAST(sum(Sentiment_Score) AS BIGINT) AS SENTIMENT_MARK, count(*) AS REVIEW_COUNT
 FROM (SELECT Sentiment, CASE Sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END AS Sentiment_Score
       FROM text_reviews) GROUP BY Sentiment""", "text_reviews")
 def _(spark, d):

@@ -46,14 +46,17 @@ def _(spark, d):
     return io.read_history(spark, path)
 
 
-@query("src5_whole_text", "SELECT doc_id, text FROM documents")
+@query("src5_whole_text", "SELECT source, text FROM documents")
 def _(spark, d):
-    """One folder per document holding its text file, read back as one row per file."""
+    """Text files of one source each, read back whole and cut at the mark between two documents."""
     path = fresh_folder(spark, "texts")
-    docs = bind.table(spark, d, "documents").select("doc_id", F.col("text").alias("value"))
-    docs.write.option("lineSep", "\u0000").partitionBy("doc_id").text(path)
-    number = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")
-    return io.read_text(spark, f"{path}/*").select(number.alias("doc_id"), F.rtrim(F.col("text"), F.lit("\u0000")).alias("text"))
+    docs = bind.table(spark, d, "documents").select("source", F.concat("text", F.lit("\u0000")).alias("value"))
+    docs.write.partitionBy("source").option("lineSep", "\u0001").text(path)
+    files = io.read_text(spark, f"{path}/*").select(
+        F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"),
+        F.explode(F.split("text", "\u0000\u0001")).alias("text"))
+    # Every document ends with the mark, so the last part of a file is empty; no document is.
+    return files.filter(F.length("text") > 0)
 
 
 @query("src6_vectors", "SELECT label, count(*) AS VECTORS, max(len(embedding)) AS DIMENSIONS FROM embeddings GROUP BY label")
