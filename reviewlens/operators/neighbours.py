@@ -58,7 +58,7 @@ def _block_matcher(k: int):
     return match
 
 
-def _few_queries(queries: DataFrame, vectors: DataFrame, rows: list, k: int) -> DataFrame:
+def _few_queries(queries: DataFrame, vectors: DataFrame, rows: list, k: int, step: int = 512) -> DataFrame:
     """Each task compares its vectors with all of a few queries and hands on k rows per query."""
     shared = queries.sparkSession.sparkContext.broadcast(
         (np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)))
@@ -69,9 +69,12 @@ def _few_queries(queries: DataFrame, vectors: DataFrame, rows: list, k: int) ->
         for batch in batches:
             if batch.empty:
                 continue
-            hit, ids, distance = nearest(points, matrix(batch["embedding"]), batch["vec_id"].to_numpy(), k)
-            new = pd.DataFrame({"query_id": names[hit], "vec_id": ids, "distance": distance})
-            best = new if best is None else pd.concat([best, new])
+            seen, ids = matrix(batch["embedding"]), batch["vec_id"].to_numpy()
+            new = []
+            for start in range(0, len(points), step):
+                hit, found, distance = nearest(points[start:start + step], seen, ids, k)
+                new.append(pd.DataFrame({"query_id": names[start + hit], "vec_id": found, "distance": distance}))
+            best = pd.concat(new if best is None else [best, *new])
             best = best.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
         if best is not None:
             yield best
@@ -81,7 +84,7 @@ def _few_queries(queries: DataFrame, vectors: DataFrame, rows: list, k: int) ->
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None,
-        few: int = 1024, pivots: int = 64) -> DataFrame:
+        few: int = 4096, pivots: int = 64) -> DataFrame:
     """The k nearest vectors of each query: ``query_id, vec_id, distance, RANK``.
 
     ``queries`` has ``query_id, embedding``, ``vectors`` has ``vec_id, embedding``. With
@@ -99,6 +102,27 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | Non
     return knn_large(queries, vectors, k, pivots)
 
 
+def _cell_reach(placed: DataFrame, k: int) -> tuple[dict[int, float], dict[int, float]]:
+    """How far each cell reaches from its pivot, and how far its k-th vector lies (infinite with fewer).
+
+    Every task sends one row per cell, so the driver gets two numbers per pivot.
+    """
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[float, list[float]]] = {}
+        for batch in batches:
+            for cell, reach in batch.groupby("cell")["reach"]:
+                far, near = held.get(cell, (0.0, []))
+                held[cell] = (max(far, reach.max()), sorted([*near, *reach.nsmallest(k)])[:k])
+        yield pd.DataFrame([(c, far, near) for c, (far, near) in held.items()], columns=["cell", "far", "near"])
+
+    parts = placed.select("cell", "reach").mapInPandas(summary, "cell int, far double, near array<double>")
+    rows = parts.groupBy("cell").agg(
+        F.max("far").alias("far"), F.sort_array(F.flatten(F.collect_list("near"))).alias("near")).select(
+        "cell", "far", F.get("near", F.lit(k - 1)).alias("kth")).collect()
+    return ({r["cell"]: r["far"] for r in rows},
+            {r["cell"]: np.inf if r["kth"] is None else r["kth"] for r in rows})
+
+
 def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, pivots: int = 64) -> DataFrame:
     """Exact k nearest neighbours for large query and vector tables.
 
@@ -128,16 +152,12 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, pivots: int =
     arr_type = vectors.schema["embedding"].dataType.simpleString()
     placed = vectors.select("vec_id", "embedding").mapInPandas(
         place, f"vec_id {vec_type}, embedding {arr_type}, cell int, reach double")
-    # Per cell, one row each: its radius, and how far from its pivot its k-th vector lies.
-    inner = first_rows(placed.select("cell", "reach"), ["cell"], [F.asc("reach")], k)
-    radius = {r["cell"]: r["radius"] for r in placed.groupBy("cell").agg(F.max("reach").alias("radius")).collect()}
-    kth = {r["cell"]: r["kth"] for r in inner.groupBy("cell").agg(
-        F.when(F.count(F.lit(1)) == k, F.max("reach")).alias("kth")).collect()}
+    radius, kth = _cell_reach(placed, k)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.array(sorted(radius))
         reach = np.array([radius[c] for c in cells])
-        full = np.array([np.inf if kth.get(c) is None else kth[c] for c in cells])
+        full = np.array([kth[c] for c in cells])
         for batch in batches:
             if batch.empty:
                 continue

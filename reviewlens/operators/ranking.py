@@ -23,7 +23,7 @@ def rank_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(rank, place).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
-def rank_max(df: DataFrame, col: str, partition: Sequence[str] = (), rank: str = "RANK", pieces: int = 100) -> DataFrame:
+def rank_max(df: DataFrame, col: str, partition: Sequence[str] = (), rank: str = "RANK", pieces: int = 32) -> DataFrame:
     """Descending rank in which tied rows all take the largest rank of their tie; nulls come last.
 
     The rank of a value is the number of rows with that value or a larger one. Rows are first

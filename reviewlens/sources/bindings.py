@@ -8,44 +8,29 @@ a query that groups by family and aspect never shuffles the orders or customer t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from reviewlens.functions.scoring import sentiment_score
 
-_FROM_PART = {"Product", "Product_Family", "Aspect", "Keywords", "Aspect_Description",
-              "Series", "OEMGROUP", "Specs_Combination", "Chassis_Segment", "Operating_System_Summary"}
-_FROM_ORDERS = {"Data_Source"}
-_FROM_NATION = {"Geography", "Country"}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def _facts(spark: SparkSession, sf_dir: str, columns: set[str]) -> DataFrame:
-    facts = table(spark, sf_dir, "lineitem")
-    if columns & _FROM_PART:
-        facts = facts.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if columns & (_FROM_ORDERS | _FROM_NATION):
-        facts = facts.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if columns & _FROM_NATION:
-        homes = table(spark, sf_dir, "customer").join(
-            table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        facts = facts.join(homes, F.col("o_custkey") == F.col("c_custkey"))
-    return facts
-
-
-def _pick(facts: DataFrame, available: dict[str, Column], columns: tuple[str, ...]) -> DataFrame:
-    return facts.select(*[available[c].alias(c) for c in columns])
+    """A table by name. Its schema is read from the files once per process, then reused."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _word(col: str, number: int) -> Column:
     return F.split_part(F.col(col), F.lit(" "), F.lit(number))
 
 
-def _review_columns() -> dict[str, Column]:
-    label = (F.when(F.col("l_returnflag") == "A", "positive")
-             .when(F.col("l_returnflag") == "R", "negative").otherwise("neutral"))
+def _part_columns() -> dict[str, Column]:
     kind = F.col("p_type")
+    system = (F.when(F.col("p_size") % 3 == 0, "Windows OS")
+              .when(F.col("p_size") % 3 == 1, "Apple OS").otherwise("Google OS"))
     return {
         "Product": F.upper("p_brand"),
         "Product_Family": F.concat(F.upper("p_brand"), F.lit(" "), F.upper(_word("p_name", 2))),
@@ -53,45 +38,77 @@ def _review_columns() -> dict[str, Column]:
             F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.expr("substr(p_type, 2)")))),
         "Keywords": F.initcap(_word("p_name", 1)),
         "Aspect_Description": F.col("p_name"),
-        "Geography": F.col("n_name"),
-        "Data_Source": F.col("o_orderpriority"),
-        "Review_Date": F.col("l_shipdate").cast("date"),
-        "Sentiment": label,
-        "Sentiment_Score": sentiment_score(label),
-        "Review_Count": F.lit(1),
+        "Series": F.upper("p_brand"),
+        "OEMGROUP": F.concat(F.lit("OEM_"), (F.expr("cast(substr(p_brand, 7) AS int)") % 5).cast("string")),
+        "Specs_Combination": F.concat(F.col("p_name"), F.lit(" | "), F.col("p_size").cast("string")),
+        "Chassis_Segment": kind,
+        "Operating_System_Summary": system,
     }
 
 
-def _sales_columns() -> dict[str, Column]:
-    system = (F.when(F.col("p_size") % 3 == 0, "Windows OS")
-              .when(F.col("p_size") % 3 == 1, "Apple OS").otherwise("Google OS"))
+def _order_columns() -> dict[str, Column]:
+    return {"Data_Source": F.col("o_orderpriority")}
+
+
+def _home_columns() -> dict[str, Column]:
+    return {"Geography": F.col("n_name"), "Country": F.col("n_name")}
+
+
+def _fact_columns() -> dict[str, Column]:
+    label = (F.when(F.col("l_returnflag") == "A", "positive")
+             .when(F.col("l_returnflag") == "R", "negative").otherwise("neutral"))
     month = F.trunc(F.col("l_shipdate").cast("date"), "month")
     return {
+        "Review_Date": F.col("l_shipdate").cast("date"),
+        "Sentiment": label,
+        "Sentiment_Score": sentiment_score(label),
+        "Review_Count": F.lit(1),
         "Month": month,
         "Month_Text": F.date_format(month, "MM/dd/yyyy"),
-        "Country": F.col("n_name"),
-        "OEMGROUP": F.concat(F.lit("OEM_"), (F.expr("cast(substr(p_brand, 7) AS int)") % 5).cast("string")),
-        "Series": F.upper("p_brand"),
-        "Specs_Combination": F.concat(F.col("p_name"), F.lit(" | "), F.col("p_size").cast("string")),
-        "Chassis_Segment": F.col("p_type"),
-        "Operating_System_Summary": system,
         "Sales_Units": F.col("l_quantity").cast("long"),
         "Sales_Value": F.col("l_extendedprice").cast("decimal(18,2)"),
         "ASP": F.col("l_extendedprice") / F.col("l_quantity"),
     }
 
 
+_REVIEW_COLUMNS = ("Product", "Product_Family", "Aspect", "Keywords", "Aspect_Description", "Geography",
+                   "Data_Source", "Review_Date", "Sentiment", "Sentiment_Score", "Review_Count")
+_SALES_COLUMNS = ("Month", "Country", "OEMGROUP", "Series", "Specs_Combination", "Chassis_Segment",
+                  "Operating_System_Summary", "Sales_Units", "Sales_Value", "ASP")
+
+
+def _star(spark: SparkSession, sf_dir: str, columns: tuple[str, ...]) -> DataFrame:
+    """The named columns of the fact table and its dimensions.
+
+    Columns are derived on the side they come from, once per part and not once per fact row.
+    """
+    def side(known: dict[str, Column]) -> list[Column]:
+        return [known[c].alias(c) for c in columns if c in known]
+
+    of_part, of_order, of_home = side(_part_columns()), side(_order_columns()), side(_home_columns())
+    keys = (["l_partkey"] if of_part else []) + (["l_orderkey"] if of_order or of_home else [])
+    rows = table(spark, sf_dir, "lineitem").select(*keys, *side(_fact_columns()))
+    if of_part:
+        parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), *of_part)
+        rows = rows.join(parts, "l_partkey")
+    if of_order or of_home:
+        orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", *of_order)
+        rows = rows.join(orders, "l_orderkey")
+    if of_home:
+        homes = table(spark, sf_dir, "customer").join(
+            table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        rows = rows.join(homes.select(F.col("c_custkey").alias("o_custkey"), *of_home), "o_custkey")
+    return rows.select(*columns)
+
+
 def reviews(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The review table, or the named columns of it."""
-    known = _review_columns()
-    wanted = columns or tuple(known)
-    return _pick(_facts(spark, sf_dir, set(wanted)), known, wanted)
+    return _star(spark, sf_dir, columns or _REVIEW_COLUMNS)
 
 
 def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    known = _sales_columns()
-    wanted = columns or tuple(c for c in known if c != "Month_Text")
-    return _pick(_facts(spark, sf_dir, set(wanted)), known, wanted)
+    """The sales table, or the named columns of it; ``Month_Text`` is the month as ``MM/dd/yyyy``."""
+    return _star(spark, sf_dir, columns or _SALES_COLUMNS)
 
 
 def name_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
