@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewlens.functions.formatting import impact, round_numeric
 from reviewlens.functions.matching import drop_noise_aspects
@@ -73,10 +73,15 @@ def pros_cons(reviews: DataFrame, k: int = 1, term_col: str = "Keywords",
 
 
 def verbatims(reviews: DataFrame, k: int = 1, by: Sequence[str] = ("Product_Family", "Aspect", "Sentiment"),
-              order: Sequence[Column] | None = None, review_id: str = "review_id") -> DataFrame:
-    """The k longest reviews of each group, earliest id first among equally long ones."""
-    order = order or [F.desc(F.length("Review")), F.asc(review_id)]
-    return first_rows(reviews, list(by), order, k, "PLACE")
+              review_id: str = "review_id") -> DataFrame:
+    """The k longest reviews of each group, smallest id first among equally long ones. Ids are unique.
+
+    The reviews are picked by length alone and their texts joined afterwards, so that no text is
+    sorted or shuffled but those shown.
+    """
+    lengths = reviews.select(*by, review_id, F.length("Review").alias("_length"))
+    picked = first_rows(lengths, list(by), [F.desc("_length"), F.asc(review_id)], k, "PLACE")
+    return reviews.join(picked.select(review_id, "PLACE"), review_id)
 
 
 def improvement_candidates(reviews: DataFrame, k: int = 3, term_col: str = "Keywords",

@@ -27,8 +27,9 @@ def net_sentiment(df: DataFrame, by: str | Sequence[str] = (), filters: Iterable
 
 def net_sentiment_by_two(df: DataFrame, x: str, y: str) -> DataFrame:
     """Net sentiment by two columns, the one with fewer values first."""
-    spread = df.agg(F.count_distinct(x).alias("x"), F.count_distinct(y).alias("y")).first()
-    return net_sentiment(df, [x, y] if spread["x"] <= spread["y"] else [y, x])
+    pairs = df.select(x, y).distinct()
+    values = pairs.agg(F.count_distinct(x).alias("x"), F.count_distinct(y).alias("y")).first()
+    return net_sentiment(df, [x, y] if values["x"] <= values["y"] else [y, x])
 
 
 def sentiment_mark(df: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
