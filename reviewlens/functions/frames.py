@@ -1,0 +1,12 @@
+"""Pandas frames on their way back to Spark."""
+
+from __future__ import annotations
+
+import pandas as pd
+
+
+def plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as Python objects: pandas' own string columns may reach Arrow in several pieces,
+    which a Spark batch cannot take."""
+    texts = [c for c in frame.columns if isinstance(frame[c].dtype, pd.StringDtype)]
+    return frame.astype({c: object for c in texts}) if texts else frame

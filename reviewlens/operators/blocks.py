@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from reviewlens.functions.frames import plain
 from reviewlens.operators.grouping import spread
 
 
@@ -43,4 +44,4 @@ def match_blocks(left: DataFrame, right: DataFrame, cell: str, left_id: str, rig
                     .withColumn("_i", every_block("_rows")).drop("_rows", "_cols"))
     keys = [cell, "_i", "_j"]
     a, b = spread(placed_left, *keys), spread(placed_right, *keys)
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(lambda x, y: plain(fn(x, y)), schema)
