@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reviewlens.functions.frames import plain
 from reviewlens.operators.blocks import match_blocks
 from reviewlens.operators.grouping import first_rows
 
@@ -52,7 +51,8 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def _block_matcher(k: int):
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["query_id"][:0], "vec_id": right["vec_id"][:0], "distance": []})
+            return pd.DataFrame({"query_id": left["query_id"][:0], "vec_id": right["vec_id"][:0],
+                                 "distance": pd.Series(dtype=float)})
         rows, ids, distance = nearest(matrix(left["embedding"]), matrix(right["embedding"]),
                                       right["vec_id"].to_numpy(), k)
         return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "vec_id": ids, "distance": distance})
@@ -78,7 +78,7 @@ def _few_queries(queries: DataFrame, vectors: DataFrame, rows: list, k: int, ste
             best = pd.concat(new if best is None else [best, *new])
             best = best.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
         if best is not None:
-            yield plain(best)
+            yield best
 
     found = vectors.select("vec_id", "embedding").mapInPandas(scan, _result_type(queries, vectors))
     return _top(found, k)
@@ -147,7 +147,7 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, pivots: int =
             if not batch.empty:
                 away = to_centres(matrix(batch["embedding"]))
                 cell = away.argmin(1)
-                yield plain(batch.assign(cell=cell.astype("int32"), reach=away[np.arange(len(cell)), cell]))
+                yield batch.assign(cell=cell.astype("int32"), reach=away[np.arange(len(cell)), cell])
 
     vec_type = vectors.schema["vec_id"].dataType.simpleString()
     arr_type = vectors.schema["embedding"].dataType.simpleString()
@@ -165,7 +165,7 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, pivots: int =
             away = to_centres(matrix(batch["embedding"]))[:, cells]
             bound = (away + full).min(1)
             rows, cols = np.nonzero(away - reach <= (bound * (1 + 1e-9) + 1e-9)[:, None])
-            yield plain(batch.iloc[rows].assign(cell=cells[cols].astype("int32")))
+            yield batch.iloc[rows].assign(cell=cells[cols].astype("int32"))
 
     q_type = queries.schema["query_id"].dataType.simpleString()
     q_arr = queries.schema["embedding"].dataType.simpleString()

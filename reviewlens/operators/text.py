@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reviewlens.functions.frames import plain
 from reviewlens.sources.tables import write_vectors
 
 # Where a text may be cut, best place first.
@@ -67,12 +66,14 @@ def chunk_text(df: DataFrame, col: str, size: int = 10_000, overlap: int = 200,
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             parts = [split_text(t, size, overlap) if t else [] for t in batch[col]]
             counts = [len(p) for p in parts]
             out = batch.drop(columns=[col]).loc[batch.index.repeat(counts)]
-            out["chunk_no"] = np.concatenate([np.arange(n, dtype="int32") for n in counts]) if counts else []
+            out["chunk_no"] = np.concatenate([np.arange(n, dtype="int32") for n in counts])
             out[chunk] = pd.Series([c for p in parts for c in p], dtype=object, index=out.index)
-            yield plain(out)
+            yield out
 
     return df.select(*[f.name for f in kept], col).mapInPandas(cut, schema)
 

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reviewlens.functions.frames import plain
-
 _STATE = "turns array<bigint>, roles array<string>, texts array<string>"
 _OUT = "conv_id bigint, turn bigint, role string, text string"
 
@@ -28,7 +26,7 @@ def rolling_history(turns: DataFrame, n: int = 4) -> DataFrame:
         state.update(tuple(list(column) for column in zip(*held)))
         frame = pd.DataFrame(held, columns=["turn", "role", "text"])
         frame.insert(0, "conv_id", key[0])
-        yield plain(frame)
+        yield frame
 
     return turns.groupBy("conv_id").applyInPandasWithState(
         update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
