@@ -7,27 +7,28 @@ same cell in a task of its own. The task returns only its best matches, never it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from reviewlens.operators.grouping import spread
 
 
-def match_blocks(left: DataFrame, right: DataFrame, cell: str, left_id: str, right_id: str,
-                 fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+def match_blocks(left: DataFrame, right: DataFrame, cell: Sequence[str], left_id: str, right_id: str,
+                 fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
                  left_rows: int = 2048, right_rows: int = 8192) -> DataFrame:
     """Apply ``fn`` to every pair of blocks of the same cell and union what it returns.
 
-    Blocks are chosen by a hash of the id, so a task that is run again after an executor is lost
-    sees the same rows.
+    A cell is named by one or more columns. Blocks are chosen by a hash of the id, so a task that is
+    run again after an executor is lost sees the same rows.
     """
+    cell = list(cell)
     # New column identities, so that a table may be matched with itself.
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
 
     def blocks(side: DataFrame, rows: int, name: str) -> DataFrame:
-        return side.groupBy(cell).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+        return side.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
 
     grid = blocks(left, left_rows, "_rows").join(blocks(right, right_rows, "_cols"), cell)
 
@@ -41,6 +42,6 @@ def match_blocks(left: DataFrame, right: DataFrame, cell: str, left_id: str, rig
                    .withColumn("_j", every_block("_cols")).drop("_rows", "_cols"))
     placed_right = (right.join(grid, cell).withColumn("_j", own_block(right_id, "_cols"))
                     .withColumn("_i", every_block("_rows")).drop("_rows", "_cols"))
-    keys = [cell, "_i", "_j"]
+    keys = [*cell, "_i", "_j"]
     a, b = spread(placed_left, *keys), spread(placed_right, *keys)
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)

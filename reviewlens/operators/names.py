@@ -171,7 +171,7 @@ def fuzzy_match(mentions: DataFrame, catalog: DataFrame, min_score: float = 60,
             return _matches(left["mention"], Catalog(list(right["NAME"])), min_score, mode)
 
         found = match_blocks(asked.withColumn("_cell", F.lit(0)), everything.withColumn("_cell", F.lit(0)),
-                             "_cell", "mention", "NAME", meet, schema)
+                             ["_cell"], "mention", "NAME", meet, schema)
     if mode == "all":
         return found
     return first_rows(found, ["mention"], [F.desc("SCORE"), F.asc("NAME")], 1).drop("_rank")

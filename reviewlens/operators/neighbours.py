@@ -92,55 +92,32 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | Non
     ``partition`` a query only sees vectors with the same value of that column. At most ``few``
     queries are sent to every task; a larger query table goes through :func:`knn_large`.
     """
-    if partition is not None:
-        found = match_blocks(queries.select(partition, "query_id", "embedding"),
-                             vectors.select(partition, "vec_id", "embedding"), partition, "query_id", "vec_id",
-                             _block_matcher(k), _result_type(queries, vectors))
-        return _top(found, k)
-    rows = queries.select("query_id", "embedding").limit(few + 1).collect()
-    if 0 < len(rows) <= few:
-        return _few_queries(queries, vectors, rows, k)
-    return knn_large(queries, vectors, k, pivots)
+    if partition is None:
+        rows = queries.select("query_id", "embedding").limit(few + 1).collect()
+        if 0 < len(rows) <= few:
+            return _few_queries(queries, vectors, rows, k)
+    return knn_large(queries, vectors, k, partition, pivots)
 
 
-def _cell_reach(placed: DataFrame, k: int) -> tuple[dict[int, float], dict[int, float]]:
-    """How far each cell reaches from its pivot, and how far its k-th vector lies (infinite with fewer).
-
-    Every task sends one row per cell, so the driver gets two numbers per pivot.
-    """
-    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[float, list[float]]] = {}
-        for batch in batches:
-            for cell, reach in batch.groupby("cell")["reach"]:
-                far, near = held.get(cell, (0.0, []))
-                held[cell] = (max(far, reach.max()), sorted([*near, *reach.nsmallest(k)])[:k])
-        yield pd.DataFrame([(c, far, near) for c, (far, near) in held.items()], columns=["cell", "far", "near"])
-
-    parts = placed.select("cell", "reach").mapInPandas(summary, "cell int, far double, near array<double>")
-    rows = parts.groupBy("cell").agg(
-        F.max("far").alias("far"), F.sort_array(F.flatten(F.collect_list("near"))).alias("near")).select(
-        "cell", "far", F.get("near", F.lit(k - 1)).alias("kth")).collect()
-    return ({r["cell"]: r["far"] for r in rows},
-            {r["cell"]: np.inf if r["kth"] is None else r["kth"] for r in rows})
-
-
-def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, pivots: int = 64) -> DataFrame:
+def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None,
+              pivots: int = 64) -> DataFrame:
     """Exact k nearest neighbours for large query and vector tables.
 
-    Vectors belong to the cell of their nearest pivot. The distances from a query to the pivots
-    bound its k-th neighbour from above and every cell from below (triangle inequality), so a query
-    is sent only to cells that can hold one of its neighbours. Cells are matched in bounded blocks.
+    Vectors belong to the cell of their nearest pivot, within their partition. The distances from a
+    query to the pivots bound its k-th neighbour from above and every cell from below (triangle
+    inequality), so a query is sent only to cells that can hold one of its neighbours. Cells are
+    matched in bounded blocks, whatever share of the vectors one of them holds.
     """
+    spark = queries.sparkSession
     chosen = (vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id")
               .limit(pivots).select("embedding").collect())
+    result = _result_type(queries, vectors)
     if not chosen:
-        return _top(queries.sparkSession.createDataFrame([], _result_type(queries, vectors)), k)
-    centres = queries.sparkSession.sparkContext.broadcast(
-        np.unique(np.array([r[0] for r in chosen], dtype=np.float64), axis=0))
+        return _top(spark.createDataFrame([], result), k)
+    centres = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in chosen], dtype=np.float64), axis=0))
 
     def to_centres(points: np.ndarray) -> np.ndarray:
-        c = centres.value
-        return np.stack([np.sqrt(((points - one) ** 2).sum(1)) for one in c], axis=1)
+        return np.stack([np.sqrt(((points - one) ** 2).sum(1)) for one in centres.value], axis=1)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,28 +126,47 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, pivots: int =
                 cell = away.argmin(1)
                 yield batch.assign(cell=cell.astype("int32"), reach=away[np.arange(len(cell)), cell])
 
-    vec_type = vectors.schema["vec_id"].dataType.simpleString()
-    arr_type = vectors.schema["embedding"].dataType.simpleString()
-    placed = vectors.select("vec_id", "embedding").mapInPandas(
-        place, f"vec_id {vec_type}, embedding {arr_type}, cell int, reach double")
-    radius, kth = _cell_reach(placed, k)
-
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.array(sorted(radius))
-        reach = np.array([radius[c] for c in cells])
-        full = np.array([kth[c] for c in cells])
         for batch in batches:
-            if batch.empty:
-                continue
-            away = to_centres(matrix(batch["embedding"]))[:, cells]
-            bound = (away + full).min(1)
-            rows, cols = np.nonzero(away - reach <= (bound * (1 + 1e-9) + 1e-9)[:, None])
-            yield batch.iloc[rows].assign(cell=cells[cols].astype("int32"))
-
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    q_arr = queries.schema["embedding"].dataType.simpleString()
-    routed = queries.select("query_id", "embedding").mapInPandas(
-        route, f"query_id {q_type}, embedding {q_arr}, cell int")
-    found = match_blocks(routed, placed.drop("reach"), "cell", "query_id", "vec_id",
-                         _block_matcher(k), _result_type(queries, vectors))
+            for _, rows in batch.groupby("part", sort=False):
+                cells, reach, kth = (np.array(rows[c].iloc[0], dtype=float) for c in ("cells", "reach", "kth"))
+                away = to_centres(matrix(rows["embedding"]))[:, cells.astype(int)]
+                bound = (away + kth).min(1)
+                hit, to = np.nonzero(away - reach <= (bound * (1 + 1e-9) + 1e-9)[:, None])
+                yield rows[["part", "query_id", "embedding"]].iloc[hit].assign(cell=cells[to].astype("int32"))
+
+    part = (F.lit(0) if partition is None else F.col(partition)).alias("part")
+    inputs = vectors.select(part, "vec_id", "embedding").filter("part IS NOT NULL")
+    asked = queries.select(part, "query_id", "embedding").filter("part IS NOT NULL")
+    placed = inputs.mapInPandas(place, T.StructType([
+        *inputs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]))
+    routed = (asked.join(_cell_reach(placed, k), "part")
+              .mapInPandas(route, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())])))
+    found = match_blocks(routed, placed.drop("reach"), ["part", "cell"], "query_id", "vec_id", _block_matcher(k), result)
     return _top(found, k)
+
+
+def _cell_reach(placed: DataFrame, k: int) -> DataFrame:
+    """One row per partition with its cells as arrays: number, farthest and k-th vector from the pivot.
+
+    Every task sends k distances per cell it saw; a cell with fewer than k vectors bounds nothing.
+    """
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[float, list[float]]] = {}
+        for batch in batches:
+            for key, reach in batch.groupby(["part", "cell"], sort=False)["reach"]:
+                far, near = held.get(key, (0.0, []))
+                held[key] = (max(far, reach.max()), sorted([*near, *reach.nsmallest(k)])[:k])
+        yield pd.DataFrame([(p, c, far, near) for (p, c), (far, near) in held.items()],
+                           columns=["part", "cell", "far", "near"])
+
+    parts = placed.select("part", "cell", "reach").mapInPandas(summary, T.StructType([
+        placed.schema["part"], T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType()),
+        T.StructField("near", T.ArrayType(T.DoubleType()))]))
+    cells = parts.groupBy("part", "cell").agg(
+        F.max("far").alias("reach"),
+        F.coalesce(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(k - 1)),
+                   F.lit(float("inf"))).alias("kth"))
+    # At most one entry per pivot.
+    listed = cells.groupBy("part").agg(F.collect_list(F.struct("cell", "reach", "kth")).alias("all"))
+    return listed.select("part", F.col("all.cell").alias("cells"), F.col("all.reach").alias("reach"), F.col("all.kth").alias("kth"))

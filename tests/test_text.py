@@ -104,7 +104,16 @@ def test_both_ways_match_brute_force(cloud, k):
 
 def test_within_partition(cloud):
     rows, df = cloud
-    assert answers(nb.knn(as_queries(df), df, 3, partition="part")) == brute(rows, rows, 3)
+    assert answers(nb.knn(as_queries(df), df, 3, partition="part", pivots=8)) == brute(rows, rows, 3)
+
+
+def test_queries_are_sent_to_few_cells(cloud, monkeypatch):
+    rows, df = cloud
+    sent = {}
+    real = nb.match_blocks
+    monkeypatch.setattr(nb, "match_blocks", lambda left, *a: sent.update(rows=left.count()) or real(left, *a))
+    nb.knn_large(as_queries(df), df, 2, pivots=12)
+    assert sent["rows"] < len(rows) * 12 / 2
 
 
 def test_blocks_split_a_hot_cell(cloud, monkeypatch):
