@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from reviewlens.operators.blocks import match_blocks
 from reviewlens.operators.grouping import first_rows
+from reviewlens.sources.storage import cut_lineage
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -138,10 +139,11 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
     part = (F.lit(0) if partition is None else F.col(partition)).alias("part")
     inputs = vectors.select(part, "vec_id", "embedding").filter("part IS NOT NULL")
     asked = queries.select(part, "query_id", "embedding").filter("part IS NOT NULL")
-    placed = inputs.mapInPandas(place, T.StructType([
-        *inputs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())]))
-    routed = (asked.join(_cell_reach(placed, k), "part")
-              .mapInPandas(route, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())])))
+    # Both are counted and then matched; writing them keeps the Python steps to one run each.
+    placed = cut_lineage(inputs.mapInPandas(place, T.StructType([
+        *inputs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])))
+    routed = cut_lineage(asked.join(_cell_reach(placed, k), "part").mapInPandas(
+        route, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())])))
     found = match_blocks(routed, placed.drop("reach"), ["part", "cell"], "query_id", "vec_id", _block_matcher(k), result)
     return _top(found, k)
 

@@ -1,11 +1,7 @@
-"""Session settings and the shared folder for tables that cut a lineage or outlive a query."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 _SETTINGS = {
@@ -13,6 +9,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long texts: bound an Arrow batch by its size and not only by its rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -26,20 +24,3 @@ def build_session(app: str = "reviewlens", master: str | None = None, **settings
     for key, value in (_SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. Only a local session may do without one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), "reviewlens-local")
-    os.makedirs(folder, exist_ok=True)
-    return folder
-
-
-def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    """A path below the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from reviewlens.plans.registry import query
-from reviewlens.plans.session import fresh_folder
 from reviewlens.sources import bindings as bind, schema as S, tables as io
+from reviewlens.sources.storage import fresh_folder
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 

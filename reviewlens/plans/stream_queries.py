@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from reviewlens.plans.registry import query
-from reviewlens.plans.session import fresh_folder
 from reviewlens.sources import bindings as bind
+from reviewlens.sources.storage import fresh_folder
 from reviewlens.streaming.history import rolling_history
 from reviewlens.streaming.reviews import run_to_files, windowed_net_sentiment
 

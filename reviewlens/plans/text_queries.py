@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewlens.operators import neighbours as nb, text as tx
 from reviewlens.plans.registry import query
-from reviewlens.plans.session import fresh_folder
 from reviewlens.sources import bindings as bind, tables as io
+from reviewlens.sources.storage import fresh_folder
 
 
 @query("txt1_chunks")

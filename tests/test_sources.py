@@ -4,7 +4,7 @@ import os
 import pytest
 
 from reviewlens.functions.vocabulary import TITLE_LABELS
-from reviewlens.plans.session import fresh_folder, shared_folder
+from reviewlens.sources.storage import fresh_folder, shared_folder
 from reviewlens.sources import schema as S, tables as io
 
 
