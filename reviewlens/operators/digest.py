@@ -11,14 +11,17 @@ from reviewlens.functions.matching import drop_noise_aspects
 from reviewlens.functions.scoring import percent
 from reviewlens.functions.vocabulary import LOWER_LABELS
 from reviewlens.operators.grouping import first_rows, net_of_sums, score_sums
-from reviewlens.operators.keywords import keyword_stats
+from reviewlens.operators.keywords import term_counts, term_shares
 from reviewlens.operators.measures import net_sentiment_with_total
 from reviewlens.operators.ranking import aspect_ranking, top_aspects_by_count
 
 
 def family_aspects(reviews: DataFrame) -> DataFrame:
     """Per family and aspect: count, share of the family's reviews, sentiment beside the overall one."""
-    sums = score_sums(reviews, ["Product_Family", "Aspect"])
+    return _beside_family(score_sums(reviews, ["Product_Family", "Aspect"]))
+
+
+def _beside_family(sums: DataFrame) -> DataFrame:
     family = Window.partitionBy("Product_Family")
     whole = F.sum("row_count").over(family)
     return sums.select(
@@ -35,11 +38,16 @@ def review_digest(reviews: DataFrame, families: Sequence[str] | None = None, asp
 
     Aspects are picked by the aspect ranking, or by review count with ``by_count``. ``DIRECTION``
     tells whether the aspect pulls the family's sentiment up or down. ``nested`` gathers the terms
-    of an aspect (at most ``terms``) into one array; otherwise there is a row per term.
+    of an aspect (at most ``terms``) into one array; otherwise there is a row per term. The reviews
+    are scanned once: aspect figures are sums over the term counts.
     """
     if families is not None:
         reviews = reviews.filter(F.col("Product_Family").isin(*families))
-    table = drop_noise_aspects(family_aspects(reviews))
+    counts = term_counts(reviews, ["Product_Family", "Aspect", term_col], labels)
+    sums = counts.groupBy("Product_Family", "Aspect").agg(
+        F.sum(F.col("positive_count") - F.col("negative_count")).alias("score_sum"),
+        F.sum("term_count").alias("row_count"))
+    table = drop_noise_aspects(_beside_family(sums))
     key = ["PRODUCT_FAMILY"]
     picked = top_aspects_by_count(table, key, aspects) if by_count else aspect_ranking(table, key, aspects)
     difference = F.col("ASPECT_SENTIMENT") - F.col("NET_SENTIMENT")
@@ -47,12 +55,11 @@ def review_digest(reviews: DataFrame, families: Sequence[str] | None = None, asp
         "PRODUCT_FAMILY", "ASPECT", "PLACE", "REVIEW_COUNT", "REVIEW_PERCENTAGE", "ASPECT_SENTIMENT", "NET_SENTIMENT",
         difference.alias("DIFFERENCE"),
         F.when(difference > 0, "HIGH").when(difference < 0, "LOW").otherwise(" ").alias("DIRECTION"))
-    stats = keyword_stats(reviews, term_col=term_col, k=terms, by=["Product_Family"], labels=labels)
-    stats = stats.select(
+    stats = term_shares(counts, ["Product_Family", "Aspect"], term_col, terms).select(
         F.col("Product_Family").alias("_family"), F.col("Aspect").alias("_aspect"), F.col(term_col).alias("TERM"),
         "KEYWORD_CONTRIBUTION", "POSITIVE_PERCENTAGE", "NEGATIVE_PERCENTAGE", "NEUTRAL_PERCENTAGE")
-    joined = picked.join(stats, (F.col("PRODUCT_FAMILY") == F.col("_family")) & (F.col("ASPECT") == F.col("_aspect")))
-    joined = joined.drop("_family", "_aspect")
+    joined = picked.join(stats, F.col("PRODUCT_FAMILY").eqNullSafe(F.col("_family"))
+                         & F.col("ASPECT").eqNullSafe(F.col("_aspect"))).drop("_family", "_aspect")
     if not nested:
         return joined
     term = F.struct((-F.col("KEYWORD_CONTRIBUTION")).alias("order"), "TERM", "KEYWORD_CONTRIBUTION",

@@ -12,13 +12,35 @@ from reviewlens.functions.vocabulary import LOWER_LABELS
 from reviewlens.operators.grouping import add_group_totals, first_rows
 
 
-def _term_counts(df: DataFrame, keys: Sequence[str], labels: tuple[str, str, str]) -> DataFrame:
+def term_counts(df: DataFrame, keys: Sequence[str], labels: tuple[str, str, str] = LOWER_LABELS) -> DataFrame:
+    """Reviews per key by sentiment, and their sum ``term_count``.
+
+    The four counts are disjoint and every use takes the sum of all of them, so the branches of a
+    plan that start from this table have the same aggregate and share one scan and one shuffle.
+    """
     positive, neutral, negative = labels
+    label = F.col("Sentiment")
+    parts = ["positive_count", "negative_count", "neutral_count", "other_count"]
     return df.groupBy(*keys).agg(
-        F.count_if(F.col("Sentiment") == positive).alias("positive_count"),
-        F.count_if(F.col("Sentiment") == negative).alias("negative_count"),
-        F.count_if(F.col("Sentiment") == neutral).alias("neutral_count"),
-        F.count(F.lit(1)).alias("term_count"))
+        F.count_if(label == positive).alias(parts[0]),
+        F.count_if(label == negative).alias(parts[1]),
+        F.count_if(label == neutral).alias(parts[2]),
+        F.count_if(F.coalesce(~label.isin(positive, negative, neutral), F.lit(True))).alias(parts[3]),
+    ).withColumn("term_count", F.col(parts[0]) + F.col(parts[1]) + F.col(parts[2]) + F.col(parts[3]))
+
+
+def term_shares(counts: DataFrame, group: Sequence[str], term: str, k: int | None = 2, base: str = "aspect") -> DataFrame:
+    """Contribution and sentiment shares of the k leading terms per group, from term counts."""
+    table = add_group_totals(counts, group, aspect_count="term_count")
+    if k is not None:
+        table = first_rows(table, group, [F.desc("term_count"), F.asc(term)], k)
+    whole = F.col("aspect_count" if base == "aspect" else "term_count")
+    return table.select(
+        *group, term,
+        percent(F.col("positive_count"), whole).alias("POSITIVE_PERCENTAGE"),
+        percent(F.col("negative_count"), whole).alias("NEGATIVE_PERCENTAGE"),
+        percent(F.col("neutral_count"), whole).alias("NEUTRAL_PERCENTAGE"),
+        percent(F.col("term_count"), F.col("aspect_count")).alias("KEYWORD_CONTRIBUTION"))
 
 
 def keyword_stats(df: DataFrame, family: str | None = None, aspects: Sequence[str] | None = None,
@@ -36,23 +58,13 @@ def keyword_stats(df: DataFrame, family: str | None = None, aspects: Sequence[st
     if aspects is not None:
         rows = rows.filter(F.col("Aspect").isin(*aspects))
     group = [*by, "Aspect"]
-    counts = _term_counts(rows, [*group, term_col], labels)
-    counts = add_group_totals(counts, group, aspect_count="term_count")
-    if k is not None:
-        counts = first_rows(counts, group, [F.desc("term_count"), F.asc(term_col)], k)
-    whole = F.col("aspect_count" if base == "aspect" else "term_count")
-    return counts.select(
-        *group, term_col,
-        percent(F.col("positive_count"), whole).alias("POSITIVE_PERCENTAGE"),
-        percent(F.col("negative_count"), whole).alias("NEGATIVE_PERCENTAGE"),
-        percent(F.col("neutral_count"), whole).alias("NEUTRAL_PERCENTAGE"),
-        percent(F.col("term_count"), F.col("aspect_count")).alias("KEYWORD_CONTRIBUTION"))
+    return term_shares(term_counts(rows, [*group, term_col], labels), group, term_col, k, base)
 
 
 def top_keywords(df: DataFrame, filters: Iterable[tuple[str, str]] = (), k: int = 10, term_col: str = "Keywords",
                  labels: tuple[str, str, str] = LOWER_LABELS) -> DataFrame:
     """The most frequent terms with the share of each sentiment in the term's own reviews."""
-    counts = _term_counts(apply_filters(df, filters), [term_col], labels)
+    counts = term_counts(apply_filters(df, filters), [term_col], labels)
     whole = F.col("term_count")
     return (counts.select(
         term_col, whole.alias("REVIEW_COUNT"),

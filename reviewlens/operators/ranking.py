@@ -33,7 +33,8 @@ def rank_max(df: DataFrame, col: str, partition: Sequence[str] = (), rank: str =
     """
     keys = list(partition)
     counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_rows"))
-    cuts = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+    # The filter keeps every value; reading the count lets both branches share one scan and shuffle.
+    cuts = counts.filter("_rows > 0").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.percentile_approx(col, [i / pieces for i in range(1, pieces)]).alias("_cuts"))
     same = F.lit(True)
     for k in keys:

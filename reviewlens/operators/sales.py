@@ -121,11 +121,12 @@ def competitors_nearest(sales: DataFrame, series: str | None = None, k: int = 3)
     distinct set. Within a set the nearest prices are neighbours in price order: each price looks k
     distinct prices up and down, which avoids pairing all series of a segment.
     """
-    base = sales.groupBy("Series", "Chassis_Segment").agg(
+    # One aggregate serves every step below: all of them read both sums of named series and segments.
+    base = sales.filter("Series IS NOT NULL AND Chassis_Segment IS NOT NULL").groupBy("Series", "Chassis_Segment").agg(
         F.sum("Sales_Value").alias("value"), F.sum("Sales_Units").alias("units"))
     own = base.groupBy("Series").agg(
         F.sort_array(F.collect_set("Chassis_Segment")).alias("segments"),
-        F.try_divide(F.sum("value").cast("double"), F.sum("units")).alias("price"))
+        F.try_divide(F.sum("value").cast("double"), F.sum("units")).alias("price")).filter("price IS NOT NULL")
     focal = own if series is None else own.filter(F.col("Series") == series)
     sets = focal.select("segments").distinct().select("segments", F.explode("segments").alias("segment"))
     seen = (base.join(sets, F.col("Chassis_Segment") == F.col("segment"))

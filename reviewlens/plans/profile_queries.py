@@ -107,13 +107,13 @@ FROM {picked} p JOIN keyword_stats k ON k.family = p.PRODUCT_FAMILY AND k.Aspect
 
 @query("dig1_review_digest", _digest_sql("ranked_aspects"), ("ranked_aspects", "keyword_stats"))
 def _(spark, d):
-    return dg.review_digest(bind.reviews(spark, d, *_DIGEST_COLUMNS), nested=False)
+    return dg.review_digest(bind.reviews(spark, d, *_DIGEST_COLUMNS[:4]), nested=False)
 
 
 @query("dig1_review_digest_by_count", _digest_sql("""(SELECT *, row_number() OVER (PARTITION BY PRODUCT_FAMILY ORDER BY REVIEW_COUNT DESC, ASPECT) AS PLACE
   FROM family_aspects WHERE ASPECT <> 'Generic')"""), ("family_aspects", "keyword_stats"))
 def _(spark, d):
-    return dg.review_digest(bind.reviews(spark, d, *_DIGEST_COLUMNS), by_count=True, nested=False)
+    return dg.review_digest(bind.reviews(spark, d, *_DIGEST_COLUMNS[:4]), by_count=True, nested=False)
 
 
 @query("dig2_pros_cons", """SELECT * FROM (SELECT Product_Family, SIDE, Aspect, TERM, n AS REVIEW_COUNT,
