@@ -71,6 +71,8 @@ class Catalog:
             score = token_set_ratio(asked, name, min_score if top is None else top[1])
             if score >= min_score and (top is None or score > top[1]):
                 top = (name.text, score)
+                if score == 100.0:  # names come in order, so no later one can be preferred
+                    break
         return [top] if top else []
 
     def above(self, mention: str, min_score: float) -> list[tuple[str, float]]:

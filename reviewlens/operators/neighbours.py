@@ -101,10 +101,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | Non
 
 
 def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None,
-              pivots: int = 64) -> DataFrame:
+              pivots: int = 64, cell_rows: int = 4096) -> DataFrame:
     """Exact k nearest neighbours for large query and vector tables.
 
-    Vectors belong to the cell of their nearest pivot, within their partition. The distances from a
+    Vectors belong to the cell of their nearest pivot, within their partition; a partition uses as
+    many of the pivots as give it cells of about ``cell_rows`` vectors. The distances from a
     query to the pivots bound its k-th neighbour from above and every cell from below (triangle
     inequality), so a query is sent only to cells that can hold one of its neighbours. Cells are
     matched in bounded blocks, whatever share of the vectors one of them holds.
@@ -115,7 +116,8 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
     result = _result_type(queries, vectors)
     if not chosen:
         return _top(spark.createDataFrame([], result), k)
-    centres = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in chosen], dtype=np.float64), axis=0))
+    distinct = list(dict.fromkeys(tuple(r[0]) for r in chosen))
+    centres = spark.sparkContext.broadcast(np.array(distinct, dtype=np.float64))
 
     def to_centres(points: np.ndarray) -> np.ndarray:
         return np.stack([np.sqrt(((points - one) ** 2).sum(1)) for one in centres.value], axis=1)
@@ -124,23 +126,26 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
         for batch in batches:
             if not batch.empty:
                 away = to_centres(matrix(batch["embedding"]))
+                away[np.arange(away.shape[1])[None, :] >= batch["used"].to_numpy()[:, None]] = np.inf
                 cell = away.argmin(1)
-                yield batch.assign(cell=cell.astype("int32"), reach=away[np.arange(len(cell)), cell])
+                yield batch.drop(columns="used").assign(cell=cell.astype("int32"), reach=away[np.arange(len(cell)), cell])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, rows in batch.groupby("part", sort=False):
-                cells, reach, kth = (np.array(rows[c].iloc[0], dtype=float) for c in ("cells", "reach", "kth"))
+                cells, held, reach, kth = (np.array(rows[c].iloc[0], dtype=float) for c in ("cells", "held", "reach", "kth"))
                 away = to_centres(matrix(rows["embedding"]))[:, cells.astype(int)]
-                bound = (away + kth).min(1)
+                bound = np.minimum((away + kth).min(1), _enough(away + reach, held, k))
                 hit, to = np.nonzero(away - reach <= (bound * (1 + 1e-9) + 1e-9)[:, None])
                 yield rows[["part", "query_id", "embedding"]].iloc[hit].assign(cell=cells[to].astype("int32"))
 
     part = (F.lit(0) if partition is None else F.col(partition)).alias("part")
     inputs = vectors.select(part, "vec_id", "embedding").filter("part IS NOT NULL")
+    used = inputs.groupBy("part").agg(
+        F.least(F.lit(len(distinct)), F.ceil(F.count(F.lit(1)) / cell_rows)).cast("int").alias("used"))
     asked = queries.select(part, "query_id", "embedding").filter("part IS NOT NULL")
     # Both are counted and then matched; writing them keeps the Python steps to one run each.
-    placed = cut_lineage(inputs.mapInPandas(place, T.StructType([
+    placed = cut_lineage(inputs.join(used, "part").mapInPandas(place, T.StructType([
         *inputs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])))
     routed = cut_lineage(asked.join(_cell_reach(placed, k), "part").mapInPandas(
         route, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())])))
@@ -148,27 +153,36 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
     return _top(found, k)
 
 
+def _enough(farthest: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+    """Per query, the distance within which whole cells hold k vectors; infinite when all hold fewer."""
+    order = farthest.argsort(1)
+    full = held[order].cumsum(1) >= k
+    reached = np.take_along_axis(farthest, order, 1)[np.arange(len(order)), full.argmax(1)]
+    return np.where(full.any(1), reached, np.inf)
+
+
 def _cell_reach(placed: DataFrame, k: int) -> DataFrame:
-    """One row per partition with its cells as arrays: number, farthest and k-th vector from the pivot.
+    """One row per partition with its cells as arrays: number, vectors, farthest and k-th from the pivot.
 
-    Every task sends k distances per cell it saw; a cell with fewer than k vectors bounds nothing.
+    Every task sends at most k distances per cell it saw.
     """
     def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, tuple[float, list[float]]] = {}
+        held: dict[tuple, tuple[int, float, list[float]]] = {}
         for batch in batches:
             for key, reach in batch.groupby(["part", "cell"], sort=False)["reach"]:
-                far, near = held.get(key, (0.0, []))
-                held[key] = (max(far, reach.max()), sorted([*near, *reach.nsmallest(k)])[:k])
-        yield pd.DataFrame([(p, c, far, near) for (p, c), (far, near) in held.items()],
-                           columns=["part", "cell", "far", "near"])
+                n, far, near = held.get(key, (0, 0.0, []))
+                held[key] = (n + len(reach), max(far, reach.max()), sorted([*near, *reach.nsmallest(k)])[:k])
+        yield pd.DataFrame([(*key, *found) for key, found in held.items()], columns=["part", "cell", "n", "far", "near"])
 
     parts = placed.select("part", "cell", "reach").mapInPandas(summary, T.StructType([
-        placed.schema["part"], T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType()),
-        T.StructField("near", T.ArrayType(T.DoubleType()))]))
+        placed.schema["part"], T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType()),
+        T.StructField("far", T.DoubleType()), T.StructField("near", T.ArrayType(T.DoubleType()))]))
     cells = parts.groupBy("part", "cell").agg(
+        F.sum("n").alias("held"),
         F.max("far").alias("reach"),
         F.coalesce(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(k - 1)),
                    F.lit(float("inf"))).alias("kth"))
     # At most one entry per pivot.
-    listed = cells.groupBy("part").agg(F.collect_list(F.struct("cell", "reach", "kth")).alias("all"))
-    return listed.select("part", F.col("all.cell").alias("cells"), F.col("all.reach").alias("reach"), F.col("all.kth").alias("kth"))
+    listed = cells.groupBy("part").agg(F.collect_list(F.struct("cell", "held", "reach", "kth")).alias("all"))
+    return listed.select("part", F.col("all.cell").alias("cells"), F.col("all.held").alias("held"),
+                         F.col("all.reach").alias("reach"), F.col("all.kth").alias("kth"))

@@ -99,12 +99,14 @@ def test_both_ways_match_brute_force(cloud, k):
     want = brute(same, same, k)
     assert answers(nb.knn(as_queries(df), df, k)) == want
     assert answers(nb.knn(as_queries(df), df, k, few=10)) == want
-    assert answers(nb.knn_large(as_queries(df), df, k, pivots=9)) == want
+    assert answers(nb.knn_large(as_queries(df), df, k, pivots=9, cell_rows=40)) == want
+    assert answers(nb.knn_large(as_queries(df), df, k)) == want
 
 
 def test_within_partition(cloud):
     rows, df = cloud
-    assert answers(nb.knn(as_queries(df), df, 3, partition="part", pivots=8)) == brute(rows, rows, 3)
+    assert answers(nb.knn(as_queries(df), df, 3, partition="part")) == brute(rows, rows, 3)
+    assert answers(nb.knn_large(as_queries(df), df, 3, "part", pivots=30, cell_rows=10)) == brute(rows, rows, 3)
 
 
 def test_queries_are_sent_to_few_cells(cloud, monkeypatch):
@@ -112,7 +114,7 @@ def test_queries_are_sent_to_few_cells(cloud, monkeypatch):
     sent = {}
     real = nb.match_blocks
     monkeypatch.setattr(nb, "match_blocks", lambda left, *a: sent.update(rows=left.count()) or real(left, *a))
-    nb.knn_large(as_queries(df), df, 2, pivots=12)
+    nb.knn_large(as_queries(df), df, 2, pivots=12, cell_rows=20)
     assert sent["rows"] < len(rows) * 12 / 2
 
 
