@@ -10,14 +10,6 @@ NOISE_ASPECTS = ("Generic", "Account", "Customer-Service", "Browser")
 # The six aspects shown on a device card, in display order.
 RATED_ASPECTS = ("Performance", "Design", "Display", "Battery", "Price", "Software")
 
-# Aspects of the assistant-review vocabulary.
-ASSISTANT_ASPECTS = (
-    "Interface", "Connectivity", "Privacy", "Compatibility", "Generic", "Innovation",
-    "Reliability", "Productivity", "Price", "Text Summarization/Generation",
-    "Code Generation", "Ease of Use", "Performance", "Personalization/Customization",
-    "Accessibility", "End User Usecase",
-)
-
 # Operating-system groups a competitor may belong to.
 COMPETITOR_SYSTEMS = ("Apple OS", "Google OS", "Windows OS")
 
