@@ -69,19 +69,19 @@ def test_catalog_search_skips_nothing(seed):
 
 @pytest.fixture
 def catalog(spark):
-    return spark.createDataFrame([("ORBIT GO",), ("ORBIT GO 3",), ("NOVA 5",), ("UNDEFINED",), ("PAD",)], "name string")
+    return spark.createDataFrame([("ORBIT GO",), ("ORBIT GO 3",), ("QUASAR 55",), ("UNDEFINED",), ("PAD",)], "name string")
 
 
 @pytest.fixture
 def texts(spark):
-    return spark.createDataFrame([(1, "is the orbit go 3 better than nova 5 or pad"), (2, "nothing here"), (3, None),
+    return spark.createDataFrame([(1, "is the orbit go 3 better than quasar 55 or pad"), (2, "nothing here"), (3, None),
                                   (4, "x" * 30_000 + " pad"), (5, "padpad")], "text_id int, text string")
 
 
 @pytest.mark.parametrize("small", [50_000, 1])
 def test_mentions_longest_first(texts, catalog, small):
     got = sorted(tuple(r) for r in nm.detect_mentions(texts, catalog, small=small).collect())
-    assert got == [(1, "NOVA 5", 2), (1, "ORBIT GO 3", 1), (4, "PAD", 1), (5, "PAD", 1)]
+    assert got == [(1, "ORBIT GO 3", 1), (1, "QUASAR 55", 2), (4, "PAD", 1), (5, "PAD", 1)]
     everything = nm.detect_mentions(texts, catalog, None, small=small).filter("text_id = 1").count()
     assert everything == 4
 
@@ -102,12 +102,12 @@ def test_mode_is_checked(spark, catalog):
 
 @pytest.mark.parametrize("small", [50_000, 1])
 def test_cascade(spark, catalog, small):
-    reviewed = spark.createDataFrame([("ACME NOVA 5 15",), ("TERN LODGE 15",)], "name string")
-    asked = spark.createDataFrame([("about the tern lodge 15",), ("nova acme 5",), ("my pad",), ("orbit 3 go",), ("undefined",), ("zzz",), (None,)],
+    reviewed = spark.createDataFrame([("ACME QUASAR 55 15",), ("TERN LODGE 15",)], "name string")
+    asked = spark.createDataFrame([("about the tern lodge 15",), ("quasar acme 55",), ("my pad",), ("orbit 3 go",), ("undefined",), ("zzz",), (None,)],
                                   "mention string")
     got = {r["mention"]: (r["DEVICE"], r["STAGE"]) for r in nm.resolve_device(asked, reviewed, catalog, small=small).collect()}
     assert got == {
-        "ABOUT THE TERN LODGE 15": ("TERN LODGE 15", 1), "NOVA ACME 5": ("ACME NOVA 5 15", 2), "MY PAD": ("PAD", 3),
+        "ABOUT THE TERN LODGE 15": ("TERN LODGE 15", 1), "QUASAR ACME 55": ("ACME QUASAR 55 15", 2), "MY PAD": ("PAD", 3),
         "ORBIT 3 GO": ("ORBIT GO", 4), "UNDEFINED": ("UNDEFINED", 4), "ZZZ": (UNAVAILABLE, 5)}
 
 
