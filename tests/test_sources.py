@@ -77,3 +77,17 @@ def test_hot_entity_is_split_over_files(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert fresh_folder(spark, "x") != fresh_folder(spark, "x")
+
+
+def test_executors_do_not_need_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from reviewlens.functions.similarity import Catalog
+
+    sent = cloudpickle.dumps(lambda: Catalog(["ORBIT GO"]).best("GO ORBIT 3", 60))
+    code = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read())())"
+    ran = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd=tmp_path, timeout=60)
+    assert ran.stdout.decode().strip() == "[('ORBIT GO', 100.0)]", ran.stderr.decode()
