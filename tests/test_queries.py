@@ -6,11 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from reviewlens.plans import registry
 from tools.check_oracles import TABLES, rows_of as normalized
 
 from conftest import SF
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+registry.load()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 WITHOUT_SQL = {"jn12_fuzzy_all", "jn13_resolved_devices", "txt1_chunks", "txt2_embedded_chunks", "txt3_vector_index"}
 PYTHON = ("jn11", "jn12", "jn13", "txt", "str2")
 
