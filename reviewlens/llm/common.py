@@ -47,7 +47,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the texts: words per text, index of each word into the distinct words, and those.
     A null text has none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A fresh copy: ascii_lower misreads texts whose buffer begins before their first row, as slices have it.
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = split.flatten()
     kept = pc.greater(pc.binary_length(flat), 0)
