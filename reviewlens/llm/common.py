@@ -79,10 +79,10 @@ def seeds(count: int, seed: int) -> np.ndarray:
 
 
 def bloom(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A bitmap of the low bits of the column ``key`` (64-bit). Its size is fixed by ``bits`` whatever the number of keys, so
-    it can be sent to every task; a full one lets everything through, which costs time and no rows."""
-    slot = F.pmod(F.col("key"), F.lit(bits))
-    parts = (keys.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) & 63 as int))").alias("bit"))
+    """A Bloom filter with two probes over the column ``key`` (64-bit). Its size is fixed by ``bits``, a power of two up to 2^32,
+    whatever the number of keys, so it can be sent to every task; a full one lets everything through, which costs time and no rows."""
+    slot = F.explode(F.array(F.expr(f"key & {bits - 1}L"), F.expr(f"shiftrightunsigned(key, 32) & {bits - 1}L")))
+    parts = (keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
              .groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas())
     out = np.zeros(bits >> 6, np.uint64)
     out[parts["at"].to_numpy(np.int64)] = parts["bit"].to_numpy(np.int64).view(np.uint64)
@@ -90,8 +90,16 @@ def bloom(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
 
 
 def in_bloom(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+    """Which of the keys may have been put in."""
+    low, place, bit = np.uint64(len(bitmap) * 64 - 1), np.uint64(6), np.uint64(63)
+
+    def probe(slot):
+        return (bitmap[(slot >> place).astype(np.int64)] >> (slot & bit)) & np.uint64(1) != 0
+
+    found = probe(keys & low)
+    at = np.flatnonzero(found)
+    found[at] = probe((keys[at] >> np.uint64(32)) & low)
+    return found
 
 
 def components(edges: DataFrame, keep) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import minmax, packing, token_files
+from reviewlens.llm import minmax, packing, spaced_seeds, token_files
 from reviewlens.llm.common import table
 
 END_ID = 2
@@ -26,11 +26,15 @@ def op6_packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shard_by_bytes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_files, op6_packed_shards, op10_minmax_near_duplicates)
+    f.__name__: f for f in (op4_token_files, op6_packed_shards, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
 }
 ORACLES: dict[str, str] = {}

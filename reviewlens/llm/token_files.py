@@ -93,12 +93,33 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        # A token that is cut out of the raw text separates words without joining them to it.
+        self.between = next(((i, t.content) for i, t in sorted(added.items()) if not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number per word. Words go through the tokenizer many at a time."""
+        if self.between is None:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
+            return np.fromiter((i for c in coded for i in c), np.uint32), np.array([len(c) for c in coded], np.int64)
+        ids, counts = [], []
+        for k in range(0, len(distinct), 4096):
+            got = np.array(self.tokenizer.encode(self.between[1].join(distinct[k:k + 4096]), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(got == self.between[0])
+            counts.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+            ids.append(np.delete(got, cuts))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode_alone(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+        return ids, np.array([len(ids)])
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number per text."""
         counts, index, distinct = words(texts, lower=False)
@@ -107,10 +128,14 @@ class WordEncoder:
             self.forget()
         new = [w for w in distinct if w not in self.known]
         if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            odd = [w for w in new if any(a in w for a in self.added)]
+            if odd:  # these hold a separator themselves
+                new = [w for w in new if w not in set(odd)]
+            parts = ([self.encode(new)] if new else []) + [self.encode_alone(w) for w in odd]
+            new += odd
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(c) for c in coded])])
+            self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
         place = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[index]
         begin, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
