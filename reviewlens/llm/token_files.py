@@ -27,6 +27,8 @@ HEAD = "<8sIIQQQ"
 BLOCK = 1 << 16
 #: Ids after which a file is closed at the next end of a document.
 FILE_IDS = 4 << 20
+#: Stands between words that go through the tokenizer together.
+MARK = "\x01"
 #: Words whose ids a task remembers.
 REMEMBERED = 1 << 19
 
@@ -93,10 +95,11 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = [t.content for t in added.values()]
-        # A token that is cut out of the raw text separates words without joining them to it.
-        self.between = next(((i, t.content) for i, t in sorted(added.items()) if not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marked = [self.encode_alone(t)[0].tolist() for t in (MARK, f"a {MARK} b", "a", "b")]
+        if len(marked[0]) != 1 or marked[1] != marked[2] + marked[0] + marked[3]:
+            raise ValueError("this tokenizer joins text across white space")
+        self.mark = marked[0][0]
         self.forget()
 
     def forget(self) -> None:
@@ -104,14 +107,11 @@ class WordEncoder:
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number per word. Words go through the tokenizer many at a time."""
-        if self.between is None:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
-            return np.fromiter((i for c in coded for i in c), np.uint32), np.array([len(c) for c in coded], np.int64)
+        """All ids in order, and the number per word, for words without a mark: they go through the tokenizer many at a time."""
         ids, counts = [], []
         for k in range(0, len(distinct), 4096):
-            got = np.array(self.tokenizer.encode(self.between[1].join(distinct[k:k + 4096]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(got == self.between[0])
+            got = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(distinct[k:k + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(got == self.mark)
             counts.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
             ids.append(np.delete(got, cuts))
         return np.concatenate(ids), np.concatenate(counts)
@@ -128,9 +128,8 @@ class WordEncoder:
             self.forget()
         new = [w for w in distinct if w not in self.known]
         if new:
-            odd = [w for w in new if any(a in w for a in self.added)]
-            if odd:  # these hold a separator themselves
-                new = [w for w in new if w not in set(odd)]
+            odd = {w for w in new if MARK in w or any(a in w for a in self.special)}
+            new = [w for w in new if w not in odd] if odd else new
             parts = ([self.encode(new)] if new else []) + [self.encode_alone(w) for w in odd]
             new += odd
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
