@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,8 +31,8 @@ BLOCK = 1 << 16
 FILE_IDS = 4 << 20
 #: Stands between words that go through the tokenizer together.
 MARK = "\x01"
-#: Words whose ids a task remembers.
-REMEMBERED = 1 << 19
+#: Words whose ids a worker remembers, from one task to the next.
+REMEMBERED = 1 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -142,6 +144,15 @@ class WordEncoder:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process. Steps travel by value, so what is to outlive a task is kept by the process."""
+    memory = sys.modules.setdefault("reviewlens_worker", types.ModuleType("reviewlens_worker"))
+    kept = vars(memory).setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """``end`` added to each document."""
     return np.insert(ids, np.cumsum(lengths), end), lengths + 1
@@ -149,7 +160,7 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray
 
 def packer(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        encode = WordEncoder(path)
+        encode = encoder(path)
         bits = width(encode.tokenizer.get_vocab_size())
         part, seq = TaskContext.get().partitionId(), 0
         held_ids, held_lengths, keys = [], [], []
