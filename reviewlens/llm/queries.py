@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import minmax, packing, spaced_seeds, subwords, token_files
+from reviewlens.llm import backoff, minmax, packing, spaced_seeds, subwords, token_files
 from reviewlens.llm.common import table
 
 END_ID = 2
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.language_model_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -39,6 +43,6 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_subword_toxicity, op4_token_files, op6_packed_shards, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
+    f.__name__: f for f in (op1_backoff_scores, op3_subword_toxicity, op4_token_files, op6_packed_shards, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
 }
 ORACLES: dict[str, str] = {}
