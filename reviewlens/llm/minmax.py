@@ -85,7 +85,7 @@ def signed(docs: DataFrame) -> DataFrame:
 #: deviation of 0.04, so a link is missed here with a chance below 1e-6.
 LEAST_AGREEMENT = 0.55
 #: Members of a bucket that meet in one comparison.
-SIDE = 256
+SIDE = 1024
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,47 +100,64 @@ def _linked(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = _shared(x, y)
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one cell, a row of either side, from different components and with agreeing signatures. Cells come sorted; what a
-    batch ends with is kept for the next one."""
-    held: list[pa.RecordBatch] = []
-
-    def compare(rows: pa.Table):
-        side = rows.column("side").to_numpy()
-        cells = rows.column("cell").to_numpy()
-        nodes, of = rows.column("node").to_numpy(), rows.column("component").to_numpy()
-        values = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(len(rows), -1)
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
-        a, b = [], []
-        for begin, stop in zip(bounds[:-1], bounds[1:]):
-            members = np.flatnonzero(side[begin:stop] == 1) + begin
-            for x in np.flatnonzero(side[begin:stop] == 0) + begin:
-                others = members[of[members] != of[x]]
-                hits = others[(values[others] == values[x]).mean(1) >= LEAST_AGREEMENT]
-                a.extend([nodes[x]] * len(hits))
-                b.extend(nodes[hits])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _cell_links(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links of one cell between rows of side 0 and rows of side 1 of other components, as far as they join what the links before
+    have not: at most one for each row. Pairs with agreeing signatures are compared in full, the most agreeing first."""
+    side, nodes = rows.column("side").to_numpy(), rows.column("node").to_numpy()
+    _, group = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    values = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(len(rows), -1)
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+    sizes = np.array([len(s) for s in sets])
+    members = np.flatnonzero(side == 1)
+    a, b = [], []
+    for x in np.flatnonzero(side == 0):
+        others = members[group[members] != group[x]]
+        others = others[100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])]
+        agreeing = (values[others] == values[x]).mean(1)
+        order = np.argsort(-agreeing, kind="stable")
+        for y in others[order[:int((agreeing >= LEAST_AGREEMENT).sum())]]:
+            if group[y] == group[x]:
+                continue
+            both = _shared(sets[x], sets[y])
+            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                a.append(int(nodes[x]))
+                b.append(int(nodes[y]))
+                group[group == group[y]] = group[x]
+    return a, b
+
+
+def _across(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of each cell. Cells come sorted; the one that a batch ends with is kept for the next batch."""
+    def run(batches):
+        held: list[pa.RecordBatch] = []
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cells = batch.column("cell").to_numpy()
-        last = int(np.searchsorted(cells == cells[-1], True)) if held or cells[0] != cells[-1] else 0
-        if held and cells[0] != held[-1].column("cell")[-1].as_py():
-            yield compare(pa.Table.from_batches(held))
-            held = []
-        if last:
-            yield compare(pa.Table.from_batches([*held, batch.slice(0, last)]))
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield compare(pa.Table.from_batches(held))
+        def links():
+            a, b = _cell_links(pa.Table.from_batches(held), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cell").to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
+            for begin, stop in zip(bounds[:-1], bounds[1:]):
+                if held and held[-1].column("cell")[-1].as_py() != cells[begin]:
+                    yield links()
+                    held = []
+                held.append(batch.slice(begin, stop - begin))
+        if held:
+            yield links()
+    return run
 
 
 def _sets(bitmap: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -171,9 +188,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     1. Rows with equal sets form a class, whose node is its smallest id; from here on a class is one row.
     2. Classes that share a band fall into a bucket. Each is compared with the smallest node of each of its buckets, and what is
        linked becomes a component.
-    3. Buckets that still hold several components: every class outside the component of the smallest node meets every class of
-       another component, in cells of ``SIDE`` by ``SIDE``, so no link between two classes of a bucket is left out and no
-       bucket is one task. Groups of copies are one component by then and cost nothing here.
+    3. Buckets of three and more that still hold several components: every class outside the component of the smallest node meets
+       every class of another component, in cells of ``SIDE`` by ``SIDE``, so no link between two classes of a bucket is left out
+       and no bucket is one task. A cell returns the links that join components, at most one a row.
     """
     spark = docs.sparkSession
     rows = cut_lineage(signed(docs))
@@ -205,15 +222,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
               .join(found.select(F.col("node").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
               .select("key", "node", "component", (F.col("component") != F.coalesce("main", "pivot")).cast("int").alias("apart")))
     placed = cut_lineage(placed)
-    counts = (placed.groupBy("key").agg(F.count("*").alias("m"), F.sum("apart").alias("u")).filter("u > 0")
+    counts = (placed.groupBy("key").agg(F.count("*").alias("m"), F.sum("apart").alias("u")).filter("u > 0 and m > 2")
               .select("key", F.ceil(F.col("m") / SIDE).cast("int").alias("m"), F.ceil(F.col("u") / SIDE).cast("int").alias("u")))
-    apart = placed.join(counts, "key").join(nodes.select("node", "signature"), "node")
+    apart = (placed.join(counts, "key").join(nodes.select("node", "signature"), "node").join(sets, "node")
+             .select("key", "m", "u", "apart", "node", "component", "signature", "shingles"))
     spread, own = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    left = apart.filter("apart = 1").select("key", own("u").alias("x"), spread("m").alias("y"), F.lit(0).alias("side"), "node", "component", "signature")
-    right = apart.select("key", spread("u").alias("x"), own("m").alias("y"), F.lit(1).alias("side"), "node", "component", "signature")
-    cells = left.union(right).select(F.xxhash64("key", "x", "y").alias("cell"), "side", "node", "component", "signature")
+    kept = ("node", "component", "signature", "shingles")
+    left = apart.filter("apart = 1").select("key", own("u").alias("x"), spread("m").alias("y"), F.lit(0).alias("side"), *kept)
+    right = apart.select("key", spread("u").alias("x"), own("m").alias("y"), F.lit(1).alias("side"), *kept)
+    cells = left.union(right).select(F.xxhash64("key", "x", "y").alias("cell"), "side", *kept)
     cells = cells.repartition("cell").sortWithinPartitions("cell")
-    more = verified(cells.mapInArrow(_across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = cells.mapInArrow(_across(percent), "a long, b long")
     # Components so far stand for their links.
     linked = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), cut_lineage)
 

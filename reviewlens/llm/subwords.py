@@ -97,21 +97,33 @@ def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int =
     return out, float(bias[1] - bias[0])
 
 
+def scores(texts: pa.Array, model: np.ndarray, bias: float) -> np.ndarray:
+    """The chance that each text is toxic."""
+    counts, index, distinct = words(texts)
+    grams, n_grams = word_grams(distinct)
+    per_word = np.bincount(np.repeat(np.arange(len(n_grams)), n_grams), model[grams], len(n_grams)) / np.maximum(n_grams, 1)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    logit = np.bincount(owner, per_word[index], len(counts)) / np.maximum(counts, 1) + bias
+    return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+
+
 def _scorer(model: np.ndarray, bias: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in steps(batches):
-            counts, index, distinct = words(batch.column("text"))
-            grams, n_grams = word_grams(distinct)
-            per_word = np.bincount(np.repeat(np.arange(len(n_grams)), n_grams), model[grams], len(n_grams)) / np.maximum(n_grams, 1)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            logit = np.bincount(owner, per_word[index] if len(index) else None, len(counts)) / np.maximum(counts, 1) + bias
-            score = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+            score = scores(batch.column("text"), model, bias)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
     return run
 
 
+def _keeper(model: np.ndarray, bias: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for batch in steps(batches):
+            yield batch.filter(pa.array(scores(batch.column("text"), model, bias) < 0.5))
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model from rows of ``docs`` that have a label toxic of 0 or 1 and a fold other than 0, within FIT_ROWS and FIT_BYTES. A
     doc_id with several labels counts as toxic if one says so; of its rows one is used. Without labelled rows every score is 0.5."""
@@ -138,3 +150,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", (fold() == 0).alias("held_out")).mapInArrow(
         _scorer(*fit(docs, labels)), f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score below one half; no row moves."""
+    return docs.mapInArrow(_keeper(*fit(docs, labels)), docs.schema)
