@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import backoff, minmax, packing, pfair, spaced_seeds, subwords, token_files
+from reviewlens.llm import backoff, minmax, packing, pfair, risk_rules, secret_index, spaced_seeds, subwords, token_files
 from reviewlens.llm.common import table
 
 END_ID = 2
@@ -21,6 +21,10 @@ def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.language_model_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_index.secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -30,6 +34,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(files)
 
 
+def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.judged(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op6_packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shard_by_bytes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -47,6 +55,6 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_backoff_scores, op3_subword_toxicity, op4_token_files, op6_packed_shards, op8_pfair_mixture, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
+    f.__name__: f for f in (op1_backoff_scores, op2_trigram_secrets, op3_subword_toxicity, op4_token_files, op5_risk_controlled_rules, op6_packed_shards, op8_pfair_mixture, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
 }
 ORACLES: dict[str, str] = {}
