@@ -30,7 +30,7 @@ from reviewlens.sources.storage import cut_lineage, fresh_folder
 #: Words of the longest n-gram.
 ORDER = 2
 #: Bytes of text in a chunk, and n-grams that a range takes on at most.
-CHUNK_BYTES, RANGE_KEYS = 16 << 20, 4 << 20
+CHUNK_BYTES, RANGE_KEYS = 8 << 20, 4 << 20
 #: Classes of counts by their power of two.
 CLASSES = 64
 END = 0x1F3D5B79A2C4E681
@@ -48,6 +48,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["chunk", "doc_ids", "held", "counts", "index", "vocabulary", "tokens"])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """One chunk at a time, however many a batch holds."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch, batch.slice(k, 1).to_pylist()[0]
+
+
+def _counts(values: np.ndarray) -> bytes:
+    """Counts, of which most are small."""
+    return pa.compress(values.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def _counted(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), "<i8")
+
+
 class Texts:
     """The tokens of a chunk, each text closed by the end, and the keys of their n-grams."""
 
@@ -82,19 +98,18 @@ class Texts:
 
 def _asking(order: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                texts = Texts(row)
-                keys, at = texts.distinct(order)
-                seen = np.bincount(at, np.tile(texts.trained, order), len(keys)).astype("<i4")
-                if len(keys) and keys[0] == 0:
-                    keys, seen = keys[1:], seen[1:]
-                bounds = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
-                for k in np.flatnonzero(np.diff(bounds)):
-                    part = slice(bounds[k], bounds[k + 1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(k)], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()),
-                         pa.array([seen[part].tobytes()], pa.binary())], ["range", "chunk", "keys", "seen"])
+        for _, row in _rows(batches):
+            texts = Texts(row)
+            keys, at = texts.distinct(order)
+            seen = np.bincount(at, np.tile(texts.trained, order), len(keys))
+            if len(keys) and keys[0] == 0:
+                keys, seen = keys[1:], seen[1:]
+            bounds = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
+            for k in np.flatnonzero(np.diff(bounds)):
+                part = slice(bounds[k], bounds[k + 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(k)], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()),
+                     pa.array([_counts(seen[part])], pa.binary())], ["range", "chunk", "keys", "seen"])
     return run
 
 
@@ -107,7 +122,7 @@ def _answer(order: int) -> Callable[[pa.Table], pa.Table]:
     to the statistics: for each n the n-grams by class of count, their tokens by class, and those seen once and twice."""
     def run(rows: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in rows.column("keys")]
-        seen = np.concatenate([np.frombuffer(s.as_buffer(), "<i4") for s in rows.column("seen")])
+        seen = np.concatenate([_counted(s.as_buffer(), len(k)) for s, k in zip(rows.column("seen"), keys)])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, seen, len(distinct)).astype(np.int64)
         figures = []
@@ -117,7 +132,7 @@ def _answer(order: int) -> Callable[[pa.Table], pa.Table]:
             figures += [*np.bincount(kind, minlength=CLASSES).tolist(), *np.bincount(kind, own, CLASSES).astype(np.int64).tolist(),
                         int((own == 1).sum()), int((own == 2).sum())]
         bounds = np.cumsum([0, *map(len, keys)])
-        answers = [total[at[a:b]].astype("<i8").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        answers = [_counts(total[at[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
         return pa.table([rows.column("chunk"), rows.column("range"), pa.array(answers, pa.binary()),
                          pa.array([figures] + [None] * (len(rows) - 1), pa.list_(pa.int64()))], ["chunk", "range", "totals", "figures"])
     return run
@@ -152,26 +167,29 @@ class Law:
 
 def _walk(order: int, law: Law) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                texts = Texts(row)
-                keys, at = texts.distinct(order)
-                answers = [np.frombuffer(a["totals"], "<i8") for a in sorted(row["answers"], key=lambda a: a["range"])]
-                total = np.concatenate([np.zeros(int(len(keys) > 0 and keys[0] == 0), np.int64), *answers])
-                counts = total[at].reshape(order, -1)
-                base = law.word(counts[0])
-                probability = base
-                for n in range(2, order + 1):
-                    history = np.concatenate([[0], counts[n - 2][:-1]])
-                    history[texts.place < n - 1] = 0
-                    fail = law.failure(n, history)
-                    probability = (1 - fail) * counts[n - 1] / np.maximum(history, 1) + fail * probability
-                added = [np.add.reduceat(v, texts.starts) for v in (counts[0] > 0, np.log10(base), np.log10(probability))]
-                size = len(texts.lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(row["held"]), pa.array(texts.lengths),
-                     pa.array(added[0].astype(np.int64)), pa.array(np.full(size, law.tokens)), pa.array(added[1]), pa.array(added[2])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for batch, row in _rows(batches):
+            texts = Texts(row)
+            keys, at = texts.distinct(order)
+            ranges = _range(keys, row["ranges"])
+            total = np.zeros(len(keys), np.int64)
+            for answer in row["answers"]:
+                begin, stop = np.searchsorted(ranges, [answer["range"], answer["range"] + 1])
+                begin += int(begin == 0 and keys[0] == 0)  # the key of no n-gram was not asked for
+                total[begin:stop] = _counted(answer["totals"], stop - begin)
+            counts = total[at].reshape(order, -1)
+            base = law.word(counts[0])
+            probability = base
+            for n in range(2, order + 1):
+                history = np.concatenate([[0], counts[n - 2][:-1]])
+                history[texts.place < n - 1] = 0
+                fail = law.failure(n, history)
+                probability = (1 - fail) * counts[n - 1] / np.maximum(history, 1) + fail * probability
+            added = [np.add.reduceat(v, texts.starts) for v in (counts[0] > 0, np.log10(base), np.log10(probability))]
+            size = len(texts.lengths)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(row["held"]), pa.array(texts.lengths),
+                 pa.array(added[0].astype(np.int64)), pa.array(np.full(size, law.tokens)), pa.array(added[1]), pa.array(added[2])],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 
@@ -198,7 +216,7 @@ def scored(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     figures = answers.filter("figures is not null").select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col")).orderBy("pos").collect()
     law = Law(np.array([r[1] for r in figures], np.int64) if figures else np.zeros(order * (2 * CLASSES + 2), np.int64))
     gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("range", "totals")).alias("answers"))
-    return chunks.join(gathered, "chunk").mapInArrow(
+    return chunks.join(gathered, "chunk").withColumn("ranges", F.lit(ranges)).mapInArrow(
         _walk(order, law), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
