@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import backoff, minmax, packing, pfair, risk_rules, secret_index, spaced_seeds, subwords, token_files
+from reviewlens.llm import backoff, minmax, packing, personal_data, pfair, risk_rules, secret_index, spaced_seeds, subwords, token_files
 from reviewlens.llm.common import table
 
 END_ID = 2
@@ -42,6 +42,10 @@ def op6_packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.shard_by_bytes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_tagged_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mixture(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -55,6 +59,6 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_backoff_scores, op2_trigram_secrets, op3_subword_toxicity, op4_token_files, op5_risk_controlled_rules, op6_packed_shards, op8_pfair_mixture, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
+    f.__name__: f for f in (op1_backoff_scores, op2_trigram_secrets, op3_subword_toxicity, op4_token_files, op5_risk_controlled_rules, op6_packed_shards, op7_tagged_personal_data, op8_pfair_mixture, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
 }
 ORACLES: dict[str, str] = {}
