@@ -51,17 +51,30 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 32-bit values per set, which must not be empty: least and greatest under each function in turn."""
+    """One row of 16-bit values per set, which must not be empty: 16 middle bits of the least and the greatest under each function
+    in turn. Unequal values agree on them with a chance of 2^-16."""
     everything = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), 2 * FUNCTIONS), "<u4")
+    out = np.empty((len(sets), 2 * FUNCTIONS), "<u2")
     for j, a in enumerate(seeds(FUNCTIONS, 2)):
         values = everything * a
-        out[:, 2 * j] = np.minimum.reduceat(values, starts) >> np.uint64(32)
-        out[:, 2 * j + 1] = np.maximum.reduceat(values, starts) >> np.uint64(32)
+        for k, reduce in enumerate((np.minimum, np.maximum)):
+            out[:, 2 * j + k] = (reduce.reduceat(values, starts) >> np.uint64(32)) & np.uint64(0xFFFF)
     return out
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """A sorted set by the upper 48 bits of its hashes; two documents of 20,000 shingles share one by chance once in a million."""
+    return (hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    bytes_ = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(bytes_), 8), np.uint8)
+    out[:, :6] = bytes_
+    return out.view("<u8").ravel()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
     for batch in steps(batches):
@@ -90,7 +103,7 @@ SIDE = 1024
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
         yield batch.select(["a", "b"]).filter(pa.array((left == right).mean(1) >= LEAST_AGREEMENT)) if batch.num_rows else batch.select(["a", "b"])
 
 
@@ -99,7 +112,7 @@ def _linked(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for batch in batches:
             good = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = _shared(x, y)
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -115,8 +128,8 @@ def _cell_links(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     have not: at most one for each row. Pairs with agreeing signatures are compared in full, the most agreeing first."""
     side, nodes = rows.column("side").to_numpy(), rows.column("node").to_numpy()
     _, group = np.unique(rows.column("component").to_numpy(), return_inverse=True)
-    values = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(len(rows), -1)
-    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+    sets = [unpacked(s.as_buffer()) for s in rows.column("shingles")]
+    values = signatures([mixed(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
     members = np.flatnonzero(side == 1)
     a, b = [], []
@@ -169,13 +182,13 @@ def _sets(bitmap: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 sets = shingle_sets(rows.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set_key", "shingles"])
+                     pa.array([packed(s) for s in sets], pa.binary())], ["node", "set_key", "shingles"])
     return run
 
 
 def _band(signature: str) -> Column:
     return F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                                 lambda k: F.xxhash64(k, F.substring(signature, k * (4 * ROWS) + 1, 4 * ROWS))))
+                                 lambda k: F.xxhash64(k, F.substring(signature, k * (2 * ROWS) + 1, 2 * ROWS))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -224,10 +237,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = cut_lineage(placed)
     counts = (placed.groupBy("key").agg(F.count("*").alias("m"), F.sum("apart").alias("u")).filter("u > 0 and m > 2")
               .select("key", F.ceil(F.col("m") / SIDE).cast("int").alias("m"), F.ceil(F.col("u") / SIDE).cast("int").alias("u")))
-    apart = (placed.join(counts, "key").join(nodes.select("node", "signature"), "node").join(sets, "node")
-             .select("key", "m", "u", "apart", "node", "component", "signature", "shingles"))
+    apart = placed.join(counts, "key").join(sets, "node").select("key", "m", "u", "apart", "node", "component", "shingles")
     spread, own = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)), lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    kept = ("node", "component", "signature", "shingles")
+    kept = ("node", "component", "shingles")
     left = apart.filter("apart = 1").select("key", own("u").alias("x"), spread("m").alias("y"), F.lit(0).alias("side"), *kept)
     right = apart.select("key", spread("u").alias("x"), own("m").alias("y"), F.lit(1).alias("side"), *kept)
     cells = left.union(right).select(F.xxhash64("key", "x", "y").alias("cell"), "side", *kept)
