@@ -40,13 +40,22 @@ def any_contains(col: str | Column, texts: Sequence[str], folded: bool = False)
     return reduce(lambda a, b: a | b, [ci_contains(col, t, folded) for t in texts])
 
 
-def apply_filters(df: DataFrame, filters: Iterable[tuple[str, str]]) -> DataFrame:
-    """Conjunction of contains filters; nulls count as the text ``Unknown``."""
-    for col, text in filters:
-        hit = ci_contains(col, text)
-        if text.upper() in UNKNOWN.upper():
-            hit = hit | F.col(col).isNull()
-        df = df.filter(hit)
+def apply_filters(df: DataFrame, filters: Iterable[tuple], folded: bool = False) -> DataFrame:
+    """Conjunction of filters ``(column, text)`` or ``(column, kind, value)``: ``contains`` (the kind of a pair), ``equals`` and ``not``
+    take a text, ``in`` a list of texts. Case does not count. A null counts as the text ``Unknown``."""
+    for col, *rest in filters:
+        kind, value = rest if len(rest) == 2 else ("contains", rest[0])
+        if kind not in ("contains", "equals", "not", "in"):
+            raise ValueError(f"unknown kind of filter: {kind!r}")
+        texts = list(value) if kind == "in" else [value]
+        subject = F.col(col) if folded else F.upper(F.col(col))
+        if kind == "contains":
+            hit, null = ci_contains(col, value, folded), value.upper() in UNKNOWN.upper()
+        else:
+            hit, null = subject.isin(*[t.upper() for t in texts]), UNKNOWN.upper() in [t.upper() for t in texts]
+        if kind == "not":
+            hit, null = ~hit, not null
+        df = df.filter(hit | F.col(col).isNull() if null else hit)
     return df
 
 

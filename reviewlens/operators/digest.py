@@ -80,15 +80,25 @@ def pros_cons(reviews: DataFrame, k: int = 1, term_col: str = "Keywords",
 
 
 def verbatims(reviews: DataFrame, k: int = 1, by: Sequence[str] = ("Product_Family", "Aspect", "Sentiment"),
-              review_id: str = "review_id") -> DataFrame:
-    """The k longest reviews of each group, smallest id first among equally long ones. Ids are unique.
+              review_id: str | Sequence[str] = ("Review_Date", "Title")) -> DataFrame:
+    """The k longest reviews of each group; among equally long ones the smallest id first, then by a hash of the text. ``review_id`` names
+    the columns of the id. A review that is in several groups is judged in each; in one group it counts once.
 
-    The reviews are picked by length alone and their texts joined afterwards, so that no text is
-    sorted or shuffled but those shown.
+    Only (length, id, text hash) are ranked, and at most k rows of a group and task move with them; the texts are joined to the picked
+    rows by group, id and hash.
     """
-    lengths = reviews.select(*by, review_id, F.length("Review").alias("_length"))
-    picked = first_rows(lengths, list(by), [F.desc("_length"), F.asc(review_id)], k, "PLACE")
-    return reviews.join(picked.select(review_id, "PLACE"), review_id)
+    ids = [review_id] if isinstance(review_id, str) else list(review_id)
+    extra = [c for c in ids if c not in by]
+    keyed = reviews.withColumn("_hash", F.xxhash64("Review"))
+    lengths = keyed.select(*by, *extra, "_hash", F.length("Review").alias("_length")).distinct()
+    order = [F.desc("_length"), *[F.asc(c) for c in ids], F.asc("_hash")]
+    picked = first_rows(lengths, list(by), order, k, "PLACE").select(
+        *[F.col(c).alias(f"_{c}") for c in [*by, *extra]], F.col("_hash").alias("_picked"), "PLACE")
+    same = F.col("_hash") == F.col("_picked")
+    for c in [*by, *extra]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    shown = keyed.join(picked, same).drop("_picked", *[f"_{c}" for c in [*by, *extra]])
+    return shown.dropDuplicates([*by, *extra, "_hash"]).drop("_hash")
 
 
 def improvement_candidates(reviews: DataFrame, k: int = 3, term_col: str = "Keywords",

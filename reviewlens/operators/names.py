@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from reviewlens.functions.similarity import Catalog
 from reviewlens.functions.vocabulary import UNAVAILABLE
-from reviewlens.operators.blocks import match_blocks
 from reviewlens.operators.grouping import first_rows, spread
 
-# A catalog of at most this many names is sent to every task; a larger one is shuffled.
-SMALL_CATALOG = 50_000
+# Names that a task holds at a time. A catalog is worked through in blocks of so many, whatever its size.
+BLOCK_NAMES = 50_000
 
 
 def restrict_to_mapped(df: DataFrame, mapping: DataFrame, col: str, mapping_col: str) -> DataFrame:
@@ -72,18 +73,20 @@ def canonicalize(df: DataFrame, col: str, aliases: DataFrame, domain: str | None
     return joined.withColumn(col, F.coalesce("_canonical", col)).drop("_alias", "_canonical")
 
 
-def _small(catalog: DataFrame, name: str, limit: int) -> list[str] | None:
-    """The distinct names when there are at most ``limit`` of them, else None."""
-    names = [r[0] for r in catalog.select(name).filter(F.length(name) > 0).distinct().limit(limit + 1).collect()]
-    return sorted(names) if len(names) <= limit else None
+def _blocks(catalog: DataFrame, name: str, size: int) -> Iterator[list[str]]:
+    """The distinct names in order, a block at a time."""
+    names = catalog.select(name).filter(F.length(name) > 0).distinct().orderBy(name).toLocalIterator()
+    while block := [r[0] for r in islice(names, size)]:
+        yield block
+
+
+def _union(parts: Sequence[DataFrame], schema: T.StructType | str, like: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else like.sparkSession.createDataFrame([], schema)
 
 
 def _searcher(names: Sequence[str]):
     """A function from a text to the set of names it contains."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {n for n in names if n in text}
+    import ahocorasick
     automaton = ahocorasick.Automaton()
     for n in names:
         automaton.add_word(n, n)
@@ -92,86 +95,59 @@ def _searcher(names: Sequence[str]):
 
 
 def detect_mentions(texts: DataFrame, catalog: DataFrame, k: int | None = 2, text_id: str = "text_id",
-                    text: str = "text", name: str = "name", small: int = SMALL_CATALOG) -> DataFrame:
+                    text: str = "text", name: str = "name", block: int = BLOCK_NAMES) -> DataFrame:
     """Catalog names contained in each text, longest first, equally long ones by name.
 
-    Returns ``text_id, NAME, MENTION_RANK`` with at most ``k`` rows per text. A small catalog is
-    searched for in one pass over each text; for a larger one the text's substrings of the
-    catalog's name lengths are joined with it. Both are exact and see the whole text.
+    Returns ``text_id, NAME, MENTION_RANK`` with at most ``k`` rows per text. The texts are searched in
+    one pass for each block of names; a text hands on the ``k`` best of a block.
     """
     catalog = catalog.select(F.upper(name).alias("NAME")).distinct()
     upper = texts.select(F.col(text_id), F.upper(text).alias("_text"))
-    id_type = upper.schema[text_id].dataType
-    names = _small(catalog, "NAME", small)
-    if names is None:
-        return _detect_by_substrings(upper, catalog, k, text_id)
-    if not names:
-        return texts.select(text_id, F.lit("").alias("NAME"), F.lit(0).alias("MENTION_RANK")).filter(F.lit(False))
-    shared = texts.sparkSession.sparkContext.broadcast(names)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _searcher(shared.value)
-        for batch in batches:
-            ids, hits, ranks = [], [], []
-            for key, body in zip(batch[text_id], batch["_text"]):
-                for i, hit in enumerate(sorted(find(body) if body else (), key=lambda n: (-len(n), n))[:k]):
-                    ids.append(key), hits.append(hit), ranks.append(i + 1)
-            yield pd.DataFrame({text_id: pd.Series(ids, dtype=object), "NAME": pd.Series(hits, dtype=object),
-                                "MENTION_RANK": pd.Series(ranks, dtype="int32")})
-
-    schema = T.StructType([T.StructField(text_id, id_type), T.StructField("NAME", T.StringType()),
-                           T.StructField("MENTION_RANK", T.IntegerType())])
-    return upper.mapInPandas(search, schema)
-
-
-def _detect_by_substrings(upper: DataFrame, catalog: DataFrame, k: int | None, text_id: str) -> DataFrame:
-    lengths = sorted(r[0] for r in catalog.select(F.length("NAME")).distinct().collect() if r[0])
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, body in zip(batch[text_id], batch["_text"]):
-                parts = list({body[i:i + n] for n in lengths for i in range(len(body) - n + 1)} if body else ())
-                yield pd.DataFrame({text_id: pd.Series([key] * len(parts), dtype=object),
-                                    "NAME": pd.Series(parts, dtype=object)})
-
-    schema = T.StructType([upper.schema[text_id], T.StructField("NAME", T.StringType())])
-    found = upper.mapInPandas(cut, schema).join(catalog, "NAME")
+    schema = T.StructType([T.StructField(text_id, upper.schema[text_id].dataType), T.StructField("NAME", T.StringType())])
+
+    def searching(names: list[str]) -> DataFrame:
+        shared = texts.sparkSession.sparkContext.broadcast(names)  # at most ``block`` names
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            find = _searcher(shared.value)
+            for batch in batches:
+                ids, hits = [], []
+                for key, body in zip(batch[text_id], batch["_text"]):
+                    for hit in sorted(find(body) if body else (), key=lambda n: (-len(n), n))[:k]:
+                        ids.append(key), hits.append(hit)
+                yield pd.DataFrame({text_id: pd.Series(ids, dtype=object), "NAME": pd.Series(hits, dtype=object)})
+        return upper.mapInPandas(search, schema)
+
+    found = _union([searching(names) for names in _blocks(catalog, "NAME", block)], schema, texts)
     order = [F.desc(F.length("NAME")), F.asc("NAME")]
     # Without k a text still has at most as many rows as the catalog has names.
     return first_rows(found, [text_id], order, 2**31 - 1 if k is None else k, "MENTION_RANK").select(
-        text_id, "NAME", "MENTION_RANK")
+        text_id, "NAME", F.col("MENTION_RANK").cast("int").alias("MENTION_RANK"))
 
 
 def fuzzy_match(mentions: DataFrame, catalog: DataFrame, min_score: float = 60, mode: str = "best",
-                mention: str = "mention", name: str = "name", small: int = SMALL_CATALOG) -> DataFrame:
+                mention: str = "mention", name: str = "name", block: int = BLOCK_NAMES) -> DataFrame:
     """Catalog names alike a mention by token-set ratio: ``mention, NAME, SCORE``.
 
     ``mode='best'`` keeps the best name when it scores at least ``min_score``; ``mode='all'`` keeps
-    every name that scores above it. Each distinct mention is scored once. Tasks hold a small
-    catalog whole; a larger one is met block by block. Only matches leave a task.
+    every name that scores above it. Each distinct mention is scored once against each block of
+    names. Only matches leave a task.
     """
     if mode not in ("best", "all"):
         raise ValueError(f"mode must be 'best' or 'all', not {mode!r}")
     asked = mentions.select(F.upper(mention).alias("mention")).filter("mention IS NOT NULL").distinct()
     schema = "mention string, NAME string, SCORE double"
-    names = _small(catalog, name, small)
-    if names is not None:
-        shared = mentions.sparkSession.sparkContext.broadcast(names)
+
+    def scoring(names: list[str]) -> DataFrame:
+        shared = mentions.sparkSession.sparkContext.broadcast(names)  # at most ``block`` names
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = Catalog(shared.value)
             for batch in batches:
                 yield _matches(batch["mention"], known, min_score, mode)
+        return spread(asked, "mention").mapInPandas(scan, schema)
 
-        found = spread(asked, "mention").mapInPandas(scan, schema)
-    else:
-        everything = catalog.select(F.col(name).alias("NAME")).filter(F.length("NAME") > 0).distinct()
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return _matches(left["mention"], Catalog(list(right["NAME"])), min_score, mode)
-
-        found = match_blocks(asked.withColumn("_cell", F.lit(0)), everything.withColumn("_cell", F.lit(0)),
-                             ["_cell"], "mention", "NAME", meet, schema)
+    found = _union([scoring(names) for names in _blocks(catalog, name, block)], schema, mentions)
     if mode == "all":
         return found
     return first_rows(found, ["mention"], [F.desc("SCORE"), F.asc("NAME")], 1).drop("_rank")
@@ -186,48 +162,16 @@ def _matches(mentions: pd.Series, known: Catalog, min_score: float, mode: str) -
 
 
 def resolve_device(mentions: DataFrame, review_names: DataFrame, sales_names: DataFrame, min_score: float = 60,
-                   mention: str = "mention", name: str = "name", small: int = SMALL_CATALOG) -> DataFrame:
+                   mention: str = "mention", name: str = "name", block: int = BLOCK_NAMES) -> DataFrame:
     """One device per mention: ``mention, DEVICE, STAGE``.
 
     A contained review name wins (1), then a review name alike (2), then a contained sales name (3),
     then a sales name alike (4), else the device is not available (5). ``UNDEFINED`` is no sales
-    name to be contained. With small catalogs a mention goes through the stages inside its task and
-    stops at the first answer; with larger ones the stages run side by side and the first wins.
+    name to be contained. The stages run side by side and the first answer wins.
     """
     asked = mentions.select(F.upper(mention).alias("mention")).filter("mention IS NOT NULL").distinct()
     reviewed = review_names.select(F.col(name).alias("name"))
     sold = sales_names.select(F.col(name).alias("name"))
-    review_list, sales_list = _small(reviewed, "name", small), _small(sold, "name", small)
-    if review_list is None or sales_list is None:
-        return _resolve_side_by_side(asked, reviewed, sold, min_score, small)
-    shared = mentions.sparkSession.sparkContext.broadcast((review_list, sales_list))
-
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        in_reviews, in_sales = shared.value
-        named = [n for n in in_sales if n.upper() != "UNDEFINED"]
-        stages = [_contained(in_reviews), _alike(in_reviews, min_score), _contained(named), _alike(in_sales, min_score)]
-        for batch in batches:
-            rows = []
-            for m in batch["mention"]:
-                answers = ((stage(m), i) for i, stage in enumerate(stages, 1))
-                rows.append((m, *next((a for a in answers if a[0]), (UNAVAILABLE, 5))))
-            yield pd.DataFrame(rows, columns=["mention", "DEVICE", "STAGE"], dtype=object)
-
-    return spread(asked, "mention").mapInPandas(resolve, "mention string, DEVICE string, STAGE int")
-
-
-def _contained(names: Sequence[str]):
-    find = _searcher([n.upper() for n in names]) if names else lambda text: ()
-    return lambda text: min(find(text), key=lambda n: (-len(n), n), default=None)
-
-
-def _alike(names: Sequence[str], min_score: float):
-    known = Catalog(names)
-    return lambda text: next((n for n, _ in known.best(text, min_score)), None)
-
-
-def _resolve_side_by_side(asked: DataFrame, reviewed: DataFrame, sold: DataFrame, min_score: float,
-                          small: int) -> DataFrame:
     named = sold.filter(F.upper("name") != "UNDEFINED")
 
     def staged(hits: DataFrame, stage: int) -> DataFrame:
@@ -235,8 +179,8 @@ def _resolve_side_by_side(asked: DataFrame, reviewed: DataFrame, sold: DataFrame
 
     answers = asked.select("mention", F.lit(UNAVAILABLE).alias("DEVICE"), F.lit(5).alias("STAGE"))
     for stage, catalog in ((1, reviewed), (3, named)):
-        answers = answers.unionByName(staged(detect_mentions(asked, catalog, 1, "mention", "mention", small=small), stage))
+        answers = answers.unionByName(staged(detect_mentions(asked, catalog, 1, "mention", "mention", block=block), stage))
     for stage, catalog in ((2, reviewed), (4, sold)):
-        answers = answers.unionByName(staged(fuzzy_match(asked, catalog, min_score, small=small), stage))
+        answers = answers.unionByName(staged(fuzzy_match(asked, catalog, min_score, block=block), stage))
     # At most one answer per mention and stage.
     return answers.groupBy("mention").agg(F.min_by("DEVICE", "STAGE").alias("DEVICE"), F.min("STAGE").alias("STAGE"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -85,32 +87,38 @@ def _few_queries(queries: DataFrame, vectors: DataFrame, rows: list, k: int, ste
     return _top(found, k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None,
-        few: int = 4096, pivots: int = 64) -> DataFrame:
-    """The k nearest vectors of each query: ``query_id, vec_id, distance, RANK``.
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None, block: int = 4096) -> DataFrame:
+    """The k nearest vectors of each of a stated set of queries: ``query_id, vec_id, distance, RANK``.
 
-    ``queries`` has ``query_id, embedding``, ``vectors`` has ``vec_id, embedding``. With
-    ``partition`` a query only sees vectors with the same value of that column. At most ``few``
-    queries are sent to every task; a larger query table goes through :func:`knn_large`.
+    ``queries`` has ``query_id, embedding``, ``vectors`` has ``vec_id, embedding``. The vectors are scanned once for each block of
+    queries. With ``partition`` a query only sees vectors with the same value of that column, by :func:`knn_large`, which is also
+    the one to take for query tables of the size of the vectors.
     """
-    if partition is None:
-        rows = queries.select("query_id", "embedding").limit(few + 1).collect()
-        if 0 < len(rows) <= few:
-            return _few_queries(queries, vectors, rows, k)
-    return knn_large(queries, vectors, k, partition, pivots)
+    if partition is not None:
+        return knn_large(queries, vectors, k, partition)
+    rows = queries.select("query_id", "embedding").toLocalIterator()
+    found = None
+    while held := list(islice(rows, block)):
+        part = _few_queries(queries, vectors, held, k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return _top(queries.sparkSession.createDataFrame([], _result_type(queries, vectors)), k)
+    return found
 
 
 def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None,
-              pivots: int = 64, cell_rows: int = 4096) -> DataFrame:
+              pivots: int | None = None, cell_rows: int = 4096) -> DataFrame:
     """Exact k nearest neighbours for large query and vector tables.
 
-    Vectors belong to the cell of their nearest pivot, within their partition; a partition uses as
-    many of the pivots as give it cells of about ``cell_rows`` vectors. The distances from a
+    Vectors belong to the cell of their nearest pivot, within their partition; there are as many pivots
+    as the square root of the vectors unless ``pivots`` says otherwise, and a partition uses as many of
+    them as give it cells of about ``cell_rows`` vectors. The distances from a
     query to the pivots bound its k-th neighbour from above and every cell from below (triangle
     inequality), so a query is sent only to cells that can hold one of its neighbours. Cells are
     matched in bounded blocks, whatever share of the vectors one of them holds.
     """
     spark = queries.sparkSession
+    pivots = pivots or math.isqrt(vectors.count()) + 1
     chosen = (vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id")
               .limit(pivots).select("embedding").collect())
     result = _result_type(queries, vectors)
@@ -179,9 +187,10 @@ def _cell_reach(placed: DataFrame, k: int) -> DataFrame:
         T.StructField("far", T.DoubleType()), T.StructField("near", T.ArrayType(T.DoubleType()))]))
     cells = parts.groupBy("part", "cell").agg(
         F.sum("n").alias("held"),
-        F.max("far").alias("reach"),
-        F.coalesce(F.get(F.sort_array(F.flatten(F.collect_list("near"))), F.lit(k - 1)),
-                   F.lit(float("inf"))).alias("kth"))
+        F.max("far").alias("reach"))
+    near = first_rows(parts.select("part", "cell", F.explode("near").alias("kth")), ["part", "cell"], [F.asc("kth")], k, "_place")
+    cells = cells.join(near.filter(F.col("_place") == k).select("part", "cell", "kth"), ["part", "cell"], "left").withColumn(
+        "kth", F.coalesce("kth", F.lit(float("inf"))))
     # At most one entry per pivot.
     listed = cells.groupBy("part").agg(F.collect_list(F.struct("cell", "held", "reach", "kth")).alias("all"))
     return listed.select("part", F.col("all.cell").alias("cells"), F.col("all.held").alias("held"),

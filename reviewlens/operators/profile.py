@@ -10,13 +10,16 @@ from reviewlens.functions.formatting import display_name, star_rating
 from reviewlens.functions.scoring import percent
 from reviewlens.functions.vocabulary import RATED_ASPECTS
 from reviewlens.operators.grouping import net_of_sums, score_sums
+from reviewlens.operators.names import to_sentiment_names
 from reviewlens.operators.sales import competitors_nearest, thousands
 
 
 def _device_sums(reviews: DataFrame, mapping: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Score sums per sales device. Reviews are summed per family before they meet the mapping."""
+    """Score sums per sales device. A device that is a review name itself has its own reviews, any other those of its mapped names.
+    Reviews are summed per family before they meet the mapping."""
     sums = score_sums(reviews, ["Product_Family", *keys])
-    pairs = mapping.select(F.col("SalesDevice").alias("DEVICE"), F.col("SentimentDevice")).distinct()
+    devices = mapping.select(F.col("SalesDevice").alias("DEVICE")).distinct()
+    pairs = to_sentiment_names(devices, mapping, "DEVICE", "SentimentDevice")
     joined = sums.join(pairs, F.col("Product_Family") == F.col("SentimentDevice"))
     return joined.groupBy("DEVICE", *keys).agg(
         F.sum("score_sum").alias("score_sum"), F.sum("row_count").alias("row_count"))

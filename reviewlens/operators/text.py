@@ -83,7 +83,8 @@ def embed(df: DataFrame, col: str, embedder: Callable[[pd.Series], Sequence] | N
     """Add an embedding column.
 
     ``embedder`` maps a series of texts to a sequence of float vectors and runs on Arrow batches.
-    Without one, texts become unit vectors of hashed, inverse-frequency weighted words.
+    Without one, texts become unit vectors of hashed word counts: nothing is fitted, so a text has the
+    same vector in every table, and a question can be asked of a stored one. No words, the zero vector.
     """
     if embedder is not None:
         @F.pandas_udf("array<float>")
@@ -91,15 +92,14 @@ def embed(df: DataFrame, col: str, embedder: Callable[[pd.Series], Sequence] | N
             return pd.Series([np.asarray(v, dtype=np.float32) for v in embedder(texts)])
         return df.withColumn(out, run(F.col(col)))
 
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     words = df.withColumn("_words", F.filter(
         F.split(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0))
     counts = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_counts").transform(words)
-    weighted = IDF(inputCol="_counts", outputCol="_weighted").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="_weighted", outputCol="_unit").transform(weighted)
-    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_weighted", "_unit")
+    unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(counts)
+    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
 
 
 def vector_table(chunks: DataFrame, key: Sequence[str], text: str = "chunk") -> DataFrame:
@@ -122,3 +122,12 @@ def union_index(*tables: DataFrame) -> DataFrame:
     for t in rest:
         first = first.unionByName(t, allowMissingColumns=True)
     return first
+
+
+def ask(questions: DataFrame, index: DataFrame, k: int = 4, question: str = "question", query_id: str = "query_id",
+        embedder: Callable[[pd.Series], Sequence] | None = None, dims: int = 256) -> DataFrame:
+    """The k chunks of a vector table nearest to each question: ``query_id, vec_id, distance, RANK, text``. The questions are embedded
+    as the index was."""
+    from reviewlens.operators.neighbours import knn
+    asked = embed(questions.select(F.col(query_id).alias("query_id"), question), question, embedder, dims).select("query_id", "embedding")
+    return knn(asked, index, k).join(index.select("vec_id", "text"), "vec_id")

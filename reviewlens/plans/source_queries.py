@@ -48,15 +48,26 @@ def _(spark, d):
 
 @query("src5_whole_text", "SELECT source, text FROM documents")
 def _(spark, d):
-    """Text files of one source each, read back whole and cut at the mark between two documents."""
+    """Text files of up to a hundred documents of a source, one JSON string a line, read back whole and cut into lines."""
     path = fresh_folder(spark, "texts")
-    docs = bind.table(spark, d, "documents").select("source", F.concat("text", F.lit("\u0000")).alias("value"))
-    docs.write.partitionBy("source").option("lineSep", "\u0001").text(path)
-    files = io.read_text(spark, f"{path}/*").select(
+    docs = bind.table(spark, d, "documents").select("source", F.to_json(F.struct("text")).alias("value"))
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 100).text(path)
+    lines = F.split("text", "\n")
+    return io.read_text(spark, f"{path}/*").select(
         F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source"),
-        F.explode(F.split("text", "\u0000\u0001")).alias("text"))
-    # Every document ends with the mark, so the last part of a file is empty; no document is.
-    return files.filter(F.length("text") > 0)
+        F.explode(F.slice(lines, 1, F.size(lines) - 1)).alias("line")).select("source", F.get_json_object("line", "$.text").alias("text"))
+
+
+@query("src1_review_parquet", """SELECT Product_Family, count(*) AS REVIEWS, sum(CASE Sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END) AS SCORE
+FROM (SELECT upper(Product_Family) AS Product_Family, Sentiment FROM text_reviews) GROUP BY 1""", "text_reviews")
+def _(spark, d):
+    """Stored once with folded keys in a folder whose name says nothing, and read under the schema."""
+    path = fresh_folder(spark, "reviews")
+    rows = bind.text_reviews(spark, d)
+    io.write_reviews(rows, path)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "Sentiment_Score"])
+    stored = io.read_reviews(spark, path, schema=schema, source_format="parquet", folded=True)
+    return stored.groupBy("Product_Family").agg(F.count(F.lit(1)).alias("REVIEWS"), F.sum("Sentiment_Score").cast("long").alias("SCORE"))
 
 
 @query("src6_vectors", "SELECT label, count(*) AS VECTORS, max(len(embedding)) AS DIMENSIONS FROM embeddings GROUP BY label")

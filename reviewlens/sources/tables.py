@@ -1,4 +1,4 @@
-"""Readers and writers of the data model. CSV readers take a schema: nothing is inferred."""
+"""Readers and writers of the data model. Readers take a schema and a format: nothing is inferred."""
 
 from __future__ import annotations
 
@@ -10,38 +10,49 @@ from reviewlens.functions.vocabulary import LOWER_LABELS
 from reviewlens.sources import schema as S
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
-    if str(path).rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    # A multi-line CSV file cannot be split, so many files beat one big file; convert to
-    # Parquet once when the table is read often.
-    return (spark.read.schema(schema)
-            .options(header=True, multiLine=multi_line, quote='"', escape='"')
-            .csv(path))
+def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, source_format: str) -> DataFrame:
+    """The table under a schema. The caller names the format; names of files say nothing about it. A CSV row that does not fit is an
+    error. A multi-line CSV file is one task, so convert such files once: read them and ``write_reviews``."""
+    if source_format == "csv":
+        return (spark.read.schema(schema)
+                .options(header=True, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST")
+                .csv(path))
+    stored = S.require_columns(spark.read.format(source_format).load(path), *schema.fieldNames())
+    return stored.select(*[F.col(f.name) if stored.schema[f.name].dataType == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name)
+                           for f in schema.fields])
 
 
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType = S.REVIEWS,
-                 labels: tuple[str, str, str] = LOWER_LABELS, multi_line: bool = True) -> DataFrame:
-    """Reviews with folded keys and a sentiment score; ``labels`` names the vocabulary."""
-    raw = _read(spark, path, schema, multi_line)
-    return with_score(normalize_keys(S.require_columns(raw, *schema.fieldNames())), labels)
+                 labels: tuple[str, str, str] = LOWER_LABELS, multi_line: bool = True,
+                 source_format: str = "csv", folded: bool = False) -> DataFrame:
+    """Reviews with folded keys and a sentiment score; ``labels`` names the vocabulary. ``folded=True`` says that the keys of the stored
+    table are upper case, as ``write_reviews`` leaves them: they are then read as they are, and filters on them reach the scan."""
+    raw = S.require_columns(_read(spark, path, schema, multi_line, source_format), *schema.fieldNames())
+    return with_score(raw if folded else normalize_keys(raw), labels)
 
 
-def read_sales(spark: SparkSession, path: str, schema: T.StructType = S.SALES) -> DataFrame:
-    """Sales with ``Month`` parsed from ``MM/dd/yyyy`` and money kept as decimal."""
-    raw = S.require_columns(_read(spark, path, schema, False), *schema.fieldNames())
+def write_reviews(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store reviews as Parquet with folded keys, rows of a family side by side, so that a filter on a family skips row groups. Families
+    with very many rows become several files."""
+    stored = normalize_keys(df.select(*[c for c in df.columns if c != "Sentiment_Score"]))
+    stored.hint("rebalance", F.col("Product_Family")).sortWithinPartitions("Product_Family").write.mode(mode).parquet(path)
+
+
+def read_sales(spark: SparkSession, path: str, schema: T.StructType = S.SALES, source_format: str = "csv") -> DataFrame:
+    """Sales with ``Month`` parsed from ``MM/dd/yyyy`` (unless the schema has it as a date) and money kept as decimal."""
+    raw = S.require_columns(_read(spark, path, schema, False, source_format), *schema.fieldNames())
     if isinstance(raw.schema["Month"].dataType, T.StringType):
         raw = raw.withColumn("Month", parse_month("Month"))
     return raw
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, S.MAPPING, False).dropDuplicates()
+def read_mapping(spark: SparkSession, path: str, source_format: str = "csv") -> DataFrame:
+    return _read(spark, path, S.MAPPING, False, source_format).dropDuplicates()
 
 
-def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+def read_aliases(spark: SparkSession, path: str, source_format: str = "csv") -> DataFrame:
     """The alias dictionary ``(domain, alias, canonical)``; it is data, not code."""
-    return _read(spark, path, S.ALIASES, False).dropDuplicates()
+    return _read(spark, path, S.ALIASES, False, source_format).dropDuplicates()
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:

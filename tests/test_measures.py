@@ -128,7 +128,22 @@ def test_pros_cons_and_candidates(reviews):
     assert (worst["TERM"], worst["NEGATIVE_COUNT"]) == ("Dear", 1)
 
 
+def test_verbatims_of_a_review_with_several_aspects(spark):
+    rows = [("P", "Price", "positive", None, "t", "long text"), ("P", "Design", "positive", None, "t", "long text"), ("P", "Price", "positive", None, "u", "short"),
+            ("P", "Price", "positive", None, "t", "long text")]
+    df = spark.createDataFrame(rows, "Product_Family string, Aspect string, Sentiment string, Review_Date date, Title string, Review string")
+    assert sorted((r["Aspect"], r["Review"]) for r in digest.verbatims(df).collect()) == [("Design", "long text"), ("Price", "long text")]
+
+
+def test_filters_of_all_kinds(reviews):
+    from reviewlens.functions.matching import apply_filters
+    count = lambda *filters: apply_filters(reviews, filters).count()
+    assert count(("Product", "equals", "p")) == 6 and count(("Product", "not", "p")) == 2
+    assert count(("Product_Family", "in", ["p one", "p two"])) == 6 and count(("Product_Family", "in", ["p"])) == 0
+    assert count(("Aspect", "equals", "unknown")) == 1 and count(("Aspect", "not", "price")) == 4 and count(("Aspect", "pri")) == 4
+
+
 def test_verbatims_take_the_longest(spark):
     df = spark.createDataFrame([(1, "F", "aa"), (2, "F", "bbb"), (3, "F", "ccc"), (4, "G", "d")], "review_id int, Product_Family string, Review string")
-    got = digest.verbatims(df, 1, ["Product_Family"]).orderBy("Product_Family").collect()
+    got = digest.verbatims(df, 1, ["Product_Family"], "review_id").orderBy("Product_Family").collect()
     assert [(r["review_id"], r["PLACE"]) for r in got] == [(2, 1), (4, 1)]

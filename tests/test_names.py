@@ -78,20 +78,20 @@ def texts(spark):
                                   (4, "x" * 30_000 + " pad"), (5, "padpad")], "text_id int, text string")
 
 
-@pytest.mark.parametrize("small", [50_000, 1])
-def test_mentions_longest_first(texts, catalog, small):
-    got = sorted(tuple(r) for r in nm.detect_mentions(texts, catalog, small=small).collect())
+@pytest.mark.parametrize("block", [50_000, 2])
+def test_mentions_longest_first(texts, catalog, block):
+    got = sorted(tuple(r) for r in nm.detect_mentions(texts, catalog, block=block).collect())
     assert got == [(1, "ORBIT GO 3", 1), (1, "QUASAR 55", 2), (4, "PAD", 1), (5, "PAD", 1)]
-    everything = nm.detect_mentions(texts, catalog, None, small=small).filter("text_id = 1").count()
+    everything = nm.detect_mentions(texts, catalog, None, block=block).filter("text_id = 1").count()
     assert everything == 4
 
 
 @pytest.mark.parametrize("mode, low", [("best", 60), ("all", 50)])
-def test_large_catalogs_match_like_small_ones(spark, mode, low):
+def test_blocks_of_names_match_like_all_at_once(spark, mode, low):
     rnd = random.Random(9)
     names = spark.createDataFrame([(words(rnd, 3),) for _ in range(60)], "name string").distinct()
     asked = spark.createDataFrame([(words(rnd, 3).lower(),) for _ in range(50)], "mention string")
-    a, b = (sorted(tuple(r) for r in nm.fuzzy_match(asked, names, low, mode, small=n).collect()) for n in (50_000, 5))
+    a, b = (sorted(tuple(r) for r in nm.fuzzy_match(asked, names, low, mode, block=n).collect()) for n in (50_000, 13))
     assert a == b and a
 
 
@@ -100,12 +100,12 @@ def test_mode_is_checked(spark, catalog):
         nm.fuzzy_match(catalog, catalog, mode="some", mention="name")
 
 
-@pytest.mark.parametrize("small", [50_000, 1])
-def test_cascade(spark, catalog, small):
+@pytest.mark.parametrize("block", [50_000, 2])
+def test_cascade(spark, catalog, block):
     reviewed = spark.createDataFrame([("ACME QUASAR 55 15",), ("TERN LODGE 15",)], "name string")
     asked = spark.createDataFrame([("about the tern lodge 15",), ("quasar acme 55",), ("my pad",), ("orbit 3 go",), ("undefined",), ("zzz",), (None,)],
                                   "mention string")
-    got = {r["mention"]: (r["DEVICE"], r["STAGE"]) for r in nm.resolve_device(asked, reviewed, catalog, small=small).collect()}
+    got = {r["mention"]: (r["DEVICE"], r["STAGE"]) for r in nm.resolve_device(asked, reviewed, catalog, block=block).collect()}
     assert got == {
         "ABOUT THE TERN LODGE 15": ("TERN LODGE 15", 1), "QUASAR ACME 55": ("ACME QUASAR 55 15", 2), "MY PAD": ("PAD", 3),
         "ORBIT 3 GO": ("ORBIT GO", 4), "UNDEFINED": ("UNDEFINED", 4), "ZZZ": (UNAVAILABLE, 5)}

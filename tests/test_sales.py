@@ -89,3 +89,10 @@ def test_profile_and_cards(spark, reviews):
     assert (card["Series"], card["DISPLAY_NAME"], card["COMPETITOR_ASP"]) == ("S2", "OEM S2", 110.0)
     beside = {r["MEASURE"]: (r["FIRST"], r["SECOND"]) for r in profile.side_by_side(profile.device_profile(reviews, sales, mapping), "S1", "S2").collect()}
     assert beside["REVIEW_COUNT"] == ("6", "2")
+
+
+def test_a_device_that_is_a_review_name_has_its_own_reviews(spark):
+    from reviewlens.operators.profile import _device_sums
+    mapping = spark.createDataFrame([("T", "T"), ("T", "T2"), ("S", "T"), ("S", "T2")], "SalesDevice string, SentimentDevice string")
+    reviews = spark.createDataFrame([("T", 1), ("T2", -1)], "Product_Family string, Sentiment_Score int")
+    assert {r["DEVICE"]: r["row_count"] for r in _device_sums(reviews, mapping).collect()} == {"T": 1, "S": 2}

@@ -20,7 +20,28 @@ def test_review_csv_with_line_breaks_and_quotes(spark, tmp_path):
 def test_missing_columns_are_named(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "x.parquet"))
     with pytest.raises(ValueError, match="Sales_Units"):
-        io.read_sales(spark, str(tmp_path / "x.parquet"))
+        io.read_sales(spark, str(tmp_path / "x.parquet"), source_format="parquet")
+
+
+def test_stored_reviews_are_read_by_format_and_filtered_in_the_scan(spark, tmp_path):
+    from reviewlens.operators.measures import net_sentiment
+    from reviewlens.functions.matching import apply_filters
+    path = str(tmp_path / "plain")
+    row = {"Review": "fine", "Product_Family": "fam one", "Aspect": "Price", "Sentiment": "positive"}
+    df = spark.createDataFrame([tuple(row.get(f) for f in S.REVIEWS.fieldNames())], S.REVIEWS)
+    io.write_reviews(df, path)
+    stored = io.read_reviews(spark, path, source_format="parquet", folded=True)
+    assert [(r["Product_Family"], r["Sentiment_Score"]) for r in stored.collect()] == [("FAM ONE", 1)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = apply_filters(stored, [("Product_Family", "equals", "fam one"), ("Aspect", "pri")], folded=True)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(Product_Family,FAM ONE)" in plan and "StringContains(Aspect,PRI)" in plan
+    assert net_sentiment(stored) is not None
+
+
+def test_a_csv_row_that_does_not_fit_is_an_error(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("SalesDevice,SentimentDevice\na,b,c,d\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.read_mapping(spark, str(tmp_path / "m.csv")).collect()
 
 
 def test_sales_csv(spark, tmp_path):

@@ -98,7 +98,7 @@ def test_both_ways_match_brute_force(cloud, k):
     same = [(i, v, "") for i, v, _ in rows]
     want = brute(same, same, k)
     assert answers(nb.knn(as_queries(df), df, k)) == want
-    assert answers(nb.knn(as_queries(df), df, k, few=10)) == want
+    assert answers(nb.knn(as_queries(df), df, k, block=250)) == want
     assert answers(nb.knn_large(as_queries(df), df, k, pivots=9, cell_rows=40)) == want
     assert answers(nb.knn_large(as_queries(df), df, k)) == want
 
@@ -135,3 +135,19 @@ def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(1, [0.0])], "query_id long, embedding array<float>")
     assert nb.knn(q, df).count() == 0 and nb.knn_large(q, df).count() == 0
+
+
+def test_a_text_has_one_vector_in_every_table(spark):
+    texts = ["Battery lasts long", "screen is dim and the battery weak", "nothing alike"]
+    one = spark.createDataFrame([(0, texts[0])], "id int, t string")
+    all_ = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert tx.embed(one, "t").first()["embedding"] == tx.embed(all_, "t").filter("id = 0").first()["embedding"]
+
+
+def test_a_stored_chunk_answers_itself(spark, tmp_path):
+    path = str(tmp_path / "index")
+    for part in (["battery lasts long", "screen is dim"], ["keyboard clacks loudly"]):
+        tx.build_index(spark.createDataFrame([(hash(t) % 1000, t) for t in part], "id long, t string"), path, ["id"], "t")
+    asked = spark.createDataFrame([(1, "Screen is dim"), (2, "keyboard clacks loudly"), (3, "how long lasts the battery")], "query_id long, question string")
+    got = {r["query_id"]: r["text"] for r in tx.ask(asked, spark.read.parquet(path), 1).collect()}
+    assert got == {1: "screen is dim", 2: "keyboard clacks loudly", 3: "battery lasts long"}
