@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import backoff, minmax, packing, personal_data, pfair, risk_rules, secret_index, spaced_seeds, subwords, token_files
+from reviewlens.llm import backoff, minmax, oracles, packing, personal_data, pfair, risk_rules, secret_index, spaced_seeds, subwords, token_files
 from reviewlens.llm.common import table
 
 END_ID = 2
@@ -61,4 +61,8 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_backoff_scores, op2_trigram_secrets, op3_subword_toxicity, op4_token_files, op5_risk_controlled_rules, op6_packed_shards, op7_tagged_personal_data, op8_pfair_mixture, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_risk_controlled_rules": oracles.RISK_RULES,
+    "op8_pfair_mixture": oracles.MIXTURE,
+    "op10_minmax_near_duplicates": oracles.NEAR_DUPLICATES,
+}
