@@ -27,24 +27,27 @@ RULES = {
     "short_words": ("-word_chars / greatest(n_words, 1)", (-5.0, -4.5, -4.0, -3.5, -3.0, -2.0)),
 }
 _SPACE = r"[\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
-def repeated_words(words: Column, n: Column) -> Column:
-    """Words that lie in a window of three words found twice or more in the list. Windows are sorted as one number each, their hash
-    above and their place in the lowest bits, so equal ones become neighbours: n log n steps whatever repeats."""
-    bits = F.ceil(F.log2(n + 1)).cast("int")
-    places = F.sequence(F.lit(0), n - 3)
-    keys = F.sort_array(F.transform(places, lambda i: F.call_function("shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits)
-                                    .bitwiseOR(i.cast("long"))))
-    return F.struct(bits.alias("bits"), keys.alias("keys"))
+def window_hashes(words: Column) -> Column:
+    """The hash of the window of three words that begins at each word but the last two."""
+    return F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def repeated_words(hashes: Column) -> Column:
+    """Words that lie in a window found twice or more. Windows are sorted as one number each, the hash above and the place in the
+    lowest bits, so equal ones become neighbours: n log n steps whatever repeats."""
+    bits = F.ceil(F.log2(F.size(hashes) + 1)).cast("int")
+    return F.struct(bits.alias("bits"), F.sort_array(F.transform(
+        hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))).alias("keys"))
 
 
 def _covered(found: Column) -> Column:
     keys, bits = found["keys"], found["bits"]
-    head = lambda j: F.call_function("shiftrightunsigned", F.get(keys, j), bits)
-    same = lambda j, k: F.coalesce(head(j) == head(k), F.lit(False))
-    twice = F.filter(keys, lambda k, j: same(j, j - 1) | same(j, j + 1))
+    head = lambda k: F.call_function("shiftrightunsigned", k, bits)
+    same = lambda k, j: F.coalesce(head(k) == head(F.get(keys, j)), F.lit(False))
+    twice = F.filter(keys, lambda k, j: same(k, j - 1) | same(k, j + 1))
     places = F.sort_array(F.transform(twice, lambda k: k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("end"))
     return F.aggregate(places, start, lambda s, p: F.struct((s["sum"] + p + 3 - F.greatest(p, s["end"])).alias("sum"), (p + 3).alias("end")), lambda s: s["sum"])
@@ -57,11 +60,13 @@ def measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
         "doc_id", "stratum", F.array_remove(F.split("text", _SPACE, -1), "").alias("words"), lines.alias("lines"),
-        F.char_length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"))
-    rows = rows.withColumn("n", F.size("words")).withColumn("found", F.when(F.col("n") > 3, repeated_words(F.col("words"), F.col("n"))))
+        (F.char_length("text") - F.char_length(F.regexp_replace("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("hashes", F.when(F.col("n") > 3, window_hashes(F.col("words"))))
+    # Most texts repeat no window; a hash set tells so, and spares them the sort.
+    repeats = F.size("hashes") > F.size(F.array_distinct("hashes"))
+    rows = rows.withColumn("found", F.when(repeats, repeated_words(F.col("hashes"))))
     rows = rows.select(
-        "doc_id", "stratum", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "stratum", F.col("n").cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("found")), F.lit(0)).cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"))
     return rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
