@@ -18,10 +18,10 @@ from reviewlens.llm.common import GOLDEN, fold, mixed, steps, words
 BUCKETS = 1 << 19
 SHORTEST, LONGEST = 3, 5
 DIMENSIONS = 4
-ROUNDS = 45
+ROUNDS = 60
 #: The model is fitted on at most so many labelled documents of each class, in the order of a hash of their ids, of at most so many
 #: bytes each; the class shares of all labelled rows are put back as weights.
-FIT_ROWS, FIT_BYTES = 2500, 8192
+FIT_ROWS, FIT_BYTES = 2000, 8192
 #: Averages are multiplied by this before the softmax, so that a few telling words among hundreds need no huge vectors.
 GAIN = 50.0
 #: N-grams of fewer words of the fitted documents (counted once a document) are left at zero, for what they say is chance.
@@ -54,46 +54,57 @@ def word_grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (bucket[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(of, minlength=len(parts))
 
 
-def sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """values (rows, columns) added up by index."""
-    return np.stack([np.bincount(index, values[:, d], size) for d in range(values.shape[1])], 1)
+def grams_of(distinct: pa.Array, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """``word_grams``, some words at a time."""
+    parts = [word_grams(distinct[k:k + step]) for k in range(0, max(1, len(distinct)), step)]
+    return np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit by Adam on all rows at once. The model is linear in the averages, so it is returned as one number per bucket (its vector
     times the difference of the classes) and a bias."""
     counts, index, distinct = words(texts)
-    grams, n_grams = word_grams(distinct)
-    gram_word = np.repeat(np.arange(len(n_grams)), n_grams)
+    grams, n_grams = grams_of(distinct)
+    gram_word = np.repeat(np.arange(len(n_grams), dtype=np.int32), n_grams)
     pair, n_pair = np.unique(np.repeat(np.arange(len(counts)), counts) * max(1, len(distinct)) + index, return_counts=True)
-    pair_doc, pair_word = pair // max(1, len(distinct)), pair % max(1, len(distinct))
+    pair_doc, pair_word = (pair // max(1, len(distinct))).astype(np.int32), (pair % max(1, len(distinct))).astype(np.int32)
     share = GAIN * n_pair / np.maximum(counts, 1)[pair_doc]
-    rng = np.random.default_rng(seed)
+    del pair, n_pair, index
     # Buckets that are rare or that no word has stay out of the arithmetic.
     seen = np.bincount(grams, np.bincount(pair_word, minlength=len(n_grams))[gram_word], BUCKETS)
-    often = seen[grams] >= SEEN
-    used, grams = np.unique(grams[often], return_inverse=True)
-    gram_word = gram_word[often]
-    state = [rng.normal(0, 0.1, (len(used), DIMENSIONS)), rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)]
+    used = np.flatnonzero(seen >= SEEN)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    grams = place[grams]
+    gram_word, grams = gram_word[grams >= 0], grams[grams >= 0]
+    size = np.maximum(n_grams, 1)
+    rng = np.random.default_rng(seed)
+    state = [rng.normal(0, 0.1, (DIMENSIONS, len(used))), rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in state]
     target = np.eye(2)[labels]
     scale = weights / weights.sum()
     for step in range(1, ROUNDS + 1):
         vectors, softmax, bias = state
-        word = sums(gram_word, vectors[grams], len(n_grams)) / np.maximum(n_grams, 1)[:, None]
-        doc = sums(pair_doc, word[pair_word] * share[:, None], len(counts))
+
+        def read(vector):
+            word = np.bincount(gram_word, vector[grams], len(n_grams)) / size
+            return np.bincount(pair_doc, word[pair_word] * share, len(counts))
+
+        def spread(slope):
+            word = np.bincount(pair_word, slope[pair_doc] * share, len(n_grams)) / size
+            return np.bincount(grams, word[gram_word], len(used))
+        doc = np.stack([read(vector) for vector in vectors], 1)
         logits = doc @ softmax + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
         error = (odds / odds.sum(1, keepdims=True) - target) * scale[:, None]
-        to_word = sums(pair_word, (error @ softmax.T)[pair_doc] * share[:, None], len(n_grams)) / np.maximum(n_grams, 1)[:, None]
-        slopes = [sums(grams, to_word[gram_word], len(used)), doc.T @ error, error.sum(0)]
+        slopes = [np.stack([spread(slope) for slope in (error @ softmax.T).T]), doc.T @ error, error.sum(0)]
         for parameter, slope, (m, v) in zip(state, slopes, moments):
             m += 0.1 * (slope - m)
             v += 0.01 * (slope * slope - v)
             parameter -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
     vectors, softmax, bias = state
     out = np.zeros(BUCKETS)
-    out[used] = GAIN * (vectors @ (softmax[:, 1] - softmax[:, 0]))
+    out[used] = GAIN * ((softmax[:, 1] - softmax[:, 0]) @ vectors)
     return out, float(bias[1] - bias[0])
 
 
