@@ -64,6 +64,17 @@ def _counted(data: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), "<i8")
 
 
+def _sent(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, byte by byte of all, so that the upper bytes, which are mostly 0, take no room."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _received(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 class Texts:
     """The tokens of a chunk, each text closed by the end, and the keys of their n-grams."""
 
@@ -108,8 +119,8 @@ def _asking(order: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             for k in np.flatnonzero(np.diff(bounds)):
                 part = slice(bounds[k], bounds[k + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(k)], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([keys[part].tobytes()], pa.binary()),
-                     pa.array([_counts(seen[part])], pa.binary())], ["range", "chunk", "keys", "seen"])
+                    [pa.array([int(k)], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([int(bounds[k + 1] - bounds[k])], pa.int32()),
+                     pa.array([_sent(keys[part])], pa.binary()), pa.array([_counts(seen[part])], pa.binary())], ["range", "chunk", "n", "keys", "seen"])
     return run
 
 
@@ -121,7 +132,7 @@ def _answer(order: int) -> Callable[[pa.Table], pa.Table]:
     """Counts of all chunks added up, handed back to each in the order it asked; and, with one of the answers, what the range adds
     to the statistics: for each n the n-grams by class of count, their tokens by class, and those seen once and twice."""
     def run(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in rows.column("keys")]
+        keys = [_received(k.as_buffer(), n) for k, n in zip(rows.column("keys"), rows.column("n").to_pylist())]
         seen = np.concatenate([_counted(s.as_buffer(), len(k)) for s, k in zip(rows.column("seen"), keys)])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, seen, len(distinct)).astype(np.int64)
@@ -211,7 +222,7 @@ def scored(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     chunks = spark.read.parquet(folder)
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     ranges = max(partitions(spark), -(-tokens * order // RANGE_KEYS))
-    asked = chunks.mapInArrow(_asking(order, ranges), "range int, chunk long, keys binary, seen binary")
+    asked = chunks.mapInArrow(_asking(order, ranges), "range int, chunk long, n int, keys binary, seen binary")
     answers = cut_lineage(asked.groupBy("range").applyInArrow(_answer(order), "chunk long, range int, totals binary, figures array<long>"))
     figures = answers.filter("figures is not null").select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col")).orderBy("pos").collect()
     law = Law(np.array([r[1] for r in figures], np.int64) if figures else np.zeros(order * (2 * CLASSES + 2), np.int64))

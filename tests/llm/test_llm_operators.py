@@ -96,15 +96,16 @@ def test_backoff_against_brute_force(real, order):
 
 
 def test_backoff_is_a_distribution(spark):
-    """Over all words and the end, the probabilities after a history add up to one less the share of the unseen word."""
+    """After a history, the probabilities of all words, of the end and of one unseen word add up to 1."""
     train = [(1, "a b a b a c"), (2, "a b c"), (3, "b b a")]
-    grid = spark.createDataFrame(train + [(100 + k, f"a {w}") for k, w in enumerate("abc")] + [(200, "a")], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in backoff.scored(grid, F.col("doc_id") >= 100).collect()}
+    asked = ["a", "b", "c", "unseen"]
+    rows = train + [(100 + k, f"a {w}") for k, w in enumerate(asked)] + [(200 + k, w) for k, w in enumerate(asked)]
+    got = {r.doc_id: r.score for r in backoff.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
     counts = collections.Counter(w for _, t in train for w in t.split() + [None])
-    total = sum(counts.values())
-    first = math.log10((counts["a"] + 0.5) / (total + 0.5 * (len(counts) + 1)))
-    # score("a w") holds p(a) p(w | a) p(end | w); the last factor is told by hand below for the end of "a" alone.
-    assert got[200] < first and all(got[100 + k] < got[200] for k in range(3))
+    alone = lambda w: math.log10((counts[w] + 0.5) / (sum(counts.values()) + 0.5 * (len(counts) + 1)))
+    # A text "a w" is p(a) p(w | a) p(end | w), and a text "w" is p(w) p(end | w).
+    after = [10 ** (got[100 + k] - got[200 + k] - alone("a") + alone(w)) for k, w in enumerate(asked)]
+    assert math.isclose(sum(after) + 10 ** (got[200] - alone("a")), 1.0, rel_tol=1e-9)
 
 
 def test_backoff_odd(spark, odd):
