@@ -26,6 +26,8 @@ FIT_ROWS, FIT_BYTES = 2000, 8192
 GAIN = 50.0
 #: N-grams of fewer words of the fitted documents (counted once a document) are left at zero, for what they say is chance.
 SEEN = 50
+#: Words whose n-grams are held at a time.
+WORDS_AT_ONCE = 1 << 14
 #: Step of the fit.
 RATE = 0.1
 
@@ -54,7 +56,7 @@ def word_grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (bucket[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(of, minlength=len(parts))
 
 
-def grams_of(distinct: pa.Array, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(distinct: pa.Array, step: int = WORDS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
     """``word_grams``, some words at a time."""
     parts = [word_grams(distinct[k:k + step]) for k in range(0, max(1, len(distinct)), step)]
     return np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
@@ -111,8 +113,11 @@ def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int =
 def scores(texts: pa.Array, model: np.ndarray, bias: float) -> np.ndarray:
     """The chance that each text is toxic."""
     counts, index, distinct = words(texts)
-    grams, n_grams = word_grams(distinct)
-    per_word = np.bincount(np.repeat(np.arange(len(n_grams)), n_grams), model[grams], len(n_grams)) / np.maximum(n_grams, 1)
+    parts = [np.zeros(0)]
+    for k in range(0, len(distinct), WORDS_AT_ONCE):
+        grams, n_grams = word_grams(distinct[k:k + WORDS_AT_ONCE])
+        parts.append(np.bincount(np.repeat(np.arange(len(n_grams)), n_grams), model[grams], len(n_grams)) / np.maximum(n_grams, 1))
+    per_word = np.concatenate(parts)
     owner = np.repeat(np.arange(len(counts)), counts)
     logit = np.bincount(owner, per_word[index], len(counts)) / np.maximum(counts, 1) + bias
     return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
