@@ -211,8 +211,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     base_sha256 (of those as kind:start:end, by start and then kind, comma-joined; code points), spans (all, alike) and n_added.
     A null or empty text has none. Equal rows each have a row. Without spans in the sample the tagger adds nothing."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = (docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= FIT_BYTES))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(FIT_DOCUMENTS))
+    short = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= FIT_BYTES))
+    # Ids are ranked without their texts, so that what tasks send for it stays small; then at most FIT_DOCUMENTS texts are.
+    chosen = F.broadcast(short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS))
+    sample = short.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
     tagger = fit([row[0] for row in sample.select("text").collect()])
     return docs.select("doc_id", "text").mapInArrow(
         _finder(tagger), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
