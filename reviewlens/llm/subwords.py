@@ -24,8 +24,9 @@ ROUNDS = 60
 FIT_ROWS, FIT_BYTES = 2000, 8192
 #: Averages are multiplied by this before the softmax, so that a few telling words among hundreds need no huge vectors.
 GAIN = 50.0
-#: N-grams of fewer words of the fitted documents (counted once a document) are left at zero, for what they say is chance.
-SEEN = 50
+#: Weight of half the squared vectors beside the mean loss: an n-gram goes as far from zero as the fitted rows bear it out, so
+#: that rare ones stay near it unless they are telling.
+SHRINK = 1e-5
 #: Words whose n-grams are held at a time.
 WORDS_AT_ONCE = 1 << 14
 #: Step of the fit.
@@ -72,13 +73,11 @@ def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int =
     pair_doc, pair_word = (pair // max(1, len(distinct))).astype(np.int32), (pair % max(1, len(distinct))).astype(np.int32)
     share = GAIN * n_pair / np.maximum(counts, 1)[pair_doc]
     del pair, n_pair, index
-    # Buckets that are rare or that no word has stay out of the arithmetic.
-    seen = np.bincount(grams, np.bincount(pair_word, minlength=len(n_grams))[gram_word], BUCKETS)
-    used = np.flatnonzero(seen >= SEEN)
+    # Buckets that no word has stay out of the arithmetic.
+    used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     grams = place[grams]
-    gram_word, grams = gram_word[grams >= 0], grams[grams >= 0]
     size = np.maximum(n_grams, 1)
     rng = np.random.default_rng(seed)
     state = [rng.normal(0, 0.1, (DIMENSIONS, len(used))), rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)]
@@ -99,7 +98,7 @@ def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int =
         logits = doc @ softmax + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
         error = (odds / odds.sum(1, keepdims=True) - target) * scale[:, None]
-        slopes = [np.stack([spread(slope) for slope in (error @ softmax.T).T]), doc.T @ error, error.sum(0)]
+        slopes = [np.stack([spread(slope) for slope in (error @ softmax.T).T]) + SHRINK * vectors, doc.T @ error, error.sum(0)]
         for parameter, slope, (m, v) in zip(state, slopes, moments):
             m += 0.1 * (slope - m)
             v += 0.01 * (slope * slope - v)

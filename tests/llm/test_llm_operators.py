@@ -172,6 +172,20 @@ def test_toxicity_learns_and_scores_misspellings(spark):
     assert kept == {i for i, r in got.items() if r.score < 0.5}
 
 
+@pytest.mark.parametrize("clean, common, rare", [(120, 12, 12), (2000, 1985, 15)])
+def test_rare_toxic_words_are_learnt(clean, common, rare):
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    draw = lambda *more: " ".join([*rng.choice(vocabulary, 30), *more])
+    texts = [draw() for _ in range(clean)] + [draw("zounderel") for _ in range(common)] + [draw("qwxyvut") for _ in range(rare)]
+    labels = np.repeat([0, 1], [clean, common + rare])
+    model = subwords.train(pa.array(texts), labels, np.ones(len(texts)))
+    unseen = [draw() for _ in range(100)]
+    plain, told = subwords.scores(pa.array(unseen), *model), subwords.scores(pa.array([f"{t} qwxyvut" for t in unseen]), *model)
+    assert (told > plain).all() and np.median(told) > 3 * np.median(plain)
+    assert (plain < 0.5).mean() > 0.9
+
+
 def test_toxicity_odd(spark, odd, labels):
     got = subwords.toxicity(odd, labels).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
