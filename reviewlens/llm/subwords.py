@@ -141,7 +141,8 @@ def _keeper(model: np.ndarray, bias: float) -> Callable[[Iterator[pa.RecordBatch
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model from rows of ``docs`` that have a label toxic of 0 or 1 and a fold other than 0, within FIT_ROWS and FIT_BYTES. A
-    doc_id with several labels counts as toxic if one says so; of its rows one is used. Without labelled rows every score is 0.5."""
+    doc_id with several labels counts as toxic if one says so; of its rows one is used. Without rows of both classes nothing can be
+    learnt: the model is zeros and every score is 0.5."""
     marked = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold() != 0)
     shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     short = docs.select("doc_id", "text").filter(F.octet_length("text") <= FIT_BYTES)
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 x FIT_ROWS rows
     rows = (short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow())
     target = rows.column("toxic").to_numpy().astype(np.int64)
-    if not len(target):
+    if len(np.unique(target)) < 2:
         return np.zeros(BUCKETS), 0.0
     weights = np.array([shares.get(k, 0) for k in (0, 1)]) / np.maximum(1, np.bincount(target, minlength=2))
     return train(rows.column("text").combine_chunks(), target, weights[target])
@@ -168,5 +169,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that score below one half; no row moves."""
-    return docs.mapInArrow(_keeper(*fit(docs, labels)), docs.schema)
+    """The rows of ``docs``, with all columns, that score below one half; no row moves. All rows where nothing could be learnt."""
+    model, bias = fit(docs, labels)
+    return docs.mapInArrow(_keeper(model, bias), docs.schema) if model.any() else docs

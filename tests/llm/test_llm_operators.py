@@ -194,6 +194,15 @@ def test_toxicity_odd(spark, odd, labels):
     assert subwords.without_toxic(odd, labels).columns == odd.columns
 
 
+def test_without_toxic_keeps_all_where_nothing_is_learnt(spark, odd, labels):
+    known = spark.range(100, 140).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    long = known.select("doc_id", F.repeat(F.concat(F.lit("word"), "doc_id", F.lit(" ")), 2000).alias("text"))
+    short = known.select("doc_id", F.concat(F.lit("word "), "doc_id").alias("text"))
+    for docs, marks in ((odd, labels.limit(0)), (odd, labels.select("doc_id", F.lit(None).cast("int").alias("toxic"))),
+                        (odd, known), (long, known), (short, known.filter("toxic = 1"))):
+        assert subwords.without_toxic(docs, marks).count() == docs.count()
+
+
 # 4 token files
 
 
