@@ -21,7 +21,7 @@ DIMENSIONS = 4
 ROUNDS = 60
 #: The model is fitted on at most so many labelled documents of each class, in the order of a hash of their ids, of at most so many
 #: bytes each; the class shares of all labelled rows are put back as weights.
-FIT_ROWS, FIT_BYTES = 2000, 8192
+FIT_ROWS, FIT_BYTES = 2500, 8192
 #: Averages are multiplied by this before the softmax, so that a few telling words among hundreds need no huge vectors.
 GAIN = 50.0
 #: Weight of half the squared vectors beside the mean loss: an n-gram goes as far from zero as the fitted rows bear it out, so
@@ -29,6 +29,8 @@ GAIN = 50.0
 SHRINK = 1e-5
 #: Words whose n-grams are held at a time.
 WORDS_AT_ONCE = 1 << 14
+#: Fitted texts that are split at a time.
+TEXTS_AT_ONCE = 256
 #: Step of the fit.
 RATE = 0.1
 
@@ -63,21 +65,41 @@ def grams_of(distinct: pa.Array, step: int = WORDS_AT_ONCE) -> tuple[np.ndarray,
     return np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
 
 
+def pairs_of(texts: pa.Array, step: int = TEXTS_AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The distinct words of each text, some texts at a time: text, word (an index into all distinct words), the share of the
+    text's words that it makes up, and the distinct words."""
+    known, docs, found, shares = {}, [], [], []
+    for begin in range(0, len(texts), step):
+        counts, index, distinct = words(texts[begin:begin + step])
+        ids = np.array([known.setdefault(w, len(known)) for w in distinct.cast(pa.large_binary()).to_pylist()], np.int32)
+        width = max(1, len(distinct))
+        pair, n_pair = np.unique(np.repeat(np.arange(len(counts)), counts) * width + index, return_counts=True)
+        doc = pair // width
+        docs.append((begin + doc).astype(np.int32))
+        found.append(ids[pair % width])
+        shares.append(n_pair / counts[doc])
+    distinct = pa.array(list(known), pa.large_binary()).cast(pa.large_string())
+    return *(np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.int32, docs), (np.int32, found), (float, shares))), distinct
+
+
 def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit by Adam on all rows at once. The model is linear in the averages, so it is returned as one number per bucket (its vector
     times the difference of the classes) and a bias."""
-    counts, index, distinct = words(texts)
+    pair_doc, pair_word, share, distinct = pairs_of(texts)
+    share *= GAIN
     grams, n_grams = grams_of(distinct)
     gram_word = np.repeat(np.arange(len(n_grams), dtype=np.int32), n_grams)
-    pair, n_pair = np.unique(np.repeat(np.arange(len(counts)), counts) * max(1, len(distinct)) + index, return_counts=True)
-    pair_doc, pair_word = (pair // max(1, len(distinct))).astype(np.int32), (pair % max(1, len(distinct))).astype(np.int32)
-    share = GAIN * n_pair / np.maximum(counts, 1)[pair_doc]
-    del pair, n_pair, index
     # Buckets that no word has stay out of the arithmetic.
     used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     grams = place[grams]
+    # Sums over runs: n-grams lie by word, and once more by bucket. Every word has some, and every bucket in use.
+    word_starts = np.cumsum(n_grams) - n_grams
+    order = np.argsort(grams, kind="stable")
+    bucket_word, bucket_starts = gram_word[order], np.searchsorted(grams[order], np.arange(len(used)))
+    del order, gram_word
+    run = lambda values, starts: np.add.reduceat(values, starts) if len(starts) else np.zeros(0)
     size = np.maximum(n_grams, 1)
     rng = np.random.default_rng(seed)
     state = [rng.normal(0, 0.1, (DIMENSIONS, len(used))), rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)]
@@ -88,12 +110,12 @@ def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int =
         vectors, softmax, bias = state
 
         def read(vector):
-            word = np.bincount(gram_word, vector[grams], len(n_grams)) / size
-            return np.bincount(pair_doc, word[pair_word] * share, len(counts))
+            word = run(vector[grams], word_starts) / size
+            return np.bincount(pair_doc, word[pair_word] * share, len(texts))
 
         def spread(slope):
             word = np.bincount(pair_word, slope[pair_doc] * share, len(n_grams)) / size
-            return np.bincount(grams, word[gram_word], len(used))
+            return run(word[bucket_word], bucket_starts)
         doc = np.stack([read(vector) for vector in vectors], 1)
         logits = doc @ softmax + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))

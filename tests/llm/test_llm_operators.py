@@ -194,6 +194,25 @@ def test_toxicity_odd(spark, odd, labels):
     assert subwords.without_toxic(odd, labels).columns == odd.columns
 
 
+def test_pairs_of_texts_in_steps():
+    texts = pa.array([t for _, t in ODD])
+    doc, word, share, distinct = subwords.pairs_of(texts, 3)
+    got = [collections.Counter() for _ in ODD]
+    for d, w, part in zip(doc, word, share):
+        got[d][distinct[w].as_py()] = part
+    for (_, text), shares in zip(ODD, got):
+        count = collections.Counter(words(text))
+        assert shares == {w: pytest.approx(n / count.total()) for w, n in count.items()}
+
+
+def test_fit_uses_all_labelled_rows_up_to_2500_of_a_class(spark, monkeypatch):
+    known = spark.range(7000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    sizes = []
+    monkeypatch.setattr(subwords, "train", lambda texts, labels, weights: sizes.append(np.bincount(labels).tolist()) or (np.ones(1), 0.0))
+    subwords.fit(known.select("doc_id", F.lit("some text").alias("text")), known)
+    assert sizes == [[2500, 2500]]
+
+
 def test_without_toxic_keeps_all_where_nothing_is_learnt(spark, odd, labels):
     known = spark.range(100, 140).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     long = known.select("doc_id", F.repeat(F.concat(F.lit("word"), "doc_id", F.lit(" ")), 2000).alias("text"))
