@@ -7,7 +7,7 @@ of which at least ``LEAST`` agree in place is an overlap.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,15 @@ from pyspark.sql import functions as F
 from reviewlens.llm.common import bloom, hashed, in_bloom, mixed, seeds, steps, words
 from reviewlens.sources.storage import cut_lineage
 
-#: Tokens that count (1) and tokens that are ignored (0).
-MASKS = ("111111", "1101111", "11011011", "1110010101", "11001011001")
 WINDOW, LEAST = 13, 10
+#: Tokens that count (1) and tokens that are ignored (0), by the tokens of an item; longer items have those of WINDOW. Whichever
+#: tokens of a window that overlaps differ, one of its masks fits on tokens that agree: ``tests/llm`` lays all of them.
+MASKS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "11101", "10111"), 6: ("100111", "11101"), 7: ("11011",),
+    8: ("1111",), 9: ("10111", "10100101"), 10: ("11101", "11001001"), 11: ("10111",), 12: ("10100101",),
+    WINDOW: ("1101111", "111010011", "1100010111", "11001100011", "11110101"),
+}
+DISTINCT = tuple(dict.fromkeys(mask for masks in MASKS.values() for mask in masks))
 #: Stripped off the ends of a word.
 MARKS = ".,;:!?\"'`()[]{}<>*#$%&|_-"
 
@@ -32,11 +38,12 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return counts, hashed(pc.if_else(pc.equal(pc.binary_length(bare), 0), distinct, bare))[index] if len(index) else np.zeros(0, np.uint64)
 
 
-def seed_keys(coded: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each mask: its number, the places where it fits inside a text, and the hashes there."""
+def seed_keys(coded: np.ndarray, counts: np.ndarray, numbers: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each mask, given by its place in DISTINCT: that, the places where it fits inside a text, and the hashes there."""
     ends = np.repeat(np.cumsum(counts), counts)
     weights = seeds(16, 3)
-    for number, mask in enumerate(MASKS):
+    for number in numbers:
+        mask = DISTINCT[number]
         n = len(coded) - len(mask) + 1
         if n <= 0:
             continue
@@ -53,10 +60,13 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, coded = tokens(batch.column("text"))
         starts = np.cumsum(counts) - counts
         owner = np.repeat(np.arange(len(counts)), counts)
-        for _, at, keys in seed_keys(coded, counts):
+        for number, at, keys in seed_keys(coded, counts, range(len(DISTINCT))):
+            sizes = [n for n, masks in MASKS.items() if DISTINCT[number] in masks]
+            mine = np.isin(np.minimum(counts, WINDOW)[owner[at]], sizes)
+            at, keys = at[mine], keys[mine]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("item_id").take(pa.array(owner[at])), pa.array((at - starts[owner[at]]).astype(np.int32)), pa.array(keys.view(np.int64))],
-                ["item_id", "item_at", "key"])
+                [batch.column("item_id").take(pa.array(owner[at])), pa.array((at - starts[owner[at]]).astype(np.int32)), pa.array(keys.view(np.int64)),
+                 pa.array(np.full(len(at), number, np.int32))], ["item_id", "item_at", "key", "mask"])
 
 
 def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,14 +76,14 @@ def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([p.tobytes() for p in parts], pa.binary())], ["item_id", "item"])
 
 
-def _stretches(bitmap: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _stretches(bitmap: np.ndarray, numbers: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The stretches of a document around seeds that the benchmark may have: where each begins, its tokens, and the seeds."""
-    reach = WINDOW + max(map(len, MASKS))
+    reach = WINDOW + max(map(len, DISTINCT))
 
     def run(batches):
         for batch in steps(batches):
             counts, coded = tokens(batch.column("text"))
-            found = [(at[hit], keys[hit]) for _, at, keys in seed_keys(coded, counts) for hit in [in_bloom(bitmap, keys)]]
+            found = [(at[hit], keys[hit]) for _, at, keys in seed_keys(coded, counts, numbers) for hit in [in_bloom(bitmap, keys)]]
             at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
             if not len(at):
                 continue
@@ -135,9 +145,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     doc, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    item_seeds = cut_lineage(benchmark.mapInArrow(_item_seeds, f"item_id {item}, item_at int, key long").distinct())
+    item_seeds = cut_lineage(benchmark.mapInArrow(_item_seeds, f"item_id {item}, item_at int, key long, mask int").distinct())
+    numbers = sorted(row["mask"] for row in item_seeds.select("mask").distinct().collect())  # at most DISTINCT
+    item_seeds = item_seeds.drop("mask")
     items = benchmark.mapInArrow(_item_tokens, f"item_id {item}, item binary")
-    stretches = docs.mapInArrow(_stretches(bloom(item_seeds)), f"doc_id {doc}, begin long, tokens binary, seeds array<struct<at:int,key:long>>")
+    stretches = docs.mapInArrow(_stretches(bloom(item_seeds), numbers), f"doc_id {doc}, begin long, tokens binary, seeds array<struct<at:int,key:long>>")
     stretches = cut_lineage(stretches.withColumn("stretch", F.monotonically_increasing_id()))
     hits = (stretches.select("stretch", F.inline("seeds")).join(item_seeds, "key")
             .select("stretch", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())

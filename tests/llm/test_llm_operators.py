@@ -3,6 +3,7 @@ repeated rows, empty tables, extra columns."""
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -459,6 +460,34 @@ def test_contamination(spark, odd):
         assert spaced_seeds.contamination(left, right).collect() == []
 
 
+def accepted(n):
+    """The tokens that differ in all overlaps of a window of n tokens with as few agreeing as may be."""
+    return [set(gone) for gone in itertools.combinations(range(n), n - -(-spaced_seeds.LEAST * n // spaced_seeds.WINDOW))]
+
+
+def test_masks_hit_every_accepted_window():
+    assert len(accepted(13)) == 286 and len(accepted(5)) == 5 and list(spaced_seeds.MASKS) == list(range(1, 14))
+    for n, masks in spaced_seeds.MASKS.items():
+        for gone in accepted(n):
+            assert any(not gone & {at + k for k, c in enumerate(mask) if c == "1"} for mask in masks for at in range(n - len(mask) + 1)), (n, gone)
+
+
+def test_contamination_finds_every_accepted_window(spark):
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in (*range(1, 14), 400)}
+    bench = spark.createDataFrame([(n, " ".join(ws)) for n, ws in items.items()], "item_id long, text string")
+    rows, want = [], set()
+    for n, ws in items.items():
+        for gone in accepted(n) if n <= 13 else [set(range(3, n, 4))]:
+            doc = ["before"] * 3 + ["other" if k in gone else w for k, w in enumerate(ws)] + ["after"] * 2
+            want.add((len(rows), n))
+            rows.append((len(rows), " ".join(doc)))
+        if n <= 13:  # one agreeing token fewer
+            gone = set(range(n - -(-10 * n // 13) + 1))
+            rows.append((len(rows), " ".join("other" if k in gone else w for k, w in enumerate(ws))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in spaced_seeds.contamination(docs, bench).collect()} == want
+
+
 # 10 near copies
 
 
