@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.functions.scoring import percent
+from reviewlens.sources.storage import cut_lineage
 
 
 def score_sums(df: DataFrame, keys: Sequence[str | Column], score: str = "Sentiment_Score") -> DataFrame:
@@ -55,3 +56,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "_place") -> DataFrame:
+    """The rows with their place in this order, from 0, as a new column.
+
+    A distributed prefix sum: ranges of rows are sorted and counted on their own, and each is moved up by what the ranges before
+    it hold, so that nothing but a count per range meets in one task. Rows that are equal in ``order`` fall into one range; give a
+    full order where many may be. The rows are written once, so places stay the same if a task is run again.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return places(cut_lineage(laid.withColumn(name, F.monotonically_increasing_id())), name)
+
+
+def places(laid: DataFrame, name: str) -> DataFrame:
+    """Written rows whose column ``name`` is their ``monotonically_increasing_id``, which is replaced by their place."""
+    part = F.shiftright(name, 33)
+    counts = laid.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.shiftleft("_part", 33)).alias("_shift"))
+    return (laid.join(F.broadcast(shifts), part == F.col("_part"))  # a row per partition
+            .withColumn(name, F.col(name) + F.col("_shift")).drop("_part", "_shift"))
