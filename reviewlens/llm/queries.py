@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import backoff, minmax, oracles, packing, personal_data, pfair, risk_rules, secret_index, spaced_seeds, subwords, token_files
+from reviewlens.llm import (
+    backoff, compress_lang, hard_negatives, minmax, oracles, packing, personal_data, pfair, risk_rules, secret_index, shared_search, spaced_seeds,
+    subwords, token_files)
 from reviewlens.llm.common import table
 
 END_ID = 2
@@ -58,11 +60,28 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_compressed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_lang.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_backoff_scores, op2_trigram_secrets, op3_subword_toxicity, op4_token_files, op5_risk_controlled_rules, op6_packed_shards, op7_tagged_personal_data, op8_pfair_mixture, op9_spaced_seed_contamination, op10_minmax_near_duplicates)
+    f.__name__: f for f in (
+        op1_backoff_scores, op2_trigram_secrets, op3_subword_toxicity, op4_token_files, op5_risk_controlled_rules, op6_packed_shards,
+        op7_tagged_personal_data, op8_pfair_mixture, op9_spaced_seed_contamination, op10_minmax_near_duplicates, op11_shared_search,
+        op12_hard_negatives, op13_compressed_language)
 }
 ORACLES: dict[str, str] = {
     "op5_risk_controlled_rules": oracles.RISK_RULES,
     "op8_pfair_mixture": oracles.MIXTURE,
     "op10_minmax_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op11_shared_search": oracles.SHARED_SEARCH,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
