@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reviewlens.functions.vocabulary import SENTIMENT_WEIGHT, TOTAL, VOLUME_WEIGHT
 from reviewlens.operators.grouping import first_rows
+from reviewlens.sources.storage import cut_lineage
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
@@ -23,44 +26,64 @@ def rank_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(rank, place).filter(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
-def rank_max(df: DataFrame, col: str, partition: Sequence[str] = (), rank: str = "RANK", pieces: int = 32) -> DataFrame:
+def _running(keys: int):
+    """Running counts per key over rows sorted by key, with what each stretch of a key holds in all on its last row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [["nan" if v != v else v for v in batch.column(i).to_pylist()] for i in range(keys)]
+            rows = batch.column("_rows").to_numpy()
+            sums, own = np.zeros(len(rows), np.int64), list(zip(*names)) if keys else [()] * len(rows)
+            for i, (name, n) in enumerate(zip(own, rows.tolist())):
+                total = n if name != held else total + n
+                held, sums[i] = name, total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], [*batch.schema.names, "_inside"])
+    return run
+
+
+def rank_max(df: DataFrame, col: str, partition: Sequence[str] = (), rank: str = "RANK") -> DataFrame:
     """Descending rank in which tied rows all take the largest rank of their tie; nulls come last.
 
-    The rank of a value is the number of rows with that value or a larger one. Rows are first
-    counted per distinct value; the running count is then taken inside value ranges and shifted by
-    the counts of the higher ranges, so neither a hot partition nor a frequent value has to be
-    sorted by one task.
+    The rank of a value is the number of rows with that value or a larger one. Rows are counted per distinct value, and a
+    distributed prefix sum goes over the counts: they are shuffled once, into ranges of (partition, value) of as many values each,
+    summed up inside a range, and moved up by what the ranges before hold of the same partition. So neither a hot partition nor a
+    frequent value is sorted by one task. Then rows look up their value. Values with more rows than a fair share of a task, of which
+    there are fewer than tasks, are sent to all of them, and their rows are spread.
     """
-    keys = list(partition)
+    spark, keys = df.sparkSession, list(partition)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col(col).desc_nulls_last()]
     counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_rows"))
-    # The filter keeps every value; reading the count lets both branches share one scan and shuffle.
-    cuts = counts.filter("_rows > 0").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.percentile_approx(col, [i / pieces for i in range(1, pieces)]).alias("_cuts"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    # Range 0 holds the largest values, the last one the nulls.
-    piece = F.when(F.col(col).isNull(), pieces).otherwise(
-        F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c > F.col(col))))
-    if keys:
-        placed = counts.join(cuts, same).drop(*[f"_{k}" for k in keys])
-    else:
-        placed = counts.withColumn("_cuts", cuts.scalar())
-    placed = placed.withColumn("_piece", piece).drop("_cuts")
-
-    shift = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_piece")
-                                .rowsBetween(Window.unboundedPreceding, -1))
-    shifts = (placed.groupBy(*keys, "_piece").agg(F.sum("_rows").alias("_rows"))
-              .withColumn("_shift", F.coalesce(shift, F.lit(0)))
-              .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_piece").alias("_at"), "_shift"))
-    inside = F.sum("_rows").over(Window.partitionBy(*keys, "_piece").orderBy(F.desc_nulls_last(col))
-                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = (placed.withColumn("_inside", inside)
-             .join(shifts, same & (F.col("_piece") == F.col("_at")))
-             .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(col).alias("_value"),
-                     (F.col("_inside") + F.col("_shift")).alias(rank)))
-    found = same & F.col(col).eqNullSafe(F.col("_value"))
-    return df.join(ranks, found).drop("_value", *[f"_{k}" for k in keys])
+    laid = counts.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*laid.schema.fields, T.StructField("_inside", T.LongType())])
+    summed = cut_lineage(laid.mapInArrow(_running(len(keys)), schema))
+
+    def of(frame: DataFrame, prefix: str) -> Column:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(frame[f"{prefix}{k}"])
+        return same
+
+    # A range boundary cuts one partition at most, so fewer rows than ranges have anything to move up by.
+    held = summed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_at")).agg(F.max("_inside").alias("_held"))
+    before = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = F.broadcast(held.withColumn("_shift", F.sum("_held").over(before)).filter("_shift > 0").drop("_held"))
+    ranked = (summed.join(shifts, of(shifts, "_") & (F.col("_part") == F.col("_at")), "left")
+              .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(col).alias("_value"), "_rows",
+                      (F.col("_inside") + F.coalesce("_shift", F.lit(0))).alias(rank)))
+
+    fair = summed.agg(F.sum("_rows") / parts)
+    frequent = F.broadcast(ranked.filter(F.col("_rows") > fair.scalar())  # fewer than ``parts`` values
+                           .select(*[F.col(f"_{k}").alias(f"_f_{k}") for k in keys], F.col("_value").alias("_f_value"), F.col(rank).alias("_f_rank")))
+    marked = df.join(frequent, of(frequent, "_f_") & F.col(col).eqNullSafe(F.col("_f_value")), "left").drop("_f_value", *[f"_f_{k}" for k in keys])
+    # Rows that have their rank go anywhere; the others to their value.
+    salted = marked.withColumn("_salt", F.when(F.col("_f_rank").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(0))
+    rest = ranked.drop("_rows").withColumn("_to", F.lit(0).cast("long"))
+    found = of(rest, "_") & F.col(col).eqNullSafe(F.col("_value")) & (F.col("_salt") == F.col("_to"))
+    return (salted.join(rest, found, "left").withColumn(rank, F.coalesce("_f_rank", rank))
+            .drop("_value", "_f_rank", "_salt", "_to", *[f"_{k}" for k in keys]))
 
 
 def scaled(col: Column, low: Column, high: Column) -> Column:
@@ -68,18 +91,32 @@ def scaled(col: Column, low: Column, high: Column) -> Column:
     return F.try_divide((col - low).cast("double"), high - low)
 
 
-def min_max(df: DataFrame, col: str, partition: Sequence[str] = (), name: str = "NORMALIZED") -> DataFrame:
-    """Min-max normalisation within each partition, by joining the two bounds back."""
+#: Parts of the map of bounds; a row searches one of them.
+BOUND_PARTS = 256
+
+
+def min_max(df: DataFrame, col: str, partition: Sequence[str] = (), name: str = "NORMALIZED", many: bool = False) -> DataFrame:
+    """Min-max normalisation within each partition.
+
+    The bounds of all partitions are one value that rows look up by key, so that no row moves, however large a partition is. For
+    that they have to fit one value: with ``many`` partitions, more than some hundred thousand, the bounds are joined by key instead.
+    A null key is a partition.
+    """
     keys = list(partition)
-    bounds = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.struct(F.min(col).alias("low"), F.max(col).alias("high")).alias("_bounds"))
-    if keys:
+    bounds = df.groupBy(*keys).agg(F.struct(F.min(col).alias("low"), F.max(col).alias("high")).alias("_bounds"))
+    if not keys:
+        joined = df.withColumn("_bounds", bounds.scalar())
+    elif many:
+        other = bounds.select(*[F.col(k).alias(f"_{k}") for k in keys], "_bounds")
         same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        joined = df.join(bounds, same).drop(*[f"_{k}" for k in keys])
+        joined = df.join(other, same).drop(*[f"_{k}" for k in keys])
     else:
-        joined = df.withColumn("_bounds", bounds.scalar())
+        key, part = F.struct(*keys), F.pmod(F.xxhash64(*keys), F.lit(BOUND_PARTS)).cast("int")
+        parts = bounds.groupBy(part.alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("key"), "_bounds"))).alias("held"))
+        every = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "held"))).alias("all"))
+        joined = df.withColumn("_bounds", F.element_at(F.element_at(every.scalar(), part), key))
     return joined.withColumn(name, scaled(F.col(col), F.col("_bounds.low"), F.col("_bounds.high"))).drop("_bounds")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.functions.matching import ci_match, valid_sales
 from reviewlens.functions.vocabulary import COMPETITOR_SYSTEMS
-from reviewlens.operators.grouping import first_rows
+from reviewlens.operators.grouping import first_rows, numbered
+from reviewlens.sources.storage import cut_lineage
 
 
 def _names(by: str | Sequence[str]) -> list[str]:
@@ -113,39 +114,79 @@ def competitors_band(sales: DataFrame, series: str, band: float = 400, k: int =
     return top.select("Series", F.col("ASP").alias("COMPETITOR_ASP"), "Chassis_Segment", "Sales_Units", "RANK")
 
 
-def competitors_nearest(sales: DataFrame, series: str | None = None, k: int = 3) -> DataFrame:
+def _priced(base: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups of series with the segments that they are sold in, their number of series, and the price over all of these."""
+    return (base.join(groups, "Series").groupBy("FOCAL").agg(
+        F.collect_set("Chassis_Segment").alias("segments"), F.count_distinct("Series").alias("members"),
+        F.try_divide(F.sum("value").cast("double"), F.sum("units")).alias("price")).filter("price IS NOT NULL"))
+
+
+def _near_pairs(base: DataFrame, focal: DataFrame, k: int, rows: int) -> DataFrame:
+    """Pairs (FOCAL, Series) that share a segment, the k nearest in price of each focal certainly among them.
+
+    Over any segments, a series has a price between the lowest and the highest of its prices by segment. So series and focals are
+    sorted by price within each segment and cut into ranges of ``rows``, and a range is known by the lowest and the highest price in
+    it and its number of series. The own range and those beside it, as many as hold k others, settle how far the k-th nearest can
+    be; then ranges, and last series, whose prices reach that near, are looked into, and no others.
+    """
+    hull = Window.partitionBy("Series")  # the segments of one series
+    price = F.try_divide(F.col("value").cast("double"), F.col("units"))
+    sound = F.min(F.col("units") > 0).over(hull)  # without units in a segment its price tells nothing
+    infinite = F.lit(float("inf"))
+    sold = base.select(
+        F.col("Chassis_Segment").alias("segment"), "Series", F.lit(None).cast("string").alias("FOCAL"),
+        F.when(sound, F.min(price).over(hull)).otherwise(-infinite).alias("low"), F.when(sound, F.max(price).over(hull)).otherwise(infinite).alias("high"),
+        F.coalesce(F.try_divide(F.sum(F.col("value").cast("double")).over(hull), F.sum("units").over(hull)), infinite).alias("at"), F.lit(None).cast("long").alias("members"))
+    asking = focal.select(F.explode("segments").alias("segment"), F.lit(None).cast("string").alias("Series"), "FOCAL",
+                          F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.col("price").alias("at"), "members")
+    # Series with one and the same price in all segments tie for everyone, by name; only the first can ever be shown.
+    shown = focal.agg(F.max("members") + k)
+    flat = first_rows(sold.filter("low = high"), ["segment", "at"], [F.asc("Series")], 2**31 - 1, "tie").filter(F.col("tie") <= shown.scalar()).drop("tie")
+    sold = flat.union(sold.filter("NOT low = high"))
+    order = [F.col("segment"), F.col("at"), F.col("Series"), F.col("FOCAL")]
+    laid = cut_lineage(numbered(sold.union(asking), order).withColumn("range", F.floor(F.col("_place") / rows)).drop("_place"))
+    members, asked = laid.filter("Series IS NOT NULL"), laid.filter("FOCAL IS NOT NULL")
+    ranges = members.groupBy("segment", "range").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
+
+    # How far the k-th nearest can be: whole ranges around the focal, nearest first, until they hold k series besides its own.
+    beside = asked.select("segment", "FOCAL", "at", "members", F.explode(F.sequence(F.col("range") - 2, F.col("range") + 2)).alias("range"))
+    reach = F.greatest(F.abs(F.col("low") - F.col("at")), F.abs(F.col("high") - F.col("at")))
+    nearest = Window.partitionBy("segment", "FOCAL").orderBy("reach").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # five rows
+    certain = (beside.join(ranges, ["segment", "range"]).withColumn("reach", reach)
+               .withColumn("held", F.sum("n").over(nearest)).filter(F.col("held") >= F.col("members") + k)
+               .groupBy("FOCAL").agg(F.min("reach").alias("radius")))
+    # A price over segments may lie outside of those by segment by the rounding of a division.
+    wide = asked.join(certain, "FOCAL", "left").withColumn("radius", F.coalesce(F.col("radius") * (1 + 1e-9) + 1e-9, infinite))
+    wide = wide.select("FOCAL", "segment", "range", (F.col("at") - F.col("radius")).alias("from"), (F.col("at") + F.col("radius")).alias("to"))
+    wide = cut_lineage(wide)
+
+    spans = wide.groupBy("segment", "range").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    met = spans.join(ranges.withColumnRenamed("range", "other"), "segment").filter("low <= to AND high >= from").select("segment", "range", "other")
+    return (wide.join(met, ["segment", "range"]).join(members.select("segment", F.col("range").alias("other"), "Series", "low", "high"), ["segment", "other"])
+            .filter("low <= to AND high >= from").select("FOCAL", "Series").distinct())
+
+
+def competitors_nearest(sales: DataFrame, series: str | None = None, k: int = 3, groups: DataFrame | None = None,
+                        range_rows: int = 128) -> DataFrame:
     """The k other series nearest in price among those sharing a chassis segment.
 
-    A competitor's price and units count only the segments it shares with the focal series. Series
-    with the same set of segments see the same competitors, so prices are computed once per
-    distinct set. Within a set the nearest prices are neighbours in price order: each price looks k
-    distinct prices up and down, which avoids pairing all series of a segment.
+    A competitor's price and units count only the segments it shares with the focal series. With ``groups`` (FOCAL, Series) each
+    FOCAL stands for all of its series: its segments and its price are those of all, and none of them competes with it.
+    Series are not paired with each other: see ``_near_pairs``.
     """
     # One aggregate serves every step below: all of them read both sums of named series and segments.
-    base = sales.filter("Series IS NOT NULL AND Chassis_Segment IS NOT NULL").groupBy("Series", "Chassis_Segment").agg(
-        F.sum("Sales_Value").alias("value"), F.sum("Sales_Units").alias("units"))
-    own = base.groupBy("Series").agg(
-        F.sort_array(F.collect_set("Chassis_Segment")).alias("segments"),
-        F.try_divide(F.sum("value").cast("double"), F.sum("units")).alias("price")).filter("price IS NOT NULL")
-    focal = own if series is None else own.filter(F.col("Series") == series)
-    sets = focal.select("segments").distinct().select("segments", F.explode("segments").alias("segment"))
-    seen = (base.join(sets, F.col("Chassis_Segment") == F.col("segment"))
-            .groupBy("segments", "Series")
-            .agg(F.sum("value").alias("value"), F.sum("units").alias("units"))
-            .withColumn("asp", F.try_divide(F.col("value").cast("double"), F.col("units")))
-            .filter("asp IS NOT NULL"))
-    # Of series with one and the same price only the k + 1 first names can ever be shown.
-    named = first_rows(seen, ["segments", "asp"], [F.asc("Series")], k + 1)
-    prices = named.groupBy("segments", "asp").agg(F.collect_list(F.struct("Series", "units")).alias("sellers"))
-    around = Window.partitionBy("segments").orderBy("asp").rowsBetween(-k, k)
-    nearby = prices.select(
-        "segments", F.col("asp").alias("price"),
-        F.collect_list(F.struct("asp", "sellers")).over(around).alias("nearby"))
-    found = (focal.join(nearby, ["segments", "price"])
-             .select(F.col("Series").alias("FOCAL_SERIES"), F.col("price"), F.explode("nearby").alias("n"))
-             .select("FOCAL_SERIES", "price", F.col("n.asp").alias("asp"), F.explode("n.sellers").alias("s"))
-             .filter(F.col("s.Series") != F.col("FOCAL_SERIES"))
-             .select("FOCAL_SERIES", F.col("s.Series").alias("Series"), F.col("asp").alias("COMPETITOR_ASP"),
-                     thousands(F.col("s.units")).alias("SALES_UNITS_K"),
-                     F.abs(F.col("asp") - F.col("price")).alias("PRICE_DIFFERENCE")))
+    base = cut_lineage(sales.filter("Series IS NOT NULL AND Chassis_Segment IS NOT NULL").groupBy("Series", "Chassis_Segment").agg(
+        F.sum("Sales_Value").alias("value"), F.sum("Sales_Units").alias("units")))
+    if groups is None:
+        names = base.select("Series").distinct().withColumn("FOCAL", F.col("Series"))
+        groups = names if series is None else names.filter(F.col("Series") == series)
+    groups = groups.select(F.col("FOCAL").cast("string").alias("FOCAL"), "Series").distinct()
+    focal = cut_lineage(_priced(base, groups))
+    pairs = _near_pairs(base, focal, k, range_rows).join(groups, ["FOCAL", "Series"], "left_anti")
+    found = (pairs.join(focal.drop("members"), "FOCAL").join(base, "Series").filter(F.array_contains("segments", F.col("Chassis_Segment")))
+             .groupBy("FOCAL", "Series").agg(
+                 F.try_divide(F.sum("value").cast("double"), F.sum("units")).alias("COMPETITOR_ASP"), F.sum("units").alias("units"), F.max("price").alias("price"))
+             .filter("COMPETITOR_ASP IS NOT NULL")
+             .select(F.col("FOCAL").alias("FOCAL_SERIES"), "Series", "COMPETITOR_ASP", thousands("units").alias("SALES_UNITS_K"),
+                     F.abs(F.col("COMPETITOR_ASP") - F.col("price")).alias("PRICE_DIFFERENCE")))
     return first_rows(found, ["FOCAL_SERIES"], [F.asc("PRICE_DIFFERENCE"), F.asc("Series")], k, "RANK")

@@ -68,6 +68,16 @@ def _(spark, d):
     return nm.to_sentiment_names(_asked(spark, d), bind.name_mapping(spark, d), "NAME")
 
 
+@query("jn8_name_groups", """SELECT c.g AS DEVICE, k.KIND, k.NAME
+FROM (SELECT OEMGROUP, min(Series) AS g FROM sales GROUP BY 1) c
+JOIN (SELECT DISTINCT OEMGROUP, 'sales' AS KIND, Series AS NAME FROM sales UNION SELECT DISTINCT OEMGROUP, 'review', OEMGROUP FROM sales) k USING (OEMGROUP)""",
+       "sales")
+def _(spark, d):
+    """Series that are linked by their maker, whose name stands for the review name here."""
+    pairs = bind.sales(spark, d, "Series", "OEMGROUP").select(F.col("Series").alias("SalesDevice"), F.col("OEMGROUP").alias("SentimentDevice"))
+    return nm.name_groups(pairs)
+
+
 def _catalog(spark, d):
     """Every word of the part names."""
     parts = bind.table(spark, d, "part")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewlens.operators import digest as dg, profile as pf
+from reviewlens.operators import digest as dg, names as nm, profile as pf
 from reviewlens.plans.oracle import NS
 from reviewlens.plans.registry import query
 from reviewlens.sources import bindings as bind
+from reviewlens.sources.storage import cut_lineage
 
 _RATED = ("Promo", "Small", "Battery")
 
@@ -85,7 +86,10 @@ def _beside(column: str) -> str:
     f"{_beside(c)} FROM (SELECT * FROM ({_PROFILE}) WHERE DEVICE = 'BRAND#2') a, (SELECT * FROM ({_PROFILE}) WHERE DEVICE = 'BRAND#3') b"
     for c in _MEASURED), ("reviews", "sales", "name_mapping"))
 def _(spark, d):
-    beside = pf.side_by_side(_profiles(spark, d).select("DEVICE", "STARS", *_MEASURED), "BRAND#2", "BRAND#3")
+    return _shown(pf.side_by_side(_profiles(spark, d).select("DEVICE", "STARS", *_MEASURED), "BRAND#2", "BRAND#3"))
+
+
+def _shown(beside):
     whole = ~F.col("MEASURE").isin("TOP_SPECS", "FIRST_MONTH")
 
     def shown(c: str):
@@ -94,6 +98,73 @@ def _(spark, d):
     return beside.select("MEASURE", shown("FIRST").alias("FIRST"), shown("SECOND").alias("SECOND"))
 
 
+_SETS = "SELECT DISTINCT split_part(SentimentDevice, ' ', 2) AS DEVICE, SentimentDevice, SalesDevice FROM name_mapping"
+
+_SET_PROFILE = f"""SELECT l.DEVICE, NET_SENTIMENT, l.REVIEW_COUNT, {', '.join(f'RATING_{a.upper()}' for a in _RATED)},
+  s.SALES_UNITS_K, s.ASP, t.TOP_SPECS, t.TOP_SPECS_UNITS_K, s.FIRST_MONTH, s.LAST_MONTH
+FROM (SELECT DEVICE, {NS} AS NET_SENTIMENT, count(*) AS REVIEW_COUNT, {', '.join(
+    f"coalesce(CAST(sum(Sentiment_Score) FILTER (WHERE Aspect = '{a}') AS DOUBLE) * 100 / nullif(count(*) FILTER (WHERE Aspect = '{a}'), 0), 0) AS RATING_{a.upper()}"
+    for a in _RATED)}
+  FROM reviews JOIN (SELECT DISTINCT DEVICE, SentimentDevice FROM ({_SETS})) ON Product_Family = SentimentDevice GROUP BY 1) l
+JOIN (SELECT DEVICE, CAST(sum(Sales_Units) AS DOUBLE) / 1000 AS SALES_UNITS_K, CAST(sum(Sales_Value) AS DOUBLE) / sum(Sales_Units) AS ASP,
+    min(Month) AS FIRST_MONTH, max(Month) AS LAST_MONTH
+  FROM sales JOIN (SELECT DISTINCT DEVICE, SalesDevice FROM ({_SETS})) ON Series = SalesDevice GROUP BY 1) s USING (DEVICE)
+JOIN (SELECT DEVICE, Specs_Combination AS TOP_SPECS, u AS TOP_SPECS_UNITS_K,
+    row_number() OVER (PARTITION BY DEVICE ORDER BY u DESC, Specs_Combination) AS r
+  FROM (SELECT DEVICE, Specs_Combination, CAST(sum(Sales_Units) AS DOUBLE) / 1000 AS u
+    FROM sales JOIN (SELECT DISTINCT DEVICE, SalesDevice FROM ({_SETS})) ON Series = SalesDevice GROUP BY 1, 2)) t
+  ON t.DEVICE = l.DEVICE AND t.r = 1"""
+
+
+def _set_profiles(spark, d):
+    """All families by one noun, whoever sells them, as one device."""
+    mapping = bind.name_mapping(spark, d)
+    stated = mapping.select(F.split_part("SentimentDevice", F.lit(" "), F.lit(2)).alias("DEVICE"), F.col("SentimentDevice").alias("NAME"))
+    return pf.set_profile(
+        bind.reviews(spark, d, "Product_Family", "Aspect", "Sentiment_Score"),
+        bind.sales(spark, d, "Series", "Specs_Combination", "Sales_Units", "Sales_Value", "Month"),
+        nm.sets_of_names(stated, mapping), _RATED)
+
+
+@query("prf1_profile_of_name_set", f"SELECT *, {_STARS} FROM ({_SET_PROFILE})", ("reviews", "sales", "name_mapping"))
+def _(spark, d):
+    return _flat_stars(_set_profiles(spark, d))
+
+
+@query("prf3_side_by_side_sets", " UNION ALL ".join(
+    f"""{_beside(c)} FROM (SELECT * FROM ({_SET_PROFILE}) WHERE DEVICE = (SELECT min(DEVICE) FROM ({_SETS}))) a,
+  (SELECT * FROM ({_SET_PROFILE}) WHERE DEVICE = (SELECT max(DEVICE) FROM ({_SETS}))) b""" for c in _MEASURED),
+    ("reviews", "sales", "name_mapping"))
+def _(spark, d):
+    profiles = cut_lineage(_set_profiles(spark, d).select("DEVICE", "STARS", *_MEASURED))
+    first, last = profiles.agg(F.min("DEVICE"), F.max("DEVICE")).first()
+    return _shown(pf.side_by_side(profiles, first, last))
+
+
+_GROUP_CARDS = f"""SELECT n.FOCAL AS FOCAL_SERIES, n.RANK, n.Series, a.oem || ' ' || n.Series AS DISPLAY_NAME, n.SALES_UNITS_K, n.COMPETITOR_ASP,
+  l.NET_SENTIMENT, a.FIRST_MONTH, a.LAST_MONTH
+FROM (SELECT *, row_number() OVER (PARTITION BY FOCAL ORDER BY d, Series) AS RANK FROM (
+    SELECT f.FOCAL, c.Series, CAST(sum(c.v) AS DOUBLE) / sum(c.u) AS COMPETITOR_ASP, CAST(sum(c.u) AS DOUBLE) / 1000 AS SALES_UNITS_K,
+      abs(CAST(sum(c.v) AS DOUBLE) / sum(c.u) - max(f.price)) AS d
+    FROM (SELECT OEMGROUP AS FOCAL, CAST(sum(Sales_Value) AS DOUBLE) / sum(Sales_Units) AS price FROM sales GROUP BY 1) f
+    JOIN (SELECT DISTINCT OEMGROUP, Chassis_Segment FROM sales) s ON s.OEMGROUP = f.FOCAL
+    JOIN (SELECT OEMGROUP, Series, Chassis_Segment, sum(Sales_Value) AS v, sum(Sales_Units) AS u FROM sales GROUP BY ALL) c
+      ON c.Chassis_Segment = s.Chassis_Segment AND c.OEMGROUP <> f.FOCAL
+    GROUP BY 1, 2)) n
+JOIN (SELECT Series, min(upper(OEMGROUP)) AS oem, min(Month) AS FIRST_MONTH, max(Month) AS LAST_MONTH FROM sales GROUP BY 1) a ON a.Series = n.Series
+LEFT JOIN (SELECT SalesDevice, {NS} AS NET_SENTIMENT FROM reviews JOIN name_mapping ON Product_Family = SentimentDevice GROUP BY 1) l
+  ON l.SalesDevice = n.Series WHERE n.RANK <= 3"""
+
+
+@query("prf2_competitors_of_name_set", f"SELECT *, {_STARS} FROM ({_GROUP_CARDS})", ("reviews", "sales", "name_mapping"))
+def _(spark, d):
+    """All series of one maker as one device."""
+    sales = bind.sales(spark, d, "Series", "Chassis_Segment", "OEMGROUP", "Sales_Units", "Sales_Value", "Month")
+    sets = sales.select(F.col("OEMGROUP").alias("DEVICE"), F.lit("sales").alias("KIND"), F.col("Series").alias("NAME")).distinct()
+    return _flat_stars(pf.set_competitors(
+        bind.reviews(spark, d, "Product_Family", "Sentiment_Score"), sales, sets, bind.name_mapping(spark, d)))
+
+
 _DIGEST_COLUMNS = ("Product_Family", "Aspect", "Keywords", "Sentiment", "Sentiment_Score")
 
 

@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 from reviewlens.operators import ranking as rk
 
 
-@pytest.mark.parametrize("pieces", [2, 7, 32])
-def test_rank_max_matches_pandas(spark, pieces):
+@pytest.fixture
+def parts(spark, request):
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40], indirect=True)
+def test_rank_max_matches_pandas(spark, parts):
     rnd = random.Random(3)
     # One value and one partition hold most rows.
     rows = [("hot" if rnd.random() < 0.7 else rnd.choice("ab"), None if rnd.random() < 0.1 else
              5.0 if rnd.random() < 0.4 else float(rnd.randrange(60))) for _ in range(800)]
     rows.append(("only null", None))
-    got = rk.rank_max(spark.createDataFrame(rows, "p string, x double"), "x", ["p"], pieces=pieces).toPandas()
+    got = rk.rank_max(spark.createDataFrame(rows, "p string, x double"), "x", ["p"]).toPandas()
     want = pd.DataFrame(rows, columns=["p", "x"])
     want["RANK"] = want.groupby("p")["x"].rank(method="max", ascending=False, na_option="bottom").astype(int)
 
@@ -28,9 +35,40 @@ def test_rank_max_without_partition(spark):
     assert sorted((r["x"] or 0, r["RANK"]) for r in rk.rank_max(df, "x").collect()) == [(0, 4), (1.0, 3), (2.0, 2), (2.0, 2)]
 
 
-def test_min_max_zero_range_is_null(spark):
+def test_ranks_of_a_frequent_value_do_not_meet_in_one_task(spark):
+    """Rows of a value that half of all have are spread; each task of the join gets a fair share."""
+    df = spark.range(20000).selectExpr("'hot' as p", "if(id % 2 = 0, 1.5, cast(id % 500 as double)) as x")
+    found = rk.rank_max(df, "x", ["p"])
+    assert found.filter("x = 1.5").select("RANK").distinct().collect()[0][0] == df.filter("x >= 1.5").count()
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        sizes = [r[1] for r in rk.rank_max(df, "x", ["p"]).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert len(sizes) >= 3 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_odd_rows_of_rank_max(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (float("nan"), 2.0), (float("nan"), 2.0), (1.0, None)], "p double, x double")
+    got = sorted((str(r["p"]), str(r["x"]), r["RANK"]) for r in rk.rank_max(df, "x", ["p"]).collect())
+    assert got == [("1.0", "None", 1), ("None", "1.0", 2), ("None", "2.0", 1), ("nan", "2.0", 2), ("nan", "2.0", 2)]
+    assert rk.rank_max(df.limit(0), "x", ["p"]).collect() == []
+
+
+def test_min_max_moves_no_row(spark, tmp_path):
+    """One hot group: the rows are scanned, look their bounds up, and are not shuffled."""
+    spark.range(5000).selectExpr("if(id % 10 < 9, 'hot', concat('g', id % 7)) as p", "cast(id as double) as x").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = rk.min_max(df, "x", ["p"])._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    a, b = (sorted(map(str, rk.min_max(df, "x", ["p"], many=many).collect())) for many in (False, True))
+    assert a == b and len(a) == 5000
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_min_max_zero_range_is_null(spark, many):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), (None, 4.0), (None, 5.0)], "p string, x double")
-    got = {(r["p"], r["x"]): r["NORMALIZED"] for r in rk.min_max(df, "x", ["p"]).collect()}
+    got = {(r["p"], r["x"]): r["NORMALIZED"] for r in rk.min_max(df, "x", ["p"], many=many).collect()}
     assert got == {("a", 1.0): 0.0, ("a", 3.0): 1.0, ("b", 2.0): None, (None, 4.0): 0.0, (None, 5.0): 1.0}
 
 
