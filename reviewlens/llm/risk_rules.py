@@ -30,25 +30,30 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "[#*$%&|<>]"
 
 
+def _window(words: Column, i: Column) -> list[Column]:
+    return [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
+
+
 def window_hashes(words: Column) -> Column:
     """The hash of the window of three words that begins at each word but the last two."""
     return F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words that lie in a window found twice or more. Windows are sorted as one number each, the hash above and the place in the
-    lowest bits, so equal ones become neighbours: n log n steps whatever repeats."""
-    bits = F.ceil(F.log2(F.size(hashes) + 1)).cast("int")
-    return F.struct(bits.alias("bits"), F.sort_array(F.transform(
-        hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))).alias("keys"))
+def sorted_windows(words: Column, hashes: Column) -> Column:
+    """All windows by a hash, a second hash, and place, so that equal ones become neighbours: n log n steps whatever repeats."""
+    return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.crc32(F.concat_ws(" ", *_window(words, i)).cast("binary")).alias("g"), i.alias("i"))))
 
 
-def _covered(found: Column) -> Column:
-    keys, bits = found["keys"], found["bits"]
-    head = lambda k: F.call_function("shiftrightunsigned", k, bits)
-    same = lambda k, j: F.coalesce(head(k) == head(F.get(keys, j)), F.lit(False))
+def _covered(words: Column, keys: Column) -> Column:
+    """Words that lie in a window found twice or more. Neighbours count as equal where their words are."""
+    def same(k, j):
+        other = F.get(keys, j)
+        equal = (k["h"] == other["h"]) & (k["g"] == other["g"])
+        for mine, its in zip(_window(words, k["i"]), _window(words, other["i"])):
+            equal = equal & (mine == its)
+        return F.coalesce(equal, F.lit(False))
     twice = F.filter(keys, lambda k, j: same(k, j - 1) | same(k, j + 1))
-    places = F.sort_array(F.transform(twice, lambda k: k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
+    places = F.sort_array(F.transform(twice, lambda k: k["i"].cast("long")))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("end"))
     return F.aggregate(places, start, lambda s, p: F.struct((s["sum"] + p + 3 - F.greatest(p, s["end"])).alias("sum"), (p + 3).alias("end")), lambda s: s["sum"])
 
@@ -64,11 +69,11 @@ def measures(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.size("words")).withColumn("hashes", F.when(F.col("n") > 3, window_hashes(F.col("words"))))
     # Most texts repeat no window; a hash set tells so, and spares them the sort.
     repeats = F.size("hashes") > F.size(F.array_distinct("hashes"))
-    rows = rows.withColumn("found", F.when(repeats, repeated_words(F.col("hashes"))))
+    rows = rows.withColumn("found", F.when(repeats, sorted_windows(F.col("words"), F.col("hashes"))))
     rows = rows.select(
         "doc_id", "stratum", F.col("n").cast("long").alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_covered(F.col("found")), F.lit(0)).cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"))
+        F.coalesce(_covered(F.col("words"), F.col("found")), F.lit(0)).cast("long").alias("n_repeat_words"), F.size("lines").cast("long").alias("n_lines"))
     return rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 

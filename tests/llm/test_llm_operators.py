@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -96,12 +97,64 @@ def test_backoff_against_brute_force(real, order):
     assert order == 1 or sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def plain_model(train, order):
+    """The counts of a corpus and its law, worked out by themselves."""
+    count = collections.Counter(tuple(t[k:k + n]) for t in train for n in range(1, order + 1) for k in range(len(t) - n + 1))
+    of = lambda n: [c for g, c in count.items() if len(g) == n]
+    tokens, types = sum(of(1)), len(of(1))
+    law = {}
+    for n in range(2, order + 1):
+        classes = collections.defaultdict(list)
+        for c in of(n - 1):
+            classes[c.bit_length()].append(c)
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(len(v) * (sum(v) / len(v)) ** middle for v in classes.values()) < len(of(n)) else (low, middle)
+        once, twice = of(n).count(1), of(n).count(2)
+        law[n] = (once / (once + 2 * twice) if once else 0.5, high)
+
+    def chance(history, word):
+        if not history:
+            return (count[(word,)] + 0.5) / (tokens + 0.5 * (types + 1))
+        c = count[history]
+        if not c:
+            return chance(history[1:], word)
+        discount, exponent = law[len(history) + 1]
+        fail = min(1.0, discount * c ** (exponent - 1))
+        return (1 - fail) * count[history + (word,)] / c + fail * chance(history[1:], word)
+    return chance
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_token_by_token(spark, order, monkeypatch):
+    """The automaton, with lanes that cut texts, against the formula for each token."""
+    monkeypatch.setattr(backoff, "LANE", 5)
+    rng = np.random.default_rng(order)
+    rows = [(i, " ".join(rng.choice(list("abcdefg"), rng.integers(0, 40), p=[.4, .2, .1, .1, .1, .05, .05]))) for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choice(list("abcxy"), rng.integers(0, 30)))) for i in range(20)] + [(200, None), (201, "a b " * 40)]
+    chance = plain_model([words(t) + [None] for i, t in rows if i < 100], order)
+    got = {r.doc_id: r.score for r in backoff.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") >= 100, order).collect()}
+    for i, t in rows:
+        own = words(t) + [None]
+        want = sum(math.log10(chance(tuple(own[max(0, k - order + 1):k]), w)) for k, w in enumerate(own))
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_keys_travel_whole():
+    rng = np.random.default_rng(2)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, np.uint64) & ~np.uint64(7) | np.uint64(1)] + [
+        rng.integers(0, 1 << 47, 300, np.uint64) << np.uint64(16) | np.uint64(n) for n in (2, 3, 7)]))
+    assert (np.sort(backoff._received(backoff._sent(keys), len(keys))) == keys).all()
+    assert (backoff._received(backoff._sent(keys), len(keys)) == keys[backoff._laid(keys)]).all()
+
+
 def test_backoff_is_a_distribution(spark):
     """After a history, the probabilities of all words, of the end and of one unseen word add up to 1."""
     train = [(1, "a b a b a c"), (2, "a b c"), (3, "b b a")]
     asked = ["a", "b", "c", "unseen"]
     rows = train + [(100 + k, f"a {w}") for k, w in enumerate(asked)] + [(200 + k, w) for k, w in enumerate(asked)]
-    got = {r.doc_id: r.score for r in backoff.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    got = {r.doc_id: r.score for r in backoff.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100, 2).collect()}
     counts = collections.Counter(w for _, t in train for w in t.split() + [None])
     alone = lambda w: math.log10((counts[w] + 0.5) / (sum(counts.values()) + 0.5 * (len(counts) + 1)))
     # A text "a w" is p(a) p(w | a) p(end | w), and a text "w" is p(w) p(end | w).
@@ -281,6 +334,12 @@ def test_measures_against_brute_force(spark, real, odd):
     assert sorted((r.doc_id or -1, *(r[n] for n in names)) for r in risk_rules.measures(docs).collect()) == want
 
 
+def test_repeated_words_of_a_long_text(spark):
+    """Two million words that occur once, and one window twice: six words, however many windows are compared."""
+    docs = spark.range(1).selectExpr("1L as doc_id", "concat_ws(' ', 'x y z', array_join(transform(sequence(1, 2000000), k -> concat('w', k)), ' '), 'x y z') as text", "'en' as lang")
+    assert risk_rules.measures(docs).first().n_repeat_words == 6
+
+
 def test_binomial_tail(spark):
     rows = [(k, n) for n in (1, 10, 300, 5000) for k in (0, 1, 3, 40) if k <= n]
     got = spark.createDataFrame(rows, "k long, n long").withColumn("p", risk_rules.binomial_tail(F.col("k"), F.col("n"), 0.02)).collect()
@@ -385,15 +444,36 @@ def test_tagger_finds_spans_of_unseen_texts(spark):
     assert right >= 9 * wrong
 
 
+def right_form(kind, text):
+    """The checks of the patterns, by themselves."""
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "ip":
+        return all(re.fullmatch("0*([0-9]{0,3})", p) and int(re.fullmatch("0*([0-9]{0,3})", p)[1] or 0) <= 255 for p in text.split("."))
+    if kind == "card":
+        doubled = [int(d) * (1 + k % 2) for k, d in enumerate(reversed(digits))] if len(digits) < 99 else []
+        return 14 <= len(digits) <= 19 and sum(n // 10 + n % 10 for n in doubled) % 10 == 0
+    return kind == "email" or 10 <= len(digits) <= 15
+
+
+def test_spans_in_one_text_of_a_thousand(spark):
+    """The tagger is fitted however rare spans are: texts full of other numbers do not crowd them out."""
+    rows = [(i, f"on 2021-{i % 12 + 1:02d}-03 it came to {i} of {i * 7} at room 4.2" + (f" mail ab{i}@mail.example.org or 10.{i % 250}.3.4 now" if i % 1000 == 0 else "")) for i in range(8000)]
+    docs = spark.createDataFrame(rows + [(9001, "write to ab77 @ mail.example.org soon")], "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data.personal_data(docs).collect()}
+    assert sum(r.n_email for r in got.values()) == 8 == sum(r.n_ip for r in got.values())
+    sample = docs.filter(F.col("text").rlike(personal_data._BEGUN)).count()
+    assert sample == 8
+
+
 def test_personal_data_against_brute_force(spark, real, odd):
     patterns = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
                 ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
     more = [(60, "a@b@c.de x@y. z@w.v@u.t +1-2-3-4-5-6-7-8-9-0-- 1.2.3.4.5.6.7.8 4111-1111 1111-1111 9"), (61, "@" * 50 + "9" * 5000), (62, "😀 a.b+c@d-e.fg 255.255.255.256"),
-            (63, "+١٢٣ 1" + "." * 50 + "+12345678901234567 0004.1.1.1")]
+            (63, "+١٢٣ 1" + "." * 50 + "+12345678901234567 0004.1.1.1"), (64, "0" * 5000 + ".1.2.3 " + "0" * 4999 + "1.256.2.3 " + "7" * 6000 + ".1.1.1")]
     docs = odd.select("doc_id", "text").union(real.select("doc_id", "text")).union(spark.createDataFrame(more, "doc_id long, text string"))
     want = []
     for i, t in docs.collect():
-        found = sorted((m.start(), k, name, m.end()) for k, (name, p) in enumerate(patterns) for m in re.finditer(p, t or "") if personal_data.valid(name, m[0]))
+        found = sorted((m.start(), k, name, m.end()) for k, (name, p) in enumerate(patterns) for m in re.finditer(p, t or "") if right_form(name, m[0]))
         want.append((i or -1, hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, n, e in found).encode()).hexdigest(), *(sum(f[1] == k for f in found) for k in range(4))))
     got = personal_data.personal_data(docs).collect()
     assert sorted((r.doc_id or -1, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == sorted(want)
@@ -403,29 +483,55 @@ def test_personal_data_against_brute_force(spark, real, odd):
 # 8 mixing
 
 
-def plain_schedule(shares, period):
-    done, out = [0] * len(shares), []
-    for slot in range(period):
-        ready = [(-(-(d + 1) * period // s), k) for k, (d, s) in enumerate(zip(done, shares)) if d < s and d * period // s <= slot]
-        k = min(ready)[1]
-        out.append(k)
+def plain_schedule(units, blocks):
+    """Slot by slot in exact fractions."""
+    done, out, time, total = [0] * len(units), [], Fraction(0), sum(units)
+    for _ in range(sum(blocks)):
+        left = [k for k, d in enumerate(done) if d < blocks[k]]
+        time += Fraction(total, sum(units[k] for k in left))
+        _, _, k = min((done[k] * total // units[k] >= time, -(-(done[k] + 1) * total // units[k]), k) for k in left)
+        out.append((k + 1, done[k], len(out)))
         done[k] += 1
     return out
 
 
-def test_schedule_is_pfair(spark):
-    weights = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 0.25), ("d", 3.3), ("e", 0.0), ("f", None), (None, 0.4)], "source string, weight double")
-    shared = pfair.shares(weights, 200)
-    share = {r.source: r.share for r in shared.orderBy("place").collect()}
-    assert sum(share.values()) == 200 and set(share) == {None, "a", "b", "c", "d"}
-    taken = {r.slot: r.source for r in pfair.schedule(shared, 200).collect()}
-    names = list(share)
-    assert [taken[s] for s in range(200)] == [names[k] for k in plain_schedule(list(share.values()), 200)]
-    for name, s in share.items():
-        count = 0
-        for slot in range(200):
-            count += taken[slot] == name
-            assert abs(count - s * (slot + 1) / 200) < 1
+@pytest.mark.parametrize("weights, blocks, period", [
+    ([5.0, 1.0, 0.25, 3.3, 0.4], [60, 9, 30, 12, 0], 7), ([1.0], [5], 1000), ([1.0] * 9, [3] * 9, 4), ([0.9, 0.05, 0.05], [200, 20, 1], 50)])
+def test_schedule_against_exact_fractions(spark, weights, blocks, period):
+    units = [max(1, round(w / max(weights) * pfair.UNITS)) for w in weights]
+    sources = spark.createDataFrame([(k + 1, u, b) for k, (u, b) in enumerate(zip(units, blocks))], "place int, units long, n_blocks long")
+    held = [k for k, b in enumerate(blocks) if b]
+    want = [(held[k - 1] + 1, turn, slot) for k, turn, slot in plain_schedule([units[k] for k in held], [blocks[k] for k in held])]
+    got = pfair.schedule(sources, period).orderBy("slot").collect()
+    assert [(r.place, r.turn, r.slot) for r in got] == want
+
+
+@pytest.mark.parametrize("n, slots", [(1, 300), (2, 3000), (20, 6000), (300, 2000), (2000, 2500)])
+def test_deviation_from_the_given_weights(spark, n, slots):
+    """Less than one block at every slot, over a run that is as long as it likes, whatever the number of sources."""
+    rng = np.random.default_rng(n)
+    weights = rng.random(n) ** 3 + 1e-3
+    if n > 2:
+        weights[0] = weights[1:].sum() / 2  # a third
+    share = weights / weights.sum()
+    blocks = np.ceil(share * slots).astype(int) + 2
+    units = np.maximum(1, np.round(weights / weights.max() * pfair.UNITS)).astype(int)
+    sources = spark.createDataFrame([(k + 1, int(u), int(b)) for k, (u, b) in enumerate(zip(units, blocks))], "place int, units long, n_blocks long")
+    taken = [r.place - 1 for r in pfair.schedule(sources).orderBy("slot").limit(slots).collect()]
+    had = np.zeros(n)
+    for slot, k in enumerate(taken, 1):
+        had[k] += 1
+        assert abs(had - share * slot).max() < 1 + 1e-3
+        if (had == blocks).any():
+            break
+    assert slot >= min(slots, 100)
+
+
+def test_mixture_of_clashing_columns(spark, odd):
+    clashing = odd.select("doc_id", "text", "source", *(F.lit(7).alias(c) for c in ("n_blocks", "slots", "block_", "SLOT_", "hash_", "own_source")))
+    rows = pfair.laid_out(clashing, block_bytes=4096).collect()
+    assert len(rows) == len(ODD) and all(tuple(r)[3:] == (7,) * 6 for r in rows)
+    assert pfair.laid_out(clashing).columns == clashing.columns
 
 
 def test_mixture_orders_every_document(spark, real, odd):

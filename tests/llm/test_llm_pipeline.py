@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
 from reviewlens.llm import minmax, spaced_seeds, subwords
@@ -49,6 +51,37 @@ def test_stages_bear_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_columns_that_clash_with_working_names(spark):
+    """Every stage returns the columns as they came, whatever they are called."""
+    names = ("row_key", "own_key", "own_id", "own_hash", "n_blocks", "slots", "block_", "slot_", "hash_", "key", "first", "rows", "text_hash")
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (3, "q r s t u v w", "en", "t", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for name, stage in pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, SF).collect()
+        assert stage(spark, docs, SF).columns == docs.columns
+        assert len(rows) == (2 if name == "near_duplicates" else 3) and all(tuple(r)[5:] == tuple(range(len(names))) for r in rows)
+
+
+def test_texts_that_share_an_id(spark):
+    """Equal rows become one, near copies too; other texts with the id stay."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long), (5, long), (5, long + " more"), (5, "something else altogether in here"), (9, long), (5, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.one_of_each(spark, docs.repartition(3), SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got)[:2] == [(5, ""), (5, "something else altogether in here")] and len(got) == 4
+    assert sum((r.text or "").startswith("w0") for r in got) == 1
+
+
+def test_near_copies_of_named_documents(spark):
+    """Ids need not be numbers."""
+    long = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([("b", long), ("a", long + " x"), ("c", "apart from the others"), (None, long)], "doc_id string, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in minmax.near_duplicates(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: ("a", False)}
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
