@@ -23,8 +23,11 @@ from reviewlens.llm.tagger import Tagger, classes
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one window to the next.
 WINDOW, STRIDE = 64, 32
-#: The sample: documents with a digit or an at sign, of at most so many bytes, in the order of a hash of their ids; windows; rounds.
-FIT_DOCUMENTS, FIT_BYTES, FIT_WINDOWS, ROUNDS = 2000, 8192, 3000, 5
+#: The sample: documents of at most so many bytes in which one of the patterns begins to match, in the order of a hash of their ids;
+#: windows with spans, and windows without; rounds.
+FIT_DOCUMENTS, FIT_BYTES, FIT_WINDOWS, FIT_PLAIN, ROUNDS = 2000, 8192, 2500, 1500, 5
+#: What a text has that holds a span of a pattern.
+_BEGUN = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){13}|\+[0-9][ ().0-9-]{8}"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -54,7 +57,7 @@ def _digits(text: str) -> str:
 
 def valid(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in text.split(".")))
     if kind == "card":
         return 14 <= len(_digits(text)) <= 19 and luhn(_digits(text))
     if kind == "phone":
@@ -155,7 +158,8 @@ def fit(texts: list[str], seed: int = 3) -> Tagger | None:
     if not rows or not any(m.any() for m in marks):
         return None
     symbols, tags = np.concatenate(rows), np.concatenate(marks)
-    chosen = rng.permutation(len(symbols))[:FIT_WINDOWS]
+    marked = tags.any(1)
+    chosen = rng.permutation(np.concatenate([rng.permutation(np.flatnonzero(marked == on))[:most] for on, most in ((True, FIT_WINDOWS), (False, FIT_PLAIN))]))
     tagger = Tagger(len(KINDS))
     tagger.train(symbols[chosen], tags[chosen], ROUNDS)
     return tagger
@@ -209,9 +213,10 @@ def _finder(tagger: Tagger | None) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def personal_data(docs: DataFrame) -> DataFrame:
     """Find personal data in every whole text of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone (spans of the patterns),
     base_sha256 (of those as kind:start:end, by start and then kind, comma-joined; code points), spans (all, alike) and n_added.
-    A null or empty text has none. Equal rows each have a row. Without spans in the sample the tagger adds nothing."""
+    A null or empty text has none. Equal rows each have a row. The tagger learns from at most FIT_DOCUMENTS documents in which a pattern
+    begins to match, however rare these are; where there are none, it adds nothing."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    short = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= FIT_BYTES))
+    short = docs.select("doc_id", "text").filter((F.octet_length("text") <= FIT_BYTES) & F.col("text").rlike(_BEGUN))
     # Ids are ranked without their texts, so that what tasks send for it stays small; then at most FIT_DOCUMENTS texts are.
     chosen = F.broadcast(short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS))
     sample = short.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
