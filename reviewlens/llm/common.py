@@ -1,17 +1,16 @@
-"""Helpers shared by the operators: reading, splitting into words, hashing, bounded Bloom filters, connected components."""
+"""Helpers shared by the operators: reading, splitting into words, hashing; and, from the library, Bloom filters and components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python step works on at once.
-STEP_BYTES = 4 << 20
+from reviewlens.functions.arrow import STEP_BYTES, bloom, in_bloom, mixed, steps  # noqa: F401
+from reviewlens.operators.graphs import components  # noqa: F401
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -19,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The caller's setting for the size of the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -30,20 +37,6 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``most`` bytes of text, or a single row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        ends, begin = np.cumsum(sizes), 0
-        while begin < batch.num_rows:
-            limit = (ends[begin - 1] if begin else 0) + most
-            stop = max(begin + 1, int(np.searchsorted(ends, limit, side="right")))
-            yield batch.slice(begin, stop - begin)
-            begin = stop
-
-
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the texts: words per text, index of each word into the distinct words, and those.
     A null text has none."""
@@ -64,61 +57,6 @@ def hashed(distinct: pa.Array) -> np.ndarray:
     return np.fromiter((digest(w) for w in distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit over all."""
-    values = values ^ (values >> np.uint64(30))
-    values = values * np.uint64(0xBF58476D1CE4E5B9)
-    values = values ^ (values >> np.uint64(27))
-    values = values * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
 def seeds(count: int, seed: int) -> np.ndarray:
     """Odd 64-bit multipliers from a counter."""
     return mixed((np.arange(1, count + 1, dtype=np.uint64) + np.uint64(seed << 20)) * GOLDEN) | np.uint64(1)
-
-
-def bloom(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A Bloom filter with two probes over the column ``key`` (64-bit). Its size is fixed by ``bits``, a power of two up to 2^32,
-    whatever the number of keys, so it can be sent to every task; a full one lets everything through, which costs time and no rows."""
-    slot = F.explode(F.array(F.expr(f"key & {bits - 1}L"), F.expr(f"shiftrightunsigned(key, 32) & {bits - 1}L")))
-    parts = (keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("at"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
-             .groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas())
-    out = np.zeros(bits >> 6, np.uint64)
-    out[parts["at"].to_numpy(np.int64)] = parts["bit"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def in_bloom(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of the keys may have been put in."""
-    low, place, bit = np.uint64(len(bitmap) * 64 - 1), np.uint64(6), np.uint64(63)
-
-    def probe(slot):
-        return (bitmap[(slot >> place).astype(np.int64)] >> (slot & bit)) & np.uint64(1) != 0
-
-    found = probe(keys & low)
-    at = np.flatnonzero(found)
-    found[at] = probe((keys[at] >> np.uint64(32)) & low)
-    return found
-
-
-def components(edges: DataFrame, keep) -> DataFrame:
-    """(node, component) for the nodes of the edges (a, b); component is the smallest node reachable. Alternates the large-star
-    and the small-star step until nothing changes; ``keep`` cuts the lineage of each round. A step groups by node only through
-    a minimum, which Spark combines before the shuffle."""
-    edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    size = edges.count()
-    seen = None
-    while size:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
-                 .union(low.select("a", F.col("m").alias("b"))).distinct())
-        edges = keep(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

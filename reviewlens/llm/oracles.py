@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewlens.llm.pfair import BLOCK_BYTES, PERIOD
+from reviewlens.llm.pfair import BLOCK_BYTES, SLOTS, UNITS
 from reviewlens.llm.risk_rules import LEVEL, RATE, RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,24 +50,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM m"""
 
 MIXTURE = f"""WITH RECURSIVE src AS (
-  SELECT source, sum(coalesce(strlen(text), 0) + 1) AS bytes FROM documents GROUP BY 1),
-scaled AS (SELECT source, bytes, pow(CAST(bytes AS DOUBLE), 0.7) / sum(pow(CAST(bytes AS DOUBLE), 0.7)) OVER () * ({PERIOD} - count(*) OVER ()) AS exact FROM src),
-ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) AS place,
-  floor(exact) + 1 + CAST(row_number() OVER (ORDER BY floor(exact) - exact, source NULLS FIRST) <= {PERIOD} - sum(floor(exact) + 1) OVER () AS INT) AS share FROM scaled),
-shares AS (SELECT list(CAST(share AS BIGINT) ORDER BY place) AS share FROM ranked),
-steps(slot, done, k) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(share, lambda s: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM shares
+  SELECT source, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1),
+weighed AS (SELECT *, pow(CAST(bytes AS DOUBLE), 0.7) AS weight, greatest({BLOCK_BYTES}, CAST(ceil(sum(bytes) OVER () / {SLOTS}) AS BIGINT)) AS size FROM src),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS place, CAST(ceil(bytes / size) AS BIGINT) AS n,
+  greatest(1, CAST(round(weight / max(weight) OVER () * {UNITS}) AS BIGINT)) AS units FROM weighed),
+lists AS (SELECT list(units ORDER BY place) AS units, list(n ORDER BY place) AS n, CAST(sum(units) AS BIGINT) AS w, CAST(sum(n) AS BIGINT) AS slots FROM s),
+steps(slot, done, k, time) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(n, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM lists
   UNION ALL
-  SELECT slot + 1, list_transform(range(1, len(done) + 1), lambda j: done[j] + CAST(j = best AS BIGINT)), best FROM (
-    SELECT slot, done, list_min(list_transform(
-      list_filter(range(1, len(done) + 1), lambda j: done[j] < share[j] AND done[j] * {PERIOD} // share[j] <= slot + 1),
-      lambda j: ((done[j] + 1) * {PERIOD} + share[j] - 1) // share[j] * 100000 + j)) % 100000 AS best
-    FROM steps, shares WHERE slot + 1 < {PERIOD})),
+  SELECT slot + 1, list_transform(range(1, len(done) + 1), lambda j: done[j] + CAST(j = best AS BIGINT)), best, ends FROM (
+    SELECT slot, done, ends, list_min(list_transform(list_filter(range(1, len(done) + 1), lambda j: done[j] < n[j]), lambda j: {{
+      'late': CAST((done[j] * w) // units[j] >= ends AS INT), 'deadline': ((done[j] + 1) * w + units[j] - 1) // units[j], 'place': j}})).place AS best
+    FROM (SELECT steps.*, lists.*, time + w / list_sum(list_transform(range(1, len(done) + 1), lambda j: CASE WHEN done[j] < n[j] THEN units[j] ELSE 0 END)) AS ends
+      FROM steps, lists WHERE slot + 1 < slots))),
 taken AS (SELECT k AS place, list(slot ORDER BY slot) AS slots FROM steps WHERE k > 0 GROUP BY 1),
-plan AS (SELECT source, CAST(ceil(bytes / {BLOCK_BYTES}) AS BIGINT) AS n_blocks, slots, len(slots) AS share FROM ranked JOIN taken USING (place)),
+plan AS (SELECT source, n, slots FROM s JOIN taken USING (place)),
 docs AS (SELECT doc_id, source, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
-placed AS (SELECT doc_id, source, h, h % n_blocks AS block, (h % n_blocks) // share * {PERIOD} + slots[(h % n_blocks) % share + 1] AS slot
-  FROM docs JOIN plan USING (source))
+placed AS (SELECT doc_id, plan.source, h, h % n AS block, slots[h % n + 1] AS slot FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source)
 SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, h, doc_id) - 1 AS position FROM placed"""
 
 _TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"

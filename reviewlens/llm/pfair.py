@@ -1,27 +1,33 @@
 """Mixing sources to target weights by Pfair scheduling, with SQL functions only.
 
-Time is counted in slots that take a block each. Block j of a source of weight w may not start before floor(j / w) and has to be
-done by ceil((j + 1) / w); of the blocks that may start, the one with the earliest deadline goes first. Then at every slot each
-source has had less than one block more or less than its weight times the slots. Weights are rounded to multiples of 1 / PERIOD,
-so the schedule repeats after PERIOD slots and only one period is worked out, whatever the size of the data.
-
-A source that has run out leaves its slots empty and the others move up, so they go on in the ratio of their weights.
+Time is counted in slots that take a block each. Block j of a source of weight w (the weights of all add up to 1) may not start
+before floor(j / w) and has to be done by ceil((j + 1) / w); of the blocks that may start, the one with the earliest deadline goes
+first. Then at every slot each source has had less than one block more or less than its weight times the slots, from the first
+slot of the run to the slot at which a source has no blocks left: windows follow from the weights for each block of the whole
+run, so nothing is rounded from one stretch to the next. From then on time passes faster, by the weights of the sources that are
+left, which so go on in the ratio of their weights.
+
+Weights are taken as multiples of 2^-30 of the largest, and all arithmetic is on whole numbers. The run has at most ``SLOTS`` slots
+(and one a source): blocks have ``BLOCK_BYTES``, or more where the texts would be cut into more blocks than that. So the schedule
+fits one value whatever the size of the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import partitions
+from reviewlens.llm.common import partitions, unused
 from reviewlens.sources.storage import cut_lineage
 
-#: Slots of a period, and so the most sources that there may be.
+#: Slots that are scheduled in one step of the run, and counted together where documents are numbered.
 PERIOD = 1000
-#: UTF-8 bytes of a block, on average.
-BLOCK_BYTES = 1 << 18
+#: UTF-8 bytes of a block, on average, and the most slots of a run.
+BLOCK_BYTES, SLOTS = 1 << 18, 1 << 16
+#: The largest weight as a whole number.
+UNITS = 1 << 30
 
 
 def hash60(column: str | Column) -> Column:
@@ -30,41 +36,53 @@ def hash60(column: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, place, share): the weights, scaled to whole numbers of at least 1 with the sum ``period`` by the largest remainders
-    (then by name), and the place of the source by name. One row a source, so one window over them all. Sources with a weight that is
-    null, zero or negative get none. More sources than slots is an error."""
-    every = Window.partitionBy(F.lit(0))
-    named = weights.filter("weight > 0").withColumn("n", F.count("*").over(every)).withColumn(
-        "exact", F.col("weight") / F.sum("weight").over(every) * (F.lit(period) - F.col("n")))
-    named = named.withColumn("exact", F.when(F.col("n") <= period, F.col("exact")).otherwise(
-        F.raise_error(F.lit(f"more than {period} sources: raise the period"))))
-    left = F.lit(period) - F.sum(F.floor("exact") + 1).over(every)
-    rank = F.row_number().over(every.orderBy((F.floor("exact") - F.col("exact")), F.col("source").asc_nulls_first()))
-    return named.select("source", F.row_number().over(every.orderBy(F.col("source").asc_nulls_first())).alias("place"),
-                        (F.floor("exact") + 1 + (rank <= left).cast("int")).cast("long").alias("share"))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def schedule(sources: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(place, turn, slot): the slot of each block of each source, from a row (place, units, n_blocks) a source.
 
-def schedule(shared: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, share, turn, slot): which slot of a period each block of a source takes. One step per slot: among the sources whose
-    next block is released, the earliest deadline, then the first place."""
-    listed = shared.groupBy().agg(F.sort_array(F.collect_list(F.struct("place", "share"))).alias("sources"))  # at most ``period`` rows
+    One step per slot: of the sources that have blocks left and whose next one is released before the slot ends, the one with the
+    earliest deadline takes it, then the first place; if none is released, the earliest deadline of all. A slot lasts as long as the
+    weights of the sources left, of all, are short of 1: one unit of time while all have blocks."""
+    listed = sources.filter("n_blocks > 0").groupBy().agg(  # at most SLOTS blocks, and a block a source
+        F.sort_array(F.collect_list(F.struct("place", "units", "n_blocks"))).alias("sources"), F.sum("units").alias("all"), F.sum("n_blocks").alias("slots"))
+    everything, rows = F.col("all"), F.col("sources")
+    whole = lambda a, b: F.call_function("div", a, b)
 
     def step(state: Column, slot: Column) -> Column:
-        def rank(source: Column, k: Column) -> Column:
-            done = F.element_at(state["done"], k + 1)
-            released = F.floor(done * period / source["share"]) <= slot
-            deadline = F.ceil((done + 1) * period / source["share"])
-            return F.when(released & (done < source["share"]), F.struct(deadline.alias("deadline"), source["place"].alias("place"), done.alias("turn")))
-        first = F.array_min(F.filter(F.transform(F.col("sources"), rank), lambda r: r.isNotNull()))
-        return F.struct(
-            F.transform(state["done"], lambda d, k: d + F.coalesce((k + 1 == first["place"]).cast("long"), F.lit(0))).alias("done"),
-            F.concat(state["taken"], F.array(F.struct(first["place"].alias("place"), first["turn"].alias("turn"), slot.alias("slot")))).alias("taken"))
-
-    start = F.struct(F.transform("sources", lambda s: F.lit(0).cast("long")).alias("done"),
-                     F.expr("cast(array() as array<struct<place:int,turn:bigint,slot:int>>)").alias("taken"))
-    run = listed.select(F.inline(F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda s: s["taken"])))
-    return run.filter("place is not null").join(F.broadcast(shared), "place").select("source", "share", "turn", "slot")  # at most ``period`` rows
+        def chosen(end: Column) -> Column:
+            def asked(source: Column, k: Column) -> Column:
+                done = F.element_at(state["done"], k + 1)
+                late = (whole(done * everything, source["units"]) >= end).cast("int")
+                deadline = whole((done + 1) * everything + source["units"] - 1, source["units"])
+                return F.when(done < source["n_blocks"], F.struct(late.alias("late"), deadline.alias("deadline"), k.alias("k"), done.alias("turn")))
+
+            def taken(first: Column) -> Column:
+                source = F.element_at(rows, first["k"] + 1)
+                out = source["n_blocks"] == first["turn"] + 1
+                row = F.struct(source["place"].alias("place"), first["turn"].alias("turn"), slot.alias("slot"))
+                return F.struct(
+                    F.transform(state["done"], lambda d, k: d + (k == first["k"]).cast("long")).alias("done"), end.alias("time"),
+                    (state["left"] - F.when(out, source["units"]).otherwise(F.lit(0).cast("long"))).alias("left"), F.concat(state["taken"], F.array(row)).alias("taken"))
+            return _once(F.array_min(F.transform(rows, asked)), taken)  # nulls come to nothing
+        return _once(state["time"] + everything / state["left"], chosen)
+
+    none = F.expr("cast(array() as array<struct<place:int,turn:bigint,slot:bigint>>)")
+    start = F.struct(F.transform(rows, lambda s: F.lit(0).cast("long")).alias("done"), F.lit(0.0).alias("time"), everything.alias("left"), none.alias("taken"),
+                     F.expr("cast(array() as array<array<struct<place:int,turn:bigint,slot:bigint>>>)").alias("all"))
+
+    def stretch(state: Column, number: Column) -> Column:
+        """Some slots, gathered by themselves so that what has been gathered before is not copied at every slot."""
+        slots = F.sequence(number * period, F.least((number + 1) * period, F.col("slots")) - 1)
+        own = F.struct(state["done"].alias("done"), state["time"].alias("time"), state["left"].alias("left"), none.alias("taken"))
+        return F.aggregate(slots, own, step, lambda s: F.struct(
+            s["done"].alias("done"), s["time"].alias("time"), s["left"].alias("left"), none.alias("taken"), F.concat(state["all"], F.array(s["taken"])).alias("all")))
+
+    run = F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / period)), start, stretch, lambda s: F.flatten(s["all"]))
+    return listed.filter("slots > 0").select(F.inline(run))
 
 
 def target_weights(docs: DataFrame, weights: Mapping[str, float] | None, power: float) -> DataFrame:
@@ -79,26 +97,26 @@ def target_weights(docs: DataFrame, weights: Mapping[str, float] | None, power:
     return sized.select("source", own.alias("weight"), "bytes")
 
 
-def plan(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.7,
-         block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
-    """(source, n_blocks, slots): one row a source, with a block for each ``block_bytes`` of its texts, and the slots of a period that
-    its blocks take in turn. The slots of all rows together are ``period``."""
-    sources = cut_lineage(target_weights(docs, weights, power))
-    turns = schedule(shares(sources.select("source", "weight"), period), period)
-    slots = turns.groupBy("source").agg(F.sort_array(F.collect_list("slot")).alias("slots")).withColumnRenamed("source", "own")
-    counted = sources.select("source", F.ceil(F.col("bytes") / block_bytes).cast("long").alias("n_blocks"))
-    return cut_lineage(counted.join(slots, F.col("source").eqNullSafe(F.col("own"))).select("source", "n_blocks", "slots"))
+def plan(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(source, n_blocks, slots): one row a source with a weight above zero, and the slots of the run that its blocks take in turn."""
+    every = Window.partitionBy(F.lit(0))  # a row a source
+    sources = target_weights(docs, weights, power).filter("weight > 0").select(
+        "source", F.row_number().over(every.orderBy(F.col("source").asc_nulls_first())).alias("place"),
+        F.greatest(F.lit(1).cast("long"), F.round(F.col("weight") / F.max("weight").over(every) * UNITS).cast("long")).alias("units"),
+        F.ceil(F.col("bytes") / F.greatest(F.lit(block_bytes).cast("long"), F.ceil(F.sum("bytes").over(every) / SLOTS))).cast("long").alias("n_blocks"))
+    sources = cut_lineage(sources)
+    slots = schedule(sources).groupBy("place").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    return cut_lineage(sources.join(slots, "place").select("source", "n_blocks", "slots"))
 
 
-def mixed_in_order(docs: DataFrame, period: int = PERIOD, **options) -> DataFrame:
-    """All columns of ``docs``, with block_ and slot_. A document goes to a block of its source by a hash of its id, so no source has
-    to be put in order to be cut, and no text moves. A source without a weight above zero is left out; with no weights given,
-    nothing is. A null source is a source."""
-    sources = F.broadcast(plan(docs, period=period, **options).withColumnRenamed("source", "own_"))  # at most ``period`` slots
-    placed = docs.join(sources, docs.source.eqNullSafe(F.col("own_"))).withColumn("block_", F.pmod(hash60("doc_id"), "n_blocks"))
-    share = F.size("slots")
-    slot = F.floor(F.col("block_") / share) * period + F.element_at("slots", (F.pmod("block_", share) + 1).cast("int"))
-    return placed.withColumn("slot_", slot).select(*docs.columns, "block_", "slot_")
+def _placed(docs: DataFrame, block: str, slot: str, **options) -> DataFrame:
+    """All columns of ``docs``, with the block and the slot of each. A document goes to a block of its source by a hash of its id, so
+    no source has to be put in order to be cut, and no text moves. A source without a weight above zero is left out; with no
+    weights given, nothing is. A null source is a source."""
+    own, n_blocks, slots = (unused(docs, name) for name in ("own_source", "n_blocks", "slots"))
+    sources = F.broadcast(plan(docs.select("source", "text"), **options).toDF(own, n_blocks, slots))  # at most SLOTS slots, and one a source
+    placed = docs.join(sources, F.col("source").eqNullSafe(F.col(own))).withColumn(block, F.pmod(hash60("doc_id"), n_blocks))
+    return placed.withColumn(slot, F.element_at(slots, (F.col(block) + 1).cast("int"))).drop(own, n_blocks, slots)
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
@@ -106,8 +124,8 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     from 0: by slot, and in a block by the hash of the id, the id and the text. Equal rows each have a position. For the options see
     ``plan``. A block is numbered by itself and moved up by what the slots before hold; these are summed by period first."""
     docs = docs.select("doc_id", "source", "text")
-    rows = cut_lineage(mixed_in_order(docs, **options).select(
-        "doc_id", "source", F.col("block_").alias("block"), F.col("slot_").alias("slot"), hash60("doc_id").alias("h"), F.xxhash64("text").alias("t")))
+    rows = cut_lineage(_placed(docs, "block", "slot", **options).select(
+        "doc_id", "source", "block", "slot", hash60("doc_id").alias("h"), F.xxhash64("text").alias("t")))
     sizes = rows.groupBy("slot").agg(F.count("*").alias("n")).withColumn("cycle", F.floor(F.col("slot") / PERIOD))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     cycles = (sizes.groupBy("cycle").agg(F.sum("n").alias("n"))
@@ -121,6 +139,7 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 
 def laid_out(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture, as ranges of slots: written out, file after file holds slot after slot."""
-    order = ["slot_", "hash_", F.col("doc_id").asc_nulls_first()]
-    found = mixed_in_order(docs, **options).withColumn("hash_", hash60("doc_id"))
+    block, slot, order_hash = (unused(docs, name) for name in ("block_", "slot_", "hash_"))
+    order = [slot, order_hash, F.col("doc_id").asc_nulls_first()]
+    found = _placed(docs, block, slot, **options).withColumn(order_hash, hash60("doc_id"))
     return found.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*docs.columns)
