@@ -83,15 +83,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = iter(signatures(filled)) if filled else iter(())
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
              pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "set_key", "signature"])
+            ["doc_id", "text_hash", "n_shingles", "set_key", "signature"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the set; null where it is empty) and signature of every row."""
+    """doc_id, text_hash, n_shingles, set_key (a digest of the set; null where it is empty) and signature of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {kind}, n_shingles long, set_key binary, signature binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _sign, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, signature binary")
 
 
 #: A candidate whose signatures agree on fewer values is not looked at again. At similarity 0.75 the share has a standard
@@ -181,8 +182,8 @@ def _sets(bitmap: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for rows in steps([wanted]):
                 sets = shingle_sets(rows.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                     pa.array([packed(s) for s in sets], pa.binary())], ["node", "set_key", "shingles"])
+                    [pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                     pa.array([packed(s) for s in sets], pa.binary())], ["set_key", "shingles"])
     return run
 
 
@@ -194,11 +195,13 @@ def _band(signature: str) -> Column:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Link documents whose shingle sets have ``100 * intersection >= percent * union`` and give each its component.
 
-    Returns doc_id, n_shingles (size of the set), component_id (the smallest doc_id reachable) and kept (it is its own
-    component). Documents without words have an empty set and are linked with nothing. Rows of one doc_id are one document, with
-    the links of all its texts; a null id is linked only as a copy and is kept where nothing else is. Made for percent >= 75.
+    Returns doc_id, n_shingles (size of the set), component_id (the smallest doc_id reachable), kept (it is its own component),
+    text_hash and first (of the rows of the component, which may have this id with other texts, it is the one with the smallest id and
+    then hash). Ids may be of any type that has an order. Documents without words have an empty set and are linked with nothing. Each
+    row is a document with the links of its own text, also where an id occurs again; a null id is the smallest only where all are.
+    Made for percent >= 75.
 
-    1. Rows with equal sets form a class, whose node is its smallest id; from here on a class is one row.
+    1. Rows with equal sets form a class, whose node is a hash of the set; from here on a class is one row.
     2. Classes that share a band fall into a bucket. Each is compared with the smallest node of each of its buckets, and what is
        linked becomes a component.
     3. Buckets of three and more that still hold several components: every class outside the component of the smallest node meets
@@ -207,18 +210,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = cut_lineage(signed(docs))
+    smallest = lambda *c: F.min(F.when(F.col(c[0]).isNotNull(), F.struct(*c)))
     classes = cut_lineage(rows.filter("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    nodes = classes.filter("node is not null")
+        smallest("doc_id", "text_hash").alias("least"), F.first("signature").alias("signature")).withColumn("node", F.xxhash64("set_key")))
+    nodes = classes
     banded = nodes.select("node", _band("signature").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most").drop("most")
     buckets = cut_lineage(banded.join(pivots, "key").distinct())
 
-    members = buckets.select("node").distinct().withColumn("key", F.xxhash64("node"))
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(
-        _sets(bloom(members)), "node long, set_key binary, shingles binary")
-    sets = cut_lineage(sets.join(nodes.join(members, "node", "left_semi").select("node", "set_key"), ["node", "set_key"])
-                       .groupBy("node", "set_key").agg(F.first("shingles").alias("shingles"))).select("node", "shingles")
+    # The full set of a class is read off the text of its smallest row.
+    members = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "set_key", F.xxhash64("least.doc_id", "least.text_hash").alias("key"))
+    sets = docs.select("text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.xxhash64("text"))).otherwise(F.xxhash64(F.lit(None).cast(docs.schema["doc_id"].dataType), F.lit(None).cast("long"))).alias("key")).mapInArrow(
+        _sets(bloom(members)), "set_key binary, shingles binary")
+    sets = cut_lineage(sets.join(members.select("node", "set_key"), "set_key")
+                       .groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         return (pairs.join(table.select(F.col("node").alias("a"), F.col(column).alias("sa")), "a")
@@ -248,7 +253,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Components so far stand for their links.
     linked = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), cut_lineage)
 
-    named = classes.select("set_key", "node").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = cut_lineage(classes.select("set_key", "least", "node").join(linked, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component")))
+    lowest = named.groupBy("component").agg(F.min("least").alias("lowest"))
+    named = named.select("set_key", "component").join(lowest, "component").select("set_key", F.struct("lowest").alias("of"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
+    # A row without words is its own component.
+    component = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("of.lowest.doc_id"))
+    first = F.col("of").isNull() | F.col("of.lowest").isNull() | (
+        F.col("doc_id").eqNullSafe(F.col("of.lowest.doc_id")) & F.col("text_hash").eqNullSafe(F.col("of.lowest.text_hash")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", first.alias("first"))

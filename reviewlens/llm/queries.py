@@ -57,7 +57,8 @@ def op9_spaced_seed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = minmax.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
