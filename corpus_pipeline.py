@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import minmax, pfair, spaced_seeds, subwords, token_files
-from reviewlens.llm.common import table
+from reviewlens.llm.common import table, unused
 from reviewlens.llm.queries import END_ID, tokenizer_path
 from reviewlens.sources.storage import cut_lineage, fresh_folder
 
@@ -24,19 +24,24 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; repeated rows of one id become one."""
-    found = cut_lineage(minmax.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(
-        F.max("kept").alias("kept"), F.count("*").alias("rows")))
-    away, again = found.filter("not kept").select("doc_id"), found.filter("kept and rows > 1").select("doc_id")
-    return (docs.join(away.union(again), "doc_id", "left_anti").select(*docs.columns)
-            .union(docs.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])))
+    """The document with the smallest id of each group of near copies. A row is known by its id and its text: rows equal in both
+    become one, the smallest by its other columns, and different texts with one id stay unless they are near copies."""
+    id_, hash_ = (unused(docs, name) for name in ("own_id", "own_hash"))
+    found = cut_lineage(minmax.near_duplicates(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(
+        F.max("first").alias("first"), F.count("*").alias("rows")))
+    away, again = (found.filter(c).select(id_, hash_) for c in ("not first", "first and rows > 1"))
+    same = (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    left = docs.join(away.union(again), same, "left_anti")
+    once = docs.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.select(*docs.columns).union(once.select(*docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = spaced_seeds.contamination(keyed.select(F.col("row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return keyed.join(found.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(*docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    found = spaced_seeds.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    own = unused(docs, "own_key")
+    return docs.join(found.select(F.col("doc_id").alias(own)).distinct(), key == F.col(own), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
