@@ -80,7 +80,7 @@ def rank_max(df: DataFrame, col: str, partition: Sequence[str] = (), rank: str =
     marked = df.join(frequent, of(frequent, "_f_") & F.col(col).eqNullSafe(F.col("_f_value")), "left").drop("_f_value", *[f"_f_{k}" for k in keys])
     # Rows that have their rank go anywhere; the others to their value.
     salted = marked.withColumn("_salt", F.when(F.col("_f_rank").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(0))
-    rest = ranked.drop("_rows").withColumn("_to", F.lit(0).cast("long"))
+    rest = ranked.withColumn("_to", F.when(F.col("_rows") <= fair.scalar(), 0).cast("long")).drop("_rows")
     found = of(rest, "_") & F.col(col).eqNullSafe(F.col("_value")) & (F.col("_salt") == F.col("_to"))
     return (salted.join(rest, found, "left").withColumn(rank, F.coalesce("_f_rank", rank))
             .drop("_value", "_f_rank", "_salt", "_to", *[f"_{k}" for k in keys]))
