@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ FILE_IDS = 4 << 20
 MARK = "\x01"
 #: Words whose ids a worker remembers, from one task to the next.
 REMEMBERED = 1 << 20
+#: Words that are given to the tokenizer as one text.
+TOGETHER = 1024
 
 
 def width(vocabulary: int) -> int:
@@ -105,14 +108,16 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number per word, for words without a mark: they go through the tokenizer many at a time."""
+        bounds = pa.array(np.append(np.arange(0, len(distinct), TOGETHER), len(distinct)).astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(bounds, distinct.cast(pa.string())), f" {MARK} ").to_pylist()
         ids, counts = [], []
-        for k in range(0, len(distinct), 4096):
-            got = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(distinct[k:k + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+        for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            got = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(got == self.mark)
             counts.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
             ids.append(np.delete(got, cuts))
@@ -122,22 +127,32 @@ class WordEncoder:
         ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
         return ids, np.array([len(ids)])
 
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Encode and remember words; their places among those remembered. Words that hold a mark or a special token go alone."""
+        odd = pc.match_substring(new, MARK)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(new, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        order = np.argsort(odd, kind="stable")
+        plain, rare = new.take(pa.array(order[:len(new) - int(odd.sum())])), new.take(pa.array(order[len(new) - int(odd.sum()):]))
+        parts = ([self.encode(plain)] if len(plain) else []) + [self.encode_alone(w) for w in rare.to_pylist()]
+        place = np.empty(len(new), np.int64)
+        place[order] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, plain, rare])
+        self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
+        return place
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number per text."""
         counts, index, distinct = words(texts, lower=False)
-        distinct = distinct.to_pylist()
         if len(self.known) + len(distinct) > REMEMBERED:
             self.forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            odd = {w for w in new if MARK in w or any(a in w for a in self.special)}
-            new = [w for w in new if w not in odd] if odd else new
-            parts = ([self.encode(new)] if new else []) + [self.encode_alone(w) for w in odd]
-            new += odd
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.ids = np.concatenate([self.ids, *(p[0] for p in parts)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([p[1] for p in parts]))])
-        place = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[index]
+        found = pc.index_in(distinct, value_set=self.known)
+        place = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        if found.null_count:
+            place[place < 0] = self._learn(distinct.filter(pc.is_null(found)))
+        place = place[index]
         begin, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])]
