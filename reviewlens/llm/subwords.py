@@ -68,63 +68,70 @@ def grams_of(distinct: pa.Array, step: int = WORDS_AT_ONCE) -> tuple[np.ndarray,
 def pairs_of(texts: pa.Array, step: int = TEXTS_AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """The distinct words of each text, some texts at a time: text, word (an index into all distinct words), the share of the
     text's words that it makes up, and the distinct words."""
-    known, docs, found, shares = {}, [], [], []
+    known, docs, found, shares = [], [], [], []
     for begin in range(0, len(texts), step):
         counts, index, distinct = words(texts[begin:begin + step])
-        ids = np.array([known.setdefault(w, len(known)) for w in distinct.cast(pa.large_binary()).to_pylist()], np.int32)
         width = max(1, len(distinct))
         pair, n_pair = np.unique(np.repeat(np.arange(len(counts)), counts) * width + index, return_counts=True)
         doc = pair // width
         docs.append((begin + doc).astype(np.int32))
-        found.append(ids[pair % width])
-        shares.append(n_pair / counts[doc])
-    distinct = pa.array(list(known), pa.large_binary()).cast(pa.large_string())
-    return *(np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.int32, docs), (np.int32, found), (float, shares))), distinct
+        found.append((pair % width).astype(np.int32))
+        shares.append((n_pair / counts[doc]).astype(np.float32))
+        known.append(distinct)
+    coded = pa.chunked_array(known, pa.large_string()).combine_chunks().dictionary_encode()
+    place, before = coded.indices.to_numpy(), np.cumsum([0, *map(len, known)])
+    found = [place[b:][f] for b, f in zip(before, found)]
+    return *(np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.int32, docs), (np.int32, found), (np.float32, shares))), coded.dictionary
 
 
 def train(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit by Adam on all rows at once. The model is linear in the averages, so it is returned as one number per bucket (its vector
-    times the difference of the classes) and a bias."""
+    times the difference of the classes) and a bias. N-grams are kept as one index each; sums over them go by slices of words."""
     pair_doc, pair_word, share, distinct = pairs_of(texts)
-    share *= GAIN
+    share *= np.float32(GAIN)
     grams, n_grams = grams_of(distinct)
-    gram_word = np.repeat(np.arange(len(n_grams), dtype=np.int32), n_grams)
+    n_words = len(n_grams)
     # Buckets that no word has stay out of the arithmetic.
     used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     grams = place[grams]
-    # Sums over runs: n-grams lie by word, and once more by bucket. Every word has some, and every bucket in use.
-    word_starts = np.cumsum(n_grams) - n_grams
-    order = np.argsort(grams, kind="stable")
-    bucket_word, bucket_starts = gram_word[order], np.searchsorted(grams[order], np.arange(len(used)))
-    del order, gram_word
-    run = lambda values, starts: np.add.reduceat(values, starts) if len(starts) else np.zeros(0)
+    bounds = np.concatenate([[0], np.cumsum(n_grams)])
+    slices = [(k, min(k + WORDS_AT_ONCE, n_words)) for k in range(0, n_words, WORDS_AT_ONCE)]
     size = np.maximum(n_grams, 1)
     rng = np.random.default_rng(seed)
-    state = [rng.normal(0, 0.1, (DIMENSIONS, len(used))), rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)]
+    state = [rng.normal(0, 0.1, (DIMENSIONS, len(used))).astype(np.float32), rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in state]
     target = np.eye(2)[labels]
     scale = weights / weights.sum()
-    for step in range(1, ROUNDS + 1):
-        vectors, softmax, bias = state
 
-        def read(vector):
-            word = run(vector[grams], word_starts) / size
-            return np.bincount(pair_doc, word[pair_word] * share, len(texts))
+    def read(vector: np.ndarray) -> np.ndarray:
+        """Averages of documents. Every word has an n-gram, itself."""
+        word = np.zeros(n_words)
+        for a, b in slices:
+            word[a:b] = np.add.reduceat(vector[grams[bounds[a]:bounds[b]]].astype(float), bounds[a:b] - bounds[a])
+        return np.bincount(pair_doc, (word / size)[pair_word] * share, len(texts))
+
+    def spread(slope: np.ndarray) -> np.ndarray:
+        """The slopes of buckets from those of documents."""
+        word = np.bincount(pair_word, slope[pair_doc] * share, n_words) / size
+        out = np.zeros(len(used))
+        for a, b in slices:
+            out += np.bincount(grams[bounds[a]:bounds[b]], np.repeat(word[a:b], n_grams[a:b]), len(used))
+        return out.astype(np.float32)
 
-        def spread(slope):
-            word = np.bincount(pair_word, slope[pair_doc] * share, len(n_grams)) / size
-            return run(word[bucket_word], bucket_starts)
+    for step in range(1, ROUNDS + 1):
+        vectors, softmax, bias = state
         doc = np.stack([read(vector) for vector in vectors], 1)
         logits = doc @ softmax + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
         error = (odds / odds.sum(1, keepdims=True) - target) * scale[:, None]
-        slopes = [np.stack([spread(slope) for slope in (error @ softmax.T).T]) + SHRINK * vectors, doc.T @ error, error.sum(0)]
+        slopes = [np.stack([spread(slope) for slope in (error @ softmax.T).T]) + np.float32(SHRINK) * vectors, doc.T @ error, error.sum(0)]
         for parameter, slope, (m, v) in zip(state, slopes, moments):
-            m += 0.1 * (slope - m)
-            v += 0.01 * (slope * slope - v)
-            parameter -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
+            for row in range(len(parameter)):  # a dimension at a time
+                m[row] += 0.1 * (slope[row] - m[row])
+                v[row] += 0.01 * (slope[row] * slope[row] - v[row])
+                parameter[row] -= RATE * (m[row] / (1 - 0.9 ** step)) / (np.sqrt(v[row] / (1 - 0.99 ** step)) + 1e-9)
     vectors, softmax, bias = state
     out = np.zeros(BUCKETS)
     out[used] = GAIN * ((softmax[:, 1] - softmax[:, 0]) @ vectors)
