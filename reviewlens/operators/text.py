@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from reviewlens.sources.snapshots import upsert
 from reviewlens.sources.tables import write_vectors
 
 # Where a text may be cut, best place first.
@@ -116,6 +117,17 @@ def build_index(df: DataFrame, path: str, key: Sequence[str], col: str, size: in
     write_vectors(vector_table(embed(chunks, "chunk", embedder), [*key, "chunk_no"]), path, mode)
 
 
+def extend_index(df: DataFrame, path: str, key: Sequence[str], col: str, size: int = 10_000, overlap: int = 200,
+                 embedder: Callable[[pd.Series], Sequence] | None = None) -> int:
+    """Chunk and embed texts and put them into a stored vector table by id: a chunk takes the place of the one with its key and number,
+    so a run that is repeated changes nothing, and readers (``snapshots.read_table``) see whole versions. Returns the version."""
+    chunks = chunk_text(df.select(*key, col), col, size, overlap)
+    table = vector_table(embed(chunks, "chunk", embedder), [*key, "chunk_no"])
+    # Maps have no order, and a hash only on request; the pairs of keys and values have both.
+    listed = table.withColumn("metadata", F.map_entries("metadata"))
+    return upsert(listed, path, "vec_id")
+
+
 def union_index(*tables: DataFrame) -> DataFrame:
     """Several vector tables as one; ``origin`` tells them apart."""
     first, *rest = [t.withColumn("origin", F.lit(i)) for i, t in enumerate(tables)]

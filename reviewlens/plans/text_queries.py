@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlens.operators import neighbours as nb, text as tx
+from reviewlens.operators import lists as ls, neighbours as nb, text as tx
 from reviewlens.plans.registry import query
 from reviewlens.sources import bindings as bind, tables as io
+from reviewlens.sources.snapshots import read_table, upsert
 from reviewlens.sources.storage import fresh_folder
 
 
@@ -30,6 +31,18 @@ def _(spark, d):
     return joined.groupBy("origin").agg(F.count(F.lit(1)).alias("VECTORS"), F.count_distinct("vec_id").alias("IDS"))
 
 
+@query("txt3_upserted_vectors", """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label, len(embedding) AS DIMENSIONS
+FROM embeddings WHERE label < 7 OR vec_id % 3 = 0""")
+def _(spark, d):
+    """A stored table of the first labels, changed by id for every third vector, twice."""
+    folder = fresh_folder(spark, "table")
+    vectors = bind.vectors(spark, d).select("vec_id", "embedding", "label")
+    upsert(vectors.filter("label < 7"), folder, "vec_id", 8)
+    for _ in range(2):
+        upsert(vectors.filter("vec_id % 3 = 0").withColumn("label", F.lit(-1)), folder, "vec_id")
+    return read_table(spark, folder).select("vec_id", "label", F.size("embedding").alias("DIMENSIONS"))
+
+
 def _queries(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
@@ -73,6 +86,15 @@ def _(spark, d):
     return _rounded(nb.knn_large(_queries(vectors), vectors))
 
 
+@query("txt5_knn_approx")
+def _(spark, d):
+    """Every vector against a stored index of lists; held to the exact search in the tests."""
+    folder = fresh_folder(spark, "lists")
+    vectors = bind.vectors(spark, d)
+    ls.build_lists(vectors, folder, list_rows=64)
+    return _rounded(ls.knn_lists(_queries(vectors), folder))
+
+
 @query("txt6_knn_within_entity", _knn_sql(same_label=True))
 def _(spark, d):
     vectors = bind.vectors(spark, d)
