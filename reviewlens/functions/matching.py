@@ -11,6 +11,17 @@ from reviewlens.functions.scoring import as_column
 from reviewlens.functions.vocabulary import NOISE_ASPECTS, TOTAL, UNKNOWN
 
 
+def mark_folded(df: DataFrame, *cols: str) -> DataFrame:
+    """The same rows, whose columns say that they hold upper-case text. Operators then compare them as they are, so that Parquet scans
+    take the filters. The mark is part of the schema: it is stored with Parquet and lasts until the column is made anew."""
+    return df.withColumns({c: F.col(c).alias(c, metadata={**df.schema[c].metadata, "folded": True}) for c in cols})
+
+
+def is_folded(df: DataFrame, col: str) -> bool:
+    """Whether a column is known to hold upper-case text."""
+    return col in df.columns and bool(df.schema[col].metadata.get("folded"))
+
+
 def ci_contains(col: str | Column, text: str, folded: bool = False) -> Column:
     """Case-insensitive contains.
 
@@ -42,8 +53,11 @@ def any_contains(col: str | Column, texts: Sequence[str], folded: bool = False)
 
 def apply_filters(df: DataFrame, filters: Iterable[tuple], folded: bool = False) -> DataFrame:
     """Conjunction of filters ``(column, text)`` or ``(column, kind, value)``: ``contains`` (the kind of a pair), ``equals`` and ``not``
-    take a text, ``in`` a list of texts. Case does not count. A null counts as the text ``Unknown``."""
+    take a text, ``in`` a list of texts. Case does not count. A null counts as the text ``Unknown``. Columns that are marked as
+    folded, or all with ``folded``, are compared as they are."""
+    known = {f.name for f in df.schema.fields if folded or is_folded(df, f.name)}
     for col, *rest in filters:
+        folded = col in known
         kind, value = rest if len(rest) == 2 else ("contains", rest[0])
         if kind not in ("contains", "equals", "not", "in"):
             raise ValueError(f"unknown kind of filter: {kind!r}")

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reviewlens.functions.matching import apply_filters, ci_contains
+from reviewlens.functions.matching import apply_filters, ci_contains, is_folded
 from reviewlens.functions.scoring import net_sentiment_of, percent
 from reviewlens.functions.vocabulary import LOWER_LABELS
 from reviewlens.operators.grouping import add_group_totals, first_rows
@@ -54,7 +54,7 @@ def keyword_stats(df: DataFrame, family: str | None = None, aspects: Sequence[st
     """
     rows = df
     if family is not None:
-        rows = rows.filter(ci_contains("Product_Family", family))
+        rows = rows.filter(ci_contains("Product_Family", family, is_folded(df, "Product_Family")))
     if aspects is not None:
         rows = rows.filter(F.col("Aspect").isin(*aspects))
     group = [*by, "Aspect"]
@@ -87,7 +87,7 @@ def aspect_topics(df: DataFrame) -> DataFrame:
 
 
 def topic_counts(df: DataFrame, family: str | None = None) -> DataFrame:
-    rows = df if family is None else df.filter(ci_contains("Product_Family", family))
+    rows = df if family is None else df.filter(ci_contains("Product_Family", family, is_folded(df, "Product_Family")))
     return (rows.groupBy("Aspect", "Aspect_Description").agg(F.count(F.lit(1)).alias("REVIEW_COUNT"))
             .orderBy(F.desc("REVIEW_COUNT"), "Aspect", "Aspect_Description"))
 
@@ -95,7 +95,7 @@ def topic_counts(df: DataFrame, family: str | None = None) -> DataFrame:
 def best_worst_topics(df: DataFrame, family: str | None = None,
                       labels: tuple[str, str, str] = LOWER_LABELS) -> DataFrame:
     """The most praised and the most criticised topic of each aspect; ties are all kept."""
-    rows = df if family is None else df.filter(ci_contains("Product_Family", family))
+    rows = df if family is None else df.filter(ci_contains("Product_Family", family, is_folded(df, "Product_Family")))
     feature = (F.when(F.col("Sentiment") == labels[0], "Most Preferred")
                .when(F.col("Sentiment") == labels[2], "Most Concerning"))
     counts = (rows.filter(F.col("Sentiment").isin(labels[0], labels[2]))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,16 @@ from reviewlens.operators.grouping import first_rows
 from reviewlens.sources.storage import cut_lineage
 
 
+#: Pivots at most, and rows that are compared with them at a time.
+MOST_PIVOTS, AT_ONCE = 4096, 1024
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k in range(0, len(batch), AT_ONCE):
+            yield batch.iloc[k:k + AT_ONCE]
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -62,48 +71,20 @@ def _block_matcher(k: int):
     return match
 
 
-def _few_queries(queries: DataFrame, vectors: DataFrame, rows: list, k: int, step: int = 512) -> DataFrame:
-    """Each task compares its vectors with all of a few queries and hands on k rows per query."""
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, points = shared.value
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            seen, ids = matrix(batch["embedding"]), batch["vec_id"].to_numpy()
-            new = []
-            for start in range(0, len(points), step):
-                hit, found, distance = nearest(points[start:start + step], seen, ids, k)
-                new.append(pd.DataFrame({"query_id": names[start + hit], "vec_id": found, "distance": distance}))
-            best = pd.concat(new if best is None else [best, *new])
-            best = best.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(scan, _result_type(queries, vectors))
-    return _top(found, k)
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None, block: int = 4096) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None, block: int = 2048) -> DataFrame:
     """The k nearest vectors of each of a stated set of queries: ``query_id, vec_id, distance, RANK``.
 
-    ``queries`` has ``query_id, embedding``, ``vectors`` has ``vec_id, embedding``. The vectors are scanned once for each block of
-    queries. With ``partition`` a query only sees vectors with the same value of that column, by :func:`knn_large`, which is also
-    the one to take for query tables of the size of the vectors.
+    ``queries`` has ``query_id, embedding``, ``vectors`` has ``vec_id, embedding``. Blocks of ``block`` queries meet blocks of vectors
+    in a task each, which hands on k rows a query; nothing passes through the driver. With ``partition`` a query only sees vectors
+    with the same value of that column, by :func:`knn_large`, which is also the one to take for query tables of the size of the
+    vectors.
     """
     if partition is not None:
         return knn_large(queries, vectors, k, partition)
-    rows = queries.select("query_id", "embedding").toLocalIterator()
-    found = None
-    while held := list(islice(rows, block)):
-        part = _few_queries(queries, vectors, held, k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return _top(queries.sparkSession.createDataFrame([], _result_type(queries, vectors)), k)
-    return found
+    cell = F.lit(0).alias("cell")
+    found = match_blocks(queries.select(cell, "query_id", "embedding"), vectors.select(cell, "vec_id", "embedding"), ["cell"],
+                         "query_id", "vec_id", _block_matcher(k), _result_type(queries, vectors), left_rows=block)
+    return _top(found, k)
 
 
 def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | None = None,
@@ -111,14 +92,14 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
     """Exact k nearest neighbours for large query and vector tables.
 
     Vectors belong to the cell of their nearest pivot, within their partition; there are as many pivots
-    as the square root of the vectors unless ``pivots`` says otherwise, and a partition uses as many of
+    as the square root of the vectors, at most ``MOST_PIVOTS``, unless ``pivots`` says otherwise, and a partition uses as many of
     them as give it cells of about ``cell_rows`` vectors. The distances from a
     query to the pivots bound its k-th neighbour from above and every cell from below (triangle
     inequality), so a query is sent only to cells that can hold one of its neighbours. Cells are
     matched in bounded blocks, whatever share of the vectors one of them holds.
     """
     spark = queries.sparkSession
-    pivots = pivots or math.isqrt(vectors.count()) + 1
+    pivots = pivots or min(math.isqrt(vectors.count()) + 1, MOST_PIVOTS)
     chosen = (vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id")
               .limit(pivots).select("embedding").collect())
     result = _result_type(queries, vectors)
@@ -131,7 +112,7 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
         return np.stack([np.sqrt(((points - one) ** 2).sum(1)) for one in centres.value], axis=1)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             if not batch.empty:
                 away = to_centres(matrix(batch["embedding"]))
                 away[np.arange(away.shape[1])[None, :] >= batch["used"].to_numpy()[:, None]] = np.inf
@@ -139,7 +120,7 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
                 yield batch.drop(columns="used").assign(cell=cell.astype("int32"), reach=away[np.arange(len(cell)), cell])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             for _, rows in batch.groupby("part", sort=False):
                 cells, held, reach, kth = (np.array(rows[c].iloc[0], dtype=float) for c in ("cells", "held", "reach", "kth"))
                 away = to_centres(matrix(rows["embedding"]))[:, cells.astype(int)]

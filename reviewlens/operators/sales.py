@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewlens.functions.matching import ci_match, valid_sales
+from reviewlens.functions.matching import ci_match, is_folded, valid_sales
 from reviewlens.functions.vocabulary import COMPETITOR_SYSTEMS
 from reviewlens.operators.grouping import first_rows, numbered
 from reviewlens.sources.storage import cut_lineage
@@ -17,7 +17,7 @@ def _names(by: str | Sequence[str]) -> list[str]:
 
 
 def _of_series(sales: DataFrame, series: str | None, match: str) -> DataFrame:
-    return sales if series is None else sales.filter(ci_match("Series", series, match))
+    return sales if series is None else sales.filter(ci_match("Series", series, match, is_folded(sales, "Series")))
 
 
 def thousands(units: str | Column) -> Column:
@@ -87,7 +87,7 @@ def date_range(sales: DataFrame, by: str | Sequence[str] = "Series") -> DataFram
 
 def without_series(sales: DataFrame, series: str, match: str = "contains") -> DataFrame:
     """Sales of every other series."""
-    return sales.filter(~ci_match("Series", series, match))
+    return sales.filter(~ci_match("Series", series, match, is_folded(sales, "Series")))
 
 
 def price_band_join(focal: DataFrame, others: DataFrame, band: float) -> DataFrame:
@@ -104,7 +104,7 @@ def price_band_join(focal: DataFrame, others: DataFrame, band: float) -> DataFra
 def competitors_band(sales: DataFrame, series: str, band: float = 400, k: int = 3, match: str = "contains",
                      systems: Sequence[str] = COMPETITOR_SYSTEMS) -> DataFrame:
     """The k best-selling other series per chassis segment within a price band of the focal series."""
-    focal = (sales.filter(ci_match("Series", series, match))
+    focal = (sales.filter(ci_match("Series", series, match, is_folded(sales, "Series")))
              .groupBy("Chassis_Segment").agg(price_of().alias("ASP")))
     others = (without_series(sales, series, match).filter(F.col("Operating_System_Summary").isin(*systems))
               .groupBy("Series", "Chassis_Segment")

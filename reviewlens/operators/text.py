@@ -79,6 +79,18 @@ def chunk_text(df: DataFrame, col: str, size: int = 10_000, overlap: int = 200,
     return df.select(*[f.name for f in kept], col).mapInPandas(cut, schema)
 
 
+def fixed_windows(df: DataFrame, col: str, size: int = 10_000, overlap: int = 200, chunk: str = "chunk") -> DataFrame:
+    """One row per window of ``size`` characters, each beginning ``overlap`` before the end of the one before it: the other columns,
+    ``chunk_no`` from 0, and the window, with SQL functions only. Empty and null texts have none."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and smaller than size")
+    step = size - overlap
+    last = F.greatest(F.lit(0), F.ceil((F.char_length(col) - size) / step)).cast("int")
+    kept = [F.col(c) for c in df.columns if c != col]
+    cut = df.filter(F.char_length(col) > 0).select(*kept, F.col(col).alias("_text"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    return cut.select(*kept, "chunk_no", F.substring("_text", F.col("chunk_no") * step + 1, F.lit(size)).alias(chunk))
+
+
 def embed(df: DataFrame, col: str, embedder: Callable[[pd.Series], Sequence] | None = None, dims: int = 256,
           out: str = "embedding") -> DataFrame:
     """Add an embedding column.

@@ -67,6 +67,18 @@ def _(spark, d):
     return ms.count_distinct_of(_reviews(spark, d, "Geography", "Product_Family"), "Product_Family", "Geography")
 
 
+@query("agg8_distinct_count_sketched", """SELECT Geography, count(DISTINCT Aspect_Description) AS DISTINCT_COUNT, true AS WITHIN_FIVE_PERCENT
+FROM reviews GROUP BY Geography""", "reviews")
+def _(spark, d):
+    """Sketches kept by family and geography, merged by geography, beside the exact count."""
+    rows = _reviews(spark, d, "Geography", "Product_Family", "Aspect_Description")
+    kept = ms.distinct_sketches(rows, "Aspect_Description", ["Product_Family", "Geography"])
+    exact = ms.count_distinct_of(rows, "Aspect_Description", "Geography").withColumnRenamed("Geography", "_of")
+    joined = ms.distinct_of_sketches(kept, "Geography").join(exact, F.col("Geography").eqNullSafe(F.col("_of")))
+    near = F.abs(F.col("DISTINCT_ESTIMATE") - F.col("DISTINCT_COUNT")) <= 0.05 * F.col("DISTINCT_COUNT")
+    return joined.select("Geography", "DISTINCT_COUNT", near.alias("WITHIN_FIVE_PERCENT"))
+
+
 def _summary_sql(total: str, detail: str) -> str:
     return (f"SELECT 'TOTAL' AS ASPECT, {_R1} AS ASPECT_SENTIMENT, count(*) AS REVIEW_COUNT FROM reviews WHERE {total} "
             f"UNION ALL SELECT Aspect, {_R1}, count(*) FROM reviews WHERE {detail} GROUP BY Aspect")

@@ -112,9 +112,26 @@ def _(spark, d):
     return nm.fuzzy_match(_spoken(spark, d), _families(spark, d), 95)
 
 
-@query("jn12_fuzzy_all")
+# The token-set ratio of two names: common words, what is left of either, and the longest common subsequence of that, a machine word
+# of letters at a time.
+_RATIO = f"""WITH pairs AS (SELECT DISTINCT mention, SentimentDevice AS NAME,
+    list_sort(list_distinct(string_split(mention, ' '))) AS a, list_sort(list_distinct(string_split(SentimentDevice, ' '))) AS b
+  FROM {_WORDED}, (SELECT DISTINCT SentimentDevice FROM name_mapping)),
+split AS (SELECT mention, NAME, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ' ') AS head,
+    array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' ') AS ta, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' ') AS tb FROM pairs),
+sized AS (SELECT *, CAST(head <> '' AS INT) AS gap, length(head) + CAST(head <> '' AS INT) + length(ta) AS la, length(head) + CAST(head <> '' AS INT) + length(tb) AS lb FROM split),
+near AS (SELECT *, CASE WHEN abs(length(ta) - length(tb)) < 0.2 * (la + lb) THEN list_reduce(
+    list_prepend((CAST(1 AS HUGEINT) << length(ta)) - 1, list_transform(string_split(tb, ''), lambda c: CAST(list_sum(list_transform(range(0, length(ta)),
+      lambda i: CASE WHEN substr(ta, CAST(i AS INT) + 1, 1) = c THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END)) AS HUGEINT))),
+    lambda s, m: ((s + (s & m)) | (s - (s & m))) & ((CAST(1 AS HUGEINT) << length(ta)) - 1)) END AS state FROM sized),
+scored AS (SELECT mention, NAME, CASE WHEN gap = 1 AND (ta = '' OR tb = '') THEN 100.0 ELSE greatest(
+    coalesce(100 - 100 * CAST(length(ta) + length(tb) - 2 * (length(ta) - bit_count(state)) AS DOUBLE) / (la + lb), 0),
+    gap * (100 - 100 * CAST(1 + length(ta) AS DOUBLE) / (length(head) + la)), gap * (100 - 100 * CAST(1 + length(tb) AS DOUBLE) / (length(head) + lb))) END AS SCORE FROM near)"""
+
+
+@query("jn12_fuzzy_all", f"SELECT mention, NAME, round(CAST(SCORE AS DOUBLE), 6) AS SCORE FROM ({_RATIO} SELECT * FROM scored) WHERE SCORE > 80", "name_mapping")
 def _(spark, d):
-    return nm.fuzzy_match(_spoken(spark, d), _families(spark, d), 80, "all")
+    return nm.fuzzy_match(_spoken(spark, d), _families(spark, d), 80, "all").withColumn("SCORE", F.round("SCORE", 6))
 
 
 @query("jn13_resolved_devices")

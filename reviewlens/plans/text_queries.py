@@ -16,6 +16,27 @@ def _(spark, d):
     return tx.chunk_text(bind.table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
+@query("txt1_fixed_windows", """SELECT doc_id, CAST(i AS INT) AS chunk_no, substr(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS chunk
+FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 1000) / 900) AS BIGINT)))) AS i FROM documents WHERE length(text) > 0)""")
+def _(spark, d):
+    return tx.fixed_windows(bind.table(spark, d, "documents").select("doc_id", "text"), "text", 1000, 100)
+
+
+@query("txt1_chunk_coverage", """SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS LETTERS, true AS WITHIN_SIZE, true AS PARTS_OF_THE_TEXT, true AS NUMBERED
+FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""")
+def _(spark, d):
+    """What must hold of the chunks of a text: none is too long, all are parts of it, and without an overlap they hold every letter."""
+    docs = bind.table(spark, d, "documents").select("doc_id", "text")
+    chunks = tx.chunk_text(docs, "text", 1000, 0)
+    whole = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("whole"))
+    held = chunks.join(whole, F.col("doc_id") == F.col("id")).select(
+        "doc_id", "chunk_no", F.char_length("chunk").alias("size"), F.col("whole").contains(F.col("chunk")).alias("part"),
+        F.char_length(F.regexp_replace("chunk", r"\s", "")).cast("long").alias("letters"))
+    return held.groupBy("doc_id").agg(
+        F.sum("letters").alias("LETTERS"), F.max(F.col("size") <= 1000).alias("WITHIN_SIZE"), F.min("part").alias("PARTS_OF_THE_TEXT"),
+        (F.max("chunk_no") + 1 == F.count(F.lit(1))).alias("NUMBERED"))
+
+
 @query("txt2_embedded_chunks")
 def _(spark, d):
     chunks = tx.chunk_text(bind.table(spark, d, "documents").select("doc_id", "text"), "text")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reviewlens.functions.formatting import normalize_keys, parse_month
+from reviewlens.functions.matching import mark_folded
 from reviewlens.functions.scoring import with_score
 from reviewlens.functions.vocabulary import LOWER_LABELS
 from reviewlens.sources import schema as S
 
+#: Key columns of reviews, which are stored in upper case.
+KEYS = ("Product", "Product_Family")
+
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, source_format: str) -> DataFrame:
     """The table under a schema. The caller names the format; names of files say nothing about it. A CSV row that does not fit is an
@@ -28,14 +32,16 @@ def read_reviews(spark: SparkSession, path: str, schema: T.StructType = S.REVIEW
     """Reviews with folded keys and a sentiment score; ``labels`` names the vocabulary. ``folded=True`` says that the keys of the stored
     table are upper case, as ``write_reviews`` leaves them: they are then read as they are, and filters on them reach the scan."""
     raw = S.require_columns(_read(spark, path, schema, multi_line, source_format), *schema.fieldNames())
-    return with_score(raw if folded else normalize_keys(raw), labels)
+    return with_score(mark_folded(raw, *KEYS) if folded else normalize_keys(raw), labels)
 
 
 def write_reviews(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store reviews as Parquet with folded keys, rows of a family side by side, so that a filter on a family skips row groups. Families
-    with very many rows become several files."""
+    """Store reviews as Parquet with folded keys, rows of a family side by side, so that a filter on a family skips row groups, and with
+    Bloom filters of the keys, so that one for an exact name skips those that lack it. Families with very many rows become several
+    files."""
     stored = normalize_keys(df.select(*[c for c in df.columns if c != "Sentiment_Score"]))
-    stored.hint("rebalance", F.col("Product_Family")).sortWithinPartitions("Product_Family").write.mode(mode).parquet(path)
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in KEYS}
+    stored.hint("rebalance", F.col("Product_Family")).sortWithinPartitions("Product_Family").write.mode(mode).options(**blooms).parquet(path)
 
 
 def read_sales(spark: SparkSession, path: str, schema: T.StructType = S.SALES, source_format: str = "csv") -> DataFrame:

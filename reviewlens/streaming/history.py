@@ -12,21 +12,27 @@ _STATE = "turns array<bigint>, roles array<string>, texts array<string>"
 _OUT = "conv_id bigint, turn bigint, role string, text string"
 
 
-def rolling_history(turns: DataFrame, n: int = 4) -> DataFrame:
+def rolling_history(turns: DataFrame, n: int = 4, idle_ms: int | None = 30 * 24 * 3600 * 1000) -> DataFrame:
     """After each batch, the n newest turns of every conversation that got a new one.
 
     The state of a conversation is those n turns, whatever its length. A turn that arrives late
-    takes its place by turn number.
+    takes its place by turn number. A conversation without a turn for ``idle_ms`` is forgotten, by the first batch after that (never
+    where it is None); a later turn begins it anew.
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(zip(*state.get)) if state.exists else []
         for batch in batches:
             held += list(zip(batch["turn"].tolist(), batch["role"].tolist(), batch["text"].tolist()))
             held = sorted(held, key=lambda t: t[0])[-n:]
         state.update(tuple(list(column) for column in zip(*held)))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(held, columns=["turn", "role", "text"])
         frame.insert(0, "conv_id", key[0])
         yield frame
 
     return turns.groupBy("conv_id").applyInPandasWithState(
-        update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+        update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -147,3 +147,16 @@ def test_verbatims_take_the_longest(spark):
     df = spark.createDataFrame([(1, "F", "aa"), (2, "F", "bbb"), (3, "F", "ccc"), (4, "G", "d")], "review_id int, Product_Family string, Review string")
     got = digest.verbatims(df, 1, ["Product_Family"], "review_id").orderBy("Product_Family").collect()
     assert [(r["review_id"], r["PLACE"]) for r in got] == [(2, 1), (4, 1)]
+
+
+def test_kept_sketches_answer_coarser_questions(spark):
+    from reviewlens.operators import measures as ms
+    df = spark.range(60000).selectExpr("id % 5 as a", "id % 7 as b", "concat('v', id % 20000) as v", "if(id % 3 = 0, null, id % 4) as small")
+    kept = ms.distinct_sketches(df, "v", ["a", "b"])
+    assert kept.count() == 35
+    assert abs(ms.distinct_of_sketches(kept).first()[0] - 20000) < 0.05 * 20000
+    by = {r["a"]: r["DISTINCT_ESTIMATE"] for r in ms.distinct_of_sketches(kept, "a").collect()}
+    exact = {r["a"]: r["DISTINCT_COUNT"] for r in ms.count_distinct_of(df, "v", "a").collect()}
+    assert by.keys() == exact.keys() and all(abs(by[k] - exact[k]) < 0.06 * exact[k] for k in exact)
+    assert ms.distinct_of_sketches(ms.distinct_sketches(df, "small", ["a"])).first()[0] == 4
+    assert ms.distinct_of_sketches(ms.distinct_sketches(df.limit(0), "v", ["a"])).collect()[0][0] in (0, None)

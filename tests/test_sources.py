@@ -106,9 +106,33 @@ def test_executors_do_not_need_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    from reviewlens.functions.similarity import Catalog
+    from reviewlens.functions.similarity import Letters
 
-    sent = cloudpickle.dumps(lambda: Catalog(["ORBIT GO"]).best("GO ORBIT 3", 60))
+    sent = cloudpickle.dumps(lambda: Letters(["ORBIT GO"]).alike("GO ORBIT 3", 60)[1].tolist())
     code = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read())())"
     ran = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd=tmp_path, timeout=60)
-    assert ran.stdout.decode().strip() == "[('ORBIT GO', 100.0)]", ran.stderr.decode()
+    assert ran.stdout.decode().strip() == "[100.0]", ran.stderr.decode()
+
+
+def test_filters_of_operators_reach_the_scan(spark, reviews, tmp_path):
+    """Stored reviews say that their keys are folded, and operators hand that on."""
+    from reviewlens.functions.matching import mark_folded
+    from reviewlens.operators.keywords import keyword_stats
+    from reviewlens.operators.measures import aspect_summary, net_sentiment
+    from reviewlens.operators.sales import units_k
+    path = str(tmp_path / "r")
+    mark_folded(reviews, "Product_Family").write.parquet(path)
+    stored = spark.read.parquet(path)
+
+    def pushed(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan[plan.index("PushedFilters"):].split("]")[0]
+
+    assert "StringContains(Product_Family,P ONE)" in pushed(aspect_summary(stored, "p one"))
+    assert "StringContains(Product_Family,P ONE)" in pushed(keyword_stats(stored, "p one"))
+    assert "EqualTo(Product_Family,P ONE)" in pushed(net_sentiment(stored, filters=[("Product_Family", "equals", "p one")]))
+    sold = str(tmp_path / "s")
+    spark.sql("select 'S1' as Series, 5L as Sales_Units").write.parquet(sold)
+    sales = mark_folded(spark.read.parquet(sold), "Series")
+    assert "EqualTo(Series,S1)" in pushed(units_k(sales, "s1", match="equals")) and units_k(sales, "s1").first()["SALES_UNITS_K"] == 0.005
+    assert sorted(map(tuple, aspect_summary(stored, "p one").collect()), key=str) == sorted(map(tuple, aspect_summary(reviews, "p one").collect()), key=str)

@@ -151,3 +151,17 @@ def test_a_stored_chunk_answers_itself(spark, tmp_path):
     asked = spark.createDataFrame([(1, "Screen is dim"), (2, "keyboard clacks loudly"), (3, "how long lasts the battery")], "query_id long, question string")
     got = {r["query_id"]: r["text"] for r in tx.ask(asked, spark.read.parquet(path), 1).collect()}
     assert got == {1: "screen is dim", 2: "keyboard clacks loudly", 3: "battery lasts long"}
+
+
+def test_fixed_windows_cover_the_text(spark):
+    texts = ["", None, "a", "abcdefghij", "abcdefghijk", "x" * 95, "日本語テキスト" * 9]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "id int, t string, _text string").drop("_text")
+    got = {}
+    for r in tx.fixed_windows(df, "t", 10, 3).orderBy("id", "chunk_no").collect():
+        got.setdefault(r["id"], []).append((r["chunk_no"], r["chunk"]))
+    for i, t in enumerate(texts):
+        want, begin = [], 0
+        while t and (not want or begin + 3 < len(t)):
+            want.append((len(want), t[begin:begin + 10]))
+            begin += 7
+        assert got.get(i, []) == want
