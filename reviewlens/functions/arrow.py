@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,13 @@ from pyspark.sql import DataFrame, functions as F
 STEP_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker process lives on after its task, and would keep what its largest step took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``most`` bytes of text, or a single row."""
     for batch in batches:
@@ -25,6 +34,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             stop = max(begin + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
+    give_back()
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
