@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.functions.arrow import give_back
 from reviewlens.llm.common import GOLDEN, fold, mixed, steps, words
 
 BUCKETS = 1 << 19
@@ -183,7 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if len(np.unique(target)) < 2:
         return np.zeros(BUCKETS), 0.0
     weights = np.array([shares.get(k, 0) for k in (0, 1)]) / np.maximum(1, np.bincount(target, minlength=2))
-    return train(rows.column("text").combine_chunks(), target, weights[target])
+    model = train(rows.column("text").combine_chunks(), target, weights[target])
+    give_back()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
