@@ -13,7 +13,7 @@ from conftest import SF
 
 registry.load()
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
-WITHOUT_SQL = {"jn12_fuzzy_all", "jn13_resolved_devices", "txt1_chunks", "txt2_embedded_chunks", "txt3_vector_index"}
+WITHOUT_SQL = {"jn13_resolved_devices", "txt1_chunks", "txt2_embedded_chunks", "txt3_vector_index", "txt5_knn_approx"}
 PYTHON = ("jn11", "jn12", "jn13", "txt", "str2")
 
 

@@ -31,7 +31,7 @@ def brute_nearest(rows, k):
         ranked = []
         for other in segments:
             shared = [r for r in rows if r[0] == other and r[1] in own]
-            if other != focal and shared:
+            if other != focal and sum(r[5] for r in shared):  # without units there is no price
                 asp = float(sum(r[6] for r in shared)) / sum(r[5] for r in shared)
                 ranked.append((abs(asp - price), other))
         out[focal] = [o for _, o in sorted(ranked)[:k]]
