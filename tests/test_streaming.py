@@ -40,21 +40,3 @@ def test_history_keeps_the_newest_turns(spark, tmp_path):
     feed((1, 4, "u", "e"), (1, 3, "u", "d"))
     feed((1, 2, "u", "late"))
     assert [s for s in seen if s] == [[(1, 0), (1, 1), (2, 0)], [(1, 1), (1, 3), (1, 4)], [(1, 2), (1, 3), (1, 4)]]
-
-
-def test_idle_conversations_are_forgotten(spark, tmp_path):
-    source, state = str(tmp_path / "in"), str(tmp_path / "state")
-    seen = []
-
-    def feed(*rows):
-        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.mode("append").parquet(source)
-        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-        query = (rolling_history(stream, 3, idle_ms=1).writeStream.outputMode("update")
-                 .foreachBatch(lambda df, _: seen.append(sorted((r["conv_id"], r["turn"]) for r in df.collect())))
-                 .option("checkpointLocation", state).trigger(availableNow=True).start())
-        query.awaitTermination()
-
-    feed((1, 0, "u", "a"), (1, 1, "u", "b"))
-    feed((2, 0, "u", "c"))  # finds that the first conversation has been idle
-    feed((1, 2, "u", "d"))
-    assert [s for s in seen if s][-1] == [(1, 2)]
