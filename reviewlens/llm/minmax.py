@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.common import bloom, components, hashed, in_bloom, mixed, seeds, steps, words
+from reviewlens.operators.grouping import numbered
 from reviewlens.sources.storage import cut_lineage
 
 #: Words of a shingle.
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     row is a document with the links of its own text, also where an id occurs again; a null id is the smallest only where all are.
     Made for percent >= 75.
 
-    1. Rows with equal sets form a class, whose node is a hash of the set; from here on a class is one row.
+    1. Rows with equal sets form a class, whose node is its place by its smallest id; from here on a class is one row.
     2. Classes that share a band fall into a bucket. Each is compared with the smallest node of each of its buckets, and what is
        linked becomes a component.
     3. Buckets of three and more that still hold several components: every class outside the component of the smallest node meets
@@ -211,8 +212,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     rows = cut_lineage(signed(docs))
     smallest = lambda *c: F.min(F.when(F.col(c[0]).isNotNull(), F.struct(*c)))
-    classes = cut_lineage(rows.filter("set_key is not null").groupBy("set_key").agg(
-        smallest("doc_id", "text_hash").alias("least"), F.first("signature").alias("signature")).withColumn("node", F.xxhash64("set_key")))
+    classes = numbered(rows.filter("set_key is not null").groupBy("set_key").agg(
+        smallest("doc_id", "text_hash").alias("least"), F.first("signature").alias("signature")),
+        [F.col("least.doc_id").asc_nulls_last(), F.col("least.text_hash")], "node")
     nodes = classes
     banded = nodes.select("node", _band("signature").alias("key"))
     pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most").drop("most")
