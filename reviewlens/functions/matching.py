@@ -14,7 +14,7 @@ from reviewlens.functions.vocabulary import NOISE_ASPECTS, TOTAL, UNKNOWN
 def mark_folded(df: DataFrame, *cols: str) -> DataFrame:
     """The same rows, whose columns say that they hold upper-case text. Operators then compare them as they are, so that Parquet scans
     take the filters. The mark is part of the schema: it is stored with Parquet and lasts until the column is made anew."""
-    return df.withColumns({c: F.col(c).alias(c, metadata={**df.schema[c].metadata, "folded": True}) for c in cols})
+    return df.withColumns({c: F.col(c).alias(c, metadata={**df.schema[c].metadata, "folded": True}) for c in cols if c in df.columns})
 
 
 def is_folded(df: DataFrame, col: str) -> bool:

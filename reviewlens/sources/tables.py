@@ -40,7 +40,7 @@ def write_reviews(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     Bloom filters of the keys, so that one for an exact name skips those that lack it. Families with very many rows become several
     files."""
     stored = normalize_keys(df.select(*[c for c in df.columns if c != "Sentiment_Score"]))
-    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in KEYS}
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in KEYS if c in stored.columns}
     stored.hint("rebalance", F.col("Product_Family")).sortWithinPartitions("Product_Family").write.mode(mode).options(**blooms).parquet(path)
 
 
