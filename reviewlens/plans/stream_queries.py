@@ -12,8 +12,9 @@ from reviewlens.streaming.reviews import run_to_files, windowed_net_sentiment
 
 
 def _stream(spark, d, name):
+    """A table as a stream, whether it is one file or a folder of files: a path with a pattern may name either."""
     schema = bind.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
 
 
 @query("str1_windowed_net_sentiment", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS WINDOW_START, 'USER_' || CAST(user_id AS VARCHAR) AS Product_Family,

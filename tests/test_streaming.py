@@ -40,3 +40,17 @@ def test_history_keeps_the_newest_turns(spark, tmp_path):
     feed((1, 4, "u", "e"), (1, 3, "u", "d"))
     feed((1, 2, "u", "late"))
     assert [s for s in seen if s] == [[(1, 0), (1, 1), (2, 0)], [(1, 1), (1, 3), (1, 4)], [(1, 2), (1, 3), (1, 4)]]
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    from reviewlens.plans import registry
+    registry.load()
+    turns = [(c, t, "user", f"{c} {t}") for c in (1, 2, 3) for t in range(c + 3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, 0, "user", "another table")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/turns.parquet")
+    got = sorted(map(tuple, registry.QUERIES["str2_rolling_history"](spark, str(tmp_path)).collect()))
+    assert got == [r for r in turns if r[1] >= r[0] - 1]
+    spark.sql("select id as event_id, id % 3 as user_id, timestamp_ntz '2024-01-01' + make_dt_interval(0, id) as ts, 'purchase' as event_type from range(100)").repartition(2).write.parquet(
+        f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["str1_windowed_net_sentiment"](spark, str(tmp_path)).collect()
+    assert sum(r["REVIEW_COUNT"] for r in found) == 96
