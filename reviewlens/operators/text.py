@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from reviewlens.functions.arrow import steps
 from reviewlens.sources.snapshots import upsert
 from reviewlens.sources.tables import write_vectors
 
@@ -65,18 +67,17 @@ def chunk_text(df: DataFrame, col: str, size: int = 10_000, overlap: int = 200,
     kept = [f for f in df.schema.fields if f.name != col]
     schema = T.StructType([*kept, T.StructField("chunk_no", T.IntegerType()), T.StructField(chunk, T.StringType())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            parts = [split_text(t, size, overlap) if t else [] for t in batch[col]]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A few megabytes of text at a time, whatever a batch holds: its chunks are copies of it.
+        for batch in steps(batches, col):
+            parts = [split_text(t, size, overlap) if t else [] for t in batch.column(col).to_pylist()]
             counts = [len(p) for p in parts]
-            out = batch.drop(columns=[col]).loc[batch.index.repeat(counts)]
-            out["chunk_no"] = np.concatenate([np.arange(n, dtype="int32") for n in counts])
-            out[chunk] = pd.Series([c for p in parts for c in p], dtype=object, index=out.index)
-            yield out
+            rows = pa.array(np.repeat(np.arange(len(parts)), counts))
+            numbers = pa.array(np.concatenate([np.arange(n, dtype="int32") for n in counts]))
+            chunks = pa.array([c for p in parts for c in p], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(rows) for f in kept), numbers, chunks], schema.names)
 
-    return df.select(*[f.name for f in kept], col).mapInPandas(cut, schema)
+    return df.select(*[f.name for f in kept], col).mapInArrow(cut, schema)
 
 
 def fixed_windows(df: DataFrame, col: str, size: int = 10_000, overlap: int = 200, chunk: str = "chunk") -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -165,3 +166,18 @@ def test_fixed_windows_cover_the_text(spark):
             want.append((len(want), t[begin:begin + 10]))
             begin += 7
         assert got.get(i, []) == want
+
+
+def test_texts_are_cut_a_few_megabytes_at_a_time(spark, monkeypatch):
+    texts = ["ab " * 300_000, None, "", *(f"{i} " * 200_000 for i in range(40))]
+    steps = []
+    df = spark.createDataFrame([], "id long, text string, tags array<string>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: steps.append((fn, schema)))
+    tx.chunk_text(df, "text")
+    (fn, schema), = steps
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([["a"]] * len(texts)), pa.array(texts)], ["id", "tags", "text"])
+    out = list(fn(iter([batch])))
+    assert max(b.nbytes for b in out) < 6 << 20 < batch.nbytes
+    got = [(r["id"], r["chunk_no"], r["chunk"], r["tags"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, n, c, ["a"]) for i, t in enumerate(texts) if t for n, c in enumerate(tx.split_text(t))]
+    assert schema.names == ["id", "tags", "chunk_no", "chunk"]
