@@ -13,15 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from reviewlens.operators.grouping import spread
+from reviewlens.sources.storage import cut_lineage
+
+#: Rows of a block, and cells whose sizes are broadcast.
+BLOCK, FEW_CELLS = 16_384, 16_384
 
 
 def match_blocks(left: DataFrame, right: DataFrame, cell: Sequence[str], left_id: str, right_id: str,
                  fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
-                 left_rows: int = 2048, right_rows: int = 8192) -> DataFrame:
+                 left_rows: int = BLOCK, right_rows: int = BLOCK) -> DataFrame:
     """Apply ``fn`` to every pair of blocks of the same cell and union what it returns.
 
     A cell is named by one or more columns. Blocks are chosen by a hash of the id, so a task that is
-    run again after an executor is lost sees the same rows.
+    run again after an executor is lost sees the same rows. Every row is sent once for each block that
+    it meets, so larger blocks send less. The sizes of up to ``FEW_CELLS`` cells are broadcast, so that
+    rows move only once.
     """
     cell = list(cell)
     # New column identities, so that a table may be matched with itself.
@@ -30,7 +36,9 @@ def match_blocks(left: DataFrame, right: DataFrame, cell: Sequence[str], left_id
     def blocks(side: DataFrame, rows: int, name: str) -> DataFrame:
         return side.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
 
-    grid = blocks(left, left_rows, "_rows").join(blocks(right, right_rows, "_cols"), cell)
+    grid = cut_lineage(blocks(left, left_rows, "_rows").join(blocks(right, right_rows, "_cols"), cell))
+    if grid.count() <= FEW_CELLS:
+        grid = F.broadcast(grid)
 
     def own_block(key: str, count: str):
         return F.pmod(F.xxhash64(key), F.col(count))

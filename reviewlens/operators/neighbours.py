@@ -9,13 +9,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reviewlens.operators.blocks import match_blocks
+from reviewlens.operators.blocks import BLOCK, match_blocks
 from reviewlens.operators.grouping import first_rows
 from reviewlens.sources.storage import cut_lineage
 
 
 #: Pivots at most, and rows that are compared with them at a time.
 MOST_PIVOTS, AT_ONCE = 4096, 1024
+#: Numbers of a matrix that :func:`nearest` makes at a time.
+VALUES = 1 << 21
+#: Cells of a partition from which on they grow up to the size of a block.
+CELLS = 256
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,20 +36,29 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) ->
     """(query row, id, distance) of the k nearest points of each query.
 
     One matrix product picks the candidates, with slack for its rounding; their distances are then
-    computed from the differences, so equal vectors tie exactly.
+    computed from the differences, so equal vectors tie exactly. Queries are taken a few at a time, and so
+    are differences, so that memory is bounded however many points there are and tie.
     """
     sizes = (points ** 2).sum(1)
-    lengths = (queries ** 2).sum(1)
-    rough = lengths[:, None] + sizes[None, :] - 2 * queries @ points.T
-    kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-    slack = 1e-9 * (lengths + sizes.max())
-    rows, cols = np.nonzero(rough <= (kth + slack)[:, None])
-    distance = np.sqrt(((points[cols] - queries[rows]) ** 2).sum(1))
-    order = np.lexsort((ids[cols], distance, rows))
-    rows, cols, distance = rows[order], cols[order], distance[order]
-    starts = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - starts < k
-    return rows[keep], ids[cols[keep]], distance[keep]
+    found = []
+    for begin in range(0, len(queries), max(1, VALUES // len(points))):
+        asked = queries[begin:begin + max(1, VALUES // len(points))]
+        lengths = (asked ** 2).sum(1)
+        rough = lengths[:, None] + sizes[None, :] - 2 * asked @ points.T
+        kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        slack = 1e-9 * (lengths + sizes.max())
+        rows, cols = np.nonzero(rough <= (kth + slack)[:, None])
+        distance = np.empty(len(rows))
+        piece = max(1, VALUES // max(1, points.shape[1]))
+        for at in range(0, len(rows), piece):
+            here = slice(at, at + piece)
+            distance[here] = np.sqrt(((points[cols[here]] - asked[rows[here]]) ** 2).sum(1))
+        order = np.lexsort((ids[cols], distance, rows))
+        rows, cols, distance = rows[order], cols[order], distance[order]
+        starts = np.searchsorted(rows, rows, side="left")
+        keep = np.arange(len(rows)) - starts < k
+        found.append((rows[keep] + begin, ids[cols[keep]], distance[keep]))
+    return tuple(np.concatenate(p) for p in zip(*found))
 
 
 def _result_type(queries: DataFrame, vectors: DataFrame) -> T.StructType:
@@ -81,8 +94,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str | Non
     """
     if partition is not None:
         return knn_large(queries, vectors, k, partition)
-    cell = F.lit(0).alias("cell")
-    found = match_blocks(queries.select(cell, "query_id", "embedding"), vectors.select(cell, "vec_id", "embedding"), ["cell"],
+    def one_cell(key: str):  # 0; a literal would turn the joins on it into joins without a key
+        return F.pmod(F.xxhash64(key), F.lit(1)).alias("cell")
+
+    found = match_blocks(queries.select(one_cell("query_id"), "query_id", "embedding"), vectors.select(one_cell("vec_id"), "vec_id", "embedding"), ["cell"],
                          "query_id", "vec_id", _block_matcher(k), _result_type(queries, vectors), left_rows=block)
     return _top(found, k)
 
@@ -93,7 +108,7 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
 
     Vectors belong to the cell of their nearest pivot, within their partition; there are as many pivots
     as the square root of the vectors, at most ``MOST_PIVOTS``, unless ``pivots`` says otherwise, and a partition uses as many of
-    them as give it cells of about ``cell_rows`` vectors. The distances from a
+    them as give it cells of about ``cell_rows`` vectors, or from ``CELLS`` cells on of more, up to a block. The distances from a
     query to the pivots bound its k-th neighbour from above and every cell from below (triangle
     inequality), so a query is sent only to cells that can hold one of its neighbours. Cells are
     matched in bounded blocks, whatever share of the vectors one of them holds.
@@ -125,19 +140,21 @@ def knn_large(queries: DataFrame, vectors: DataFrame, k: int = 4, partition: str
                 cells, held, reach, kth = (np.array(rows[c].iloc[0], dtype=float) for c in ("cells", "held", "reach", "kth"))
                 away = to_centres(matrix(rows["embedding"]))[:, cells.astype(int)]
                 bound = np.minimum((away + kth).min(1), _enough(away + reach, held, k))
-                hit, to = np.nonzero(away - reach <= (bound * (1 + 1e-9) + 1e-9)[:, None])
-                yield rows[["part", "query_id", "embedding"]].iloc[hit].assign(cell=cells[to].astype("int32"))
+                hit = away - reach <= (bound * (1 + 1e-9) + 1e-9)[:, None]
+                yield rows[["part", "query_id", "embedding"]].assign(cell=[cells[h].astype("int32") for h in hit])
 
     part = (F.lit(0) if partition is None else F.col(partition)).alias("part")
     inputs = vectors.select(part, "vec_id", "embedding").filter("part IS NOT NULL")
     used = inputs.groupBy("part").agg(
-        F.least(F.lit(len(distinct)), F.ceil(F.count(F.lit(1)) / cell_rows)).cast("int").alias("used"))
+        F.least(F.lit(len(distinct)), F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(cell_rows), F.least(F.lit(BLOCK), F.floor(F.count(F.lit(1)) / CELLS))))).cast("int").alias("used"))
     asked = queries.select(part, "query_id", "embedding").filter("part IS NOT NULL")
     # Both are counted and then matched; writing them keeps the Python steps to one run each.
     placed = cut_lineage(inputs.join(used, "part").mapInPandas(place, T.StructType([
         *inputs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])))
     routed = cut_lineage(asked.join(_cell_reach(placed, k), "part").mapInPandas(
-        route, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())])))
+        route, T.StructType([*asked.schema.fields, T.StructField("cell", T.ArrayType(T.IntegerType()))])))
+    # A query is written once with its cells; its copies are only made on the way to their blocks.
+    routed = routed.withColumn("cell", F.explode("cell"))
     found = match_blocks(routed, placed.drop("reach"), ["part", "cell"], "query_id", "vec_id", _block_matcher(k), result)
     return _top(found, k)
 

@@ -181,3 +181,12 @@ def test_texts_are_cut_a_few_megabytes_at_a_time(spark, monkeypatch):
     got = [(r["id"], r["chunk_no"], r["chunk"], r["tags"]) for b in out for r in b.to_pylist()]
     assert got == [(i, n, c, ["a"]) for i, t in enumerate(texts) if t for n, c in enumerate(tx.split_text(t))]
     assert schema.names == ["id", "tags", "chunk_no", "chunk"]
+
+
+def test_large_search_writes_a_query_once(cloud, monkeypatch):
+    """Its copies for the cells that it meets are made on the way to their blocks."""
+    rows, df = cloud
+    written, real = [], nb.cut_lineage
+    monkeypatch.setattr(nb, "cut_lineage", lambda d: written.append(d.count()) or real(d))
+    assert answers(nb.knn_large(as_queries(df), df, 2, pivots=12, cell_rows=20)) == brute([(i, v, "") for i, v, _ in rows], [(i, v, "") for i, v, _ in rows], 2)
+    assert written == [len(rows)] * 2
