@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reviewlens.operators.blocks import match_blocks
-from reviewlens.operators.neighbours import _block_matcher, _result_type, _top, matrix
+from reviewlens.operators.neighbours import _block_matcher, _parts, _result_type, _top, matrix
 from reviewlens.sources.snapshots import read_table, upsert
 from reviewlens.sources.storage import cut_lineage
 
@@ -57,7 +57,7 @@ def _placed(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(centres)  # at most MOST_LISTS centres
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             if len(batch):
                 yield batch.assign(list=_away(matrix(batch["embedding"]), shared.value).argmin(1).astype("int32"))
     chosen = vectors.select("vec_id", "embedding").filter("embedding IS NOT NULL")
@@ -101,13 +101,14 @@ def knn_lists(queries: DataFrame, path: str, k: int = 4, probes: int | None = No
     shared, wanted = spark.sparkContext.broadcast(centres), min(probes or tried, len(centres))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             if len(batch):
                 near = _away(matrix(batch["embedding"]), shared.value).argsort(1, kind="stable")[:, :wanted]
-                yield batch.iloc[np.repeat(np.arange(len(batch)), wanted)].assign(list=near.ravel().astype("int32"))
+                yield batch.assign(list=list(near.astype("int32")))
 
     stored = read_table(spark, f"{path}/lists")
     asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
-    routed = cut_lineage(asked.mapInPandas(route, T.StructType([*asked.schema.fields, T.StructField("list", T.IntegerType())])))
-    found = match_blocks(routed, stored, ["list"], "query_id", "vec_id", _block_matcher(k), _result_type(queries, stored))
+    # A query is written once with its lists; its copies are only made on the way to their blocks.
+    routed = cut_lineage(asked.mapInPandas(route, T.StructType([*asked.schema.fields, T.StructField("list", T.ArrayType(T.IntegerType()))])))
+    found = match_blocks(routed.withColumn("list", F.explode("list")), stored, ["list"], "query_id", "vec_id", _block_matcher(k), _result_type(queries, stored))
     return _top(found, k)

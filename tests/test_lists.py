@@ -86,3 +86,25 @@ def test_an_index_of_texts_extended_twice(spark, tmp_path):
         tx.extend_index(spark.createDataFrame([(i, t) for i, t in enumerate(texts, 5)], "id long, t string"), path, ["id"], "t")
     got = {dict(map(tuple, r["metadata"]))["id"]: r["text"] for r in sn.read_table(spark, path).collect()}
     assert got == {"5": "gamma delta", "6": "gamma"}
+
+
+def test_queries_are_routed_without_copies(spark, tmp_path, monkeypatch):
+    """A query is written once, however many lists it looks into."""
+    vectors = cloud(spark, 600)
+    ls.build_lists(vectors, str(tmp_path / "i"), list_rows=20)
+    asked, written, real = vectors.select(F.col("vec_id").alias("query_id"), "embedding"), [], ls.cut_lineage
+    monkeypatch.setattr(ls, "cut_lineage", lambda df: written.append(df.count()) or real(df))
+    found = ls.knn_lists(asked, str(tmp_path / "i"), probes=30)
+    assert written == [600] and pairs(found) == pairs(nb.knn(asked, vectors))
+
+
+def test_equal_vectors_need_no_more_memory():
+    """2,000 queries that tie with 8,000 points: 16 million pairs, of which a few million numbers are held at a time."""
+    import tracemalloc
+    points = np.ones((8000, 64))
+    tracemalloc.start()
+    rows, ids, distance = nb.nearest(points[:2000], points, np.arange(8000)[::-1].copy(), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    assert (ids.reshape(-1, 4) == [0, 1, 2, 3]).all() and (distance == 0).all() and (rows == np.repeat(np.arange(2000), 4)).all()
