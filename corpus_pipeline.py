@@ -17,6 +17,9 @@ from reviewlens.llm.common import table, unused
 from reviewlens.llm.queries import END_ID, tokenizer_path
 from reviewlens.sources.storage import cut_lineage, fresh_folder
 
+#: Keys of rows that occur again, which are broadcast up to this number.
+FEW_AGAIN = 65_536
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half. The model learns from the labelled ones among them."""
@@ -30,9 +33,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = cut_lineage(minmax.near_duplicates(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(
         F.max("first").alias("first"), F.count("*").alias("rows")))
     away, again = (found.filter(c).select(id_, hash_) for c in ("not first", "first and rows > 1"))
+    # Mostly few rows occur again. Sent to all tasks, they spare the documents a second shuffle.
+    few = F.broadcast(again) if again.count() <= FEW_AGAIN else again
     same = (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     left = docs.join(away.union(again), same, "left_anti")
-    once = docs.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    once = docs.join(few, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return left.select(*docs.columns).union(once.select(*docs.columns))
 
 

@@ -224,8 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "set_key", F.xxhash64("least.doc_id", "least.text_hash").alias("key"))
     sets = docs.select("text", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.xxhash64("text"))).otherwise(F.xxhash64(F.lit(None).cast(docs.schema["doc_id"].dataType), F.lit(None).cast("long"))).alias("key")).mapInArrow(
         _sets(bloom(members)), "set_key binary, shingles binary")
-    sets = cut_lineage(sets.join(members.select("node", "set_key"), "set_key")
-                       .groupBy("node").agg(F.first("shingles").alias("shingles")))
+    # One for each key before they meet the nodes, so that both steps share one shuffle of the sets.
+    sets = cut_lineage(sets.filter("set_key is not null").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+                       .join(members.select("node", "set_key"), "set_key").select("node", "shingles"))
 
     def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         return (pairs.join(table.select(F.col("node").alias("a"), F.col(column).alias("sa")), "a")

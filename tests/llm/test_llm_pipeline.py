@@ -91,3 +91,14 @@ def test_native_operators_run_no_python(spark):
     for name, run in QUERIES.items():
         if name.startswith(NATIVE):
             assert not re.search("Python|Pandas|Arrow", run(spark, SF)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_that_occur_again_do_not_move_the_documents_twice(spark):
+    """The few rows that are equal in id and text are broadcast to the documents; one of them stays."""
+    import corpus_pipeline
+    rows = [(i, f"text number {i} of this corpus has words {i * 7} and {i * 13}", "s", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, source string, lang string")
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "rightHint=(strategy=broadcast)" in plan
+    assert sorted(map(tuple, kept.collect())) == rows
