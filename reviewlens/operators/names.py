@@ -245,8 +245,9 @@ def fuzzy_match(mentions: DataFrame, catalog: DataFrame, min_score: float = 60,
     if mode == "best":
         top = by_words.groupBy(F.col("mention").alias("text")).agg(F.max("SCORE").alias("top"))
         wanted = asked.join(top, "text", "left").withColumn("least", F.greatest(F.lit(float(min_score)), "top")).filter("least < 100").drop("top")
-    left, right = _bands(wanted, known)
-    by_letters = match_blocks(left, right, ["cell"], "mention", "NAME", _alike(mode), "mention string, NAME string, SCORE double")
+    # Blocks use both sides several times; written, they are no part of that plan, which the driver holds whole.
+    left, right = map(cut_lineage, _bands(wanted, known))
+    by_letters = match_blocks(left, right, ["cell"], "mention", "NAME", _alike(mode), "mention string, NAME string, SCORE double", 2048, 8192)
     found = by_words.unionByName(by_letters).groupBy("mention", "NAME").agg(F.max("SCORE").alias("SCORE"))
     if mode == "all":
         return found
@@ -262,8 +263,8 @@ def resolve_device(mentions: DataFrame, review_names: DataFrame, sales_names: Da
     name to be contained. Each stage takes what the one before it has left over.
     """
     left = cut_lineage(mentions.select(F.upper(mention).alias("mention")).filter("mention IS NOT NULL").distinct())
-    reviewed = review_names.select(F.col(name).alias("name"))
-    sold = sales_names.select(F.col(name).alias("name"))
+    # Each list is used by two stages, several times over.
+    reviewed, sold = (cut_lineage(names.select(F.col(name).alias("name")).distinct()) for names in (review_names, sales_names))
     contained = lambda rows, names: detect_mentions(rows, names, 1, "mention", "mention")
     alike = lambda rows, names: fuzzy_match(rows, names, min_score)
     stages = ((contained, reviewed), (alike, reviewed), (contained, sold.filter(F.upper("name") != "UNDEFINED")), (alike, sold))

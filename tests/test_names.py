@@ -194,3 +194,12 @@ def test_case_insensitive_join_is_an_equi_join(spark):
     joined = nm.ci_join(a, b, "k", "j")
     assert [r["n"] for r in joined.collect()] == [1]
     assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_names_meet_written_sides(spark, monkeypatch):
+    """Blocks use a side several times; its bands are no part of that plan."""
+    sides, real = [], nm.match_blocks
+    monkeypatch.setattr(nm, "match_blocks", lambda left, right, *a: sides.extend([left, right]) or real(left, right, *a))
+    names = spark.createDataFrame([("ORBIT GO",), ("QUASAR 55",)], "name string")
+    nm.fuzzy_match(spark.createDataFrame([("orbit g",)], "mention string"), names)
+    assert len(sides) == 2 and not any("Join" in s._jdf.queryExecution().optimizedPlan().toString() for s in sides)
