@@ -26,10 +26,24 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Whether the shuffle files of an execution are removed when it ends, for DataFrames made while it is set.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written below the shared folder, so that costly steps run once and lost executors
-    cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    cost no recomputation. Once they are written, the shuffle files that led to them are removed."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        # A DataFrame of its own: the one that was given, which may run again, keeps its files.
+        own = df.select("*")
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
+    return own.checkpoint()

@@ -1,10 +1,12 @@
 import json
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlens.functions.vocabulary import TITLE_LABELS
-from reviewlens.sources.storage import fresh_folder, shared_folder
+from reviewlens.sources.storage import FILE_CLEANUP, cut_lineage, fresh_folder, shared_folder
 from reviewlens.sources import schema as S, tables as io
 
 
@@ -136,3 +138,20 @@ def test_filters_of_operators_reach_the_scan(spark, reviews, tmp_path):
     sales = mark_folded(spark.read.parquet(sold), "Series")
     assert "EqualTo(Series,S1)" in pushed(units_k(sales, "s1", match="equals")) and units_k(sales, "s1").first()["SALES_UNITS_K"] == 0.005
     assert sorted(map(tuple, aspect_summary(stored, "p one").collect()), key=str) == sorted(map(tuple, aspect_summary(reviews, "p one").collect()), key=str)
+
+
+def test_a_cut_lineage_removes_its_shuffle_files(spark):
+    disk, setting = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(FILE_CLEANUP, None)
+
+    def files():
+        return {str(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    counted = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before = files()
+    kept = cut_lineage(counted)
+    stop = time.time() + 20  # they are removed after the call has returned
+    while files() - before and time.time() < stop:
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(kept.collect()) == sorted(counted.collect()) == sorted(counted.collect()) and kept.count() == 10
+    assert spark.conf.get(FILE_CLEANUP, None) == setting
