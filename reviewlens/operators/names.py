@@ -13,7 +13,7 @@ from reviewlens.functions.arrow import bloom, steps
 from reviewlens.functions.similarity import Letters, Name, token_set_ratio
 from reviewlens.functions.vocabulary import UNAVAILABLE
 from reviewlens.functions.windows import find, name_keys
-from reviewlens.operators.blocks import match_blocks
+from reviewlens.operators.blocks import FEW_CELLS, match_blocks
 from reviewlens.operators.graphs import components
 from reviewlens.operators.grouping import first_rows, spread
 from reviewlens.sources.storage import cut_lineage
@@ -134,15 +134,22 @@ def detect_mentions(texts: DataFrame, catalog: DataFrame, k: int | None = 2, tex
     heads, wholes = (bloom(keyed.select(F.col(c).alias("key")).distinct()) for c in ("head", "whole"))
     found = upper.mapInArrow(search, f"text_id {kind}, NAME string").withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)))
     copies = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    kept = found.join(copies, ["NAME", "salt"]).select("text_id", "NAME").distinct()
+    kept = _merged(found, copies, "NAME", "salt").select("text_id", "NAME").distinct()
     order = [F.desc(F.length("NAME")), F.asc("NAME")]
     # Without k a text still has at most as many rows as the catalog has names.
     return first_rows(kept, ["text_id"], order, 2**31 - 1 if k is None else k, "MENTION_RANK").select(
         F.col("text_id").alias(text_id), "NAME", F.col("MENTION_RANK").cast("int").alias("MENTION_RANK"))
 
 
+def _merged(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """An inner join that sends neither side through the driver. Spark takes what is made from names, such as a row for each word, to
+    be no larger than the files behind it, and would broadcast lists that are hundreds of times that."""
+    return left.join(right.hint("merge"), list(keys))
+
+
 def _described(names: DataFrame, col: str) -> DataFrame:
-    """Distinct names with their words, their length as sorted words, and how many of the letters are of two kinds (by code point)."""
+    """Distinct names with their words, their length as sorted words, how many of the letters are of two kinds (by code point), and a
+    number, by which steps refer to a name that may be a long text."""
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [Name(t) for t in batch["text"]]
@@ -150,7 +157,8 @@ def _described(names: DataFrame, col: str) -> DataFrame:
                 "text": batch["text"], "words": [sorted(n.words) for n in own], "size": [len(n.sorted) for n in own],
                 "kind_a": [sum(ord(c) % 3 == 0 for c in n.sorted) for n in own], "kind_b": [sum(ord(c) % 3 == 1 for c in n.sorted) for n in own]})
     distinct = names.select(F.col(col).alias("text")).filter("text is not null").distinct()
-    return cut_lineage(spread(distinct, "text").mapInPandas(describe, "text string, words array<string>, size int, kind_a int, kind_b int").filter("size > 0"))
+    described = spread(distinct, "text").mapInPandas(describe, "text string, words array<string>, size int, kind_a int, kind_b int").filter("size > 0")
+    return cut_lineage(described.withColumn("id", F.monotonically_increasing_id()))
 
 
 def word_candidates(asked: DataFrame, known: DataFrame, share: Column | float) -> DataFrame:
@@ -161,19 +169,27 @@ def word_candidates(asked: DataFrame, known: DataFrame, share: Column | float) -
     else reaches the score has one of the others. Either side looks with its rare words among all words of the other.
     """
     def listed(side: DataFrame) -> DataFrame:
-        return side.select("text", "size", F.explode("words").alias("word"))
+        return side.select("id", "size", F.explode("words").alias("word"))
+
+    def shared(side: DataFrame, other: DataFrame) -> DataFrame:
+        """The words of a side that the other has too, with how often that has them."""
+        return cut_lineage(_merged(listed(side), other.groupBy("word").agg(F.count(F.lit(1)).alias("often")), "word"))
 
-    def rare(side: DataFrame, other: DataFrame) -> DataFrame:
-        often = listed(other).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-        own = Window.partitionBy("text").orderBy(F.desc("often"), "word")  # the words of one name
+    def rare(side: DataFrame) -> DataFrame:
+        own = Window.partitionBy("id").orderBy(F.desc("often"), "word")  # the words of one name
         row = F.sum(F.length("word") + 1).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
         least = F.col("size") * share / (2 - share) - 1e-9
-        return listed(side).join(often, "word").withColumn("row", row).filter(F.col("row") >= least).select("text", "word")
+        return side.withColumn("row", row).filter(F.col("row") >= least)
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.select(F.col("text").alias("mention"), "word").join(right.select(F.col("text").alias("NAME"), "word"), "word").select("mention", "NAME")
+        # Few bytes of words may make many pairs.
+        return _merged(spread(left.select(F.col("id").alias("asked"), "word"), "word"), right.select(F.col("id").alias("known"), "word"), "word").select("asked", "known")
 
-    return met(rare(asked, known), listed(known)).union(met(listed(asked), rare(known, asked))).distinct()
+    left = shared(asked, listed(known))
+    right = shared(known, left)
+    pairs = met(rare(left), right).union(met(left, rare(right))).distinct()
+    named = _merged(pairs, known.select(F.col("id").alias("known"), F.col("text").alias("NAME")), "known")
+    return _merged(named, asked.select(F.col("id").alias("asked"), F.col("text").alias("mention")), "asked").select("mention", "NAME")
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -196,10 +212,15 @@ def _bands(asked: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = banded.groupBy("band_size", "band_kind_a", "band_kind_b").agg(
         *(f(c).alias(f"{f.__name__}_{c}") for c in ("size", "kind_a", "kind_b") for f in (F.min, F.max)),
         *(f(F.col("size") - F.col("kind_a") - F.col("kind_b")).alias(f"{f.__name__}_rest") for f in (F.min, F.max)))
+    cells = cut_lineage(cells)
+    cells = F.broadcast(cells) if cells.count() <= FEW_CELLS else cells.hint("merge")
     share = F.col("least") / 100
     longest = known.agg(F.max("size"))
-    spans = asked.withColumn("rest", F.col("size") - F.col("kind_a") - F.col("kind_b")).withColumn("band_size", F.explode(F.sequence(
-        F.floor(F.col("size") * share / (2 - share) / BAND), F.floor(F.least(F.coalesce(F.try_divide(F.col("size") * (2 - share), share), longest.scalar()), longest.scalar()) / BAND))))
+    first = F.floor(F.col("size") * share / (2 - share) / BAND)
+    last = F.floor(F.least(F.coalesce(F.try_divide(F.col("size") * (2 - share), share), longest.scalar()), longest.scalar()) / BAND)
+    # A mention that is too long for every name looks nowhere; a sequence would count downwards for it.
+    spans = (asked.select("text", "size", "kind_a", "kind_b", "least", (F.col("size") - F.col("kind_a") - F.col("kind_b")).alias("rest"), first.alias("first"), last.alias("last"))
+             .filter("first <= last").withColumn("band_size", F.explode(F.sequence("first", "last"))))
     apart = sum((F.greatest(F.lit(0), F.col(f"min_{c}") - F.col(c), F.col(c) - F.col(f"max_{c}")) for c in ("kind_a", "kind_b", "rest")), F.lit(0))
     allowed = (1 - share) * (F.col("size") + F.col("max_size")) + 1e-9
     cell = F.concat_ws(",", "band_size", "band_kind_a", "band_kind_b").alias("cell")

@@ -203,3 +203,30 @@ def test_blocks_of_names_meet_written_sides(spark, monkeypatch):
     names = spark.createDataFrame([("ORBIT GO",), ("QUASAR 55",)], "name string")
     nm.fuzzy_match(spark.createDataFrame([("orbit g",)], "mention string"), names)
     assert len(sides) == 2 and not any("Join" in s._jdf.queryExecution().optimizedPlan().toString() for s in sides)
+
+
+def test_lists_made_from_names_are_not_broadcast(spark, monkeypatch):
+    """A row for each word of a long mention, or for each name found in a text, is far more than Spark's estimate of it."""
+    plans, real = [], nm.cut_lineage
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(nm, "cut_lineage", lambda df: real(plan(df)))
+    names = spark.range(20).selectExpr("concat('MODEL L', id) as name")
+    texts = spark.range(50).selectExpr("id as text_id", "concat(repeat('some words ', 40), 'MODEL L', id % 20) as text")
+    pairs = plan(nm.word_candidates(nm._described(texts, "text"), nm._described(names, "name"), 0.6))
+    found = plan(nm.detect_mentions(texts, names, 1))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p or "NestedLoop" in p for p in plans)
+    assert pairs.filter("endswith(mention, NAME)").select("mention").distinct().count() == 20 and found.count() == 50
+
+
+def test_bands_of_long_mentions(spark):
+    """A mention too long for every name is left out before bands are listed for it, and only the bounds of cells are broadcast."""
+    names = nm._described(spark.createDataFrame([("ORBIT GO",), ("QUASAR 55",)], "name string"), "name")
+    asked = nm._described(spark.createDataFrame([("ORBIT G",), ("X" * 3000,)], "name string"), "name").selectExpr("*", "60D as least")
+    left, right = nm._bands(asked, names)
+    assert {r["mention"] for r in left.collect()} == {"ORBIT G"} and right.count() == 2
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "Filter (FLOOR(" in plan
